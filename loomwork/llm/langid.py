@@ -7,7 +7,7 @@ The evidence for each language is
 * the address suffix and the host: a prior that is smoothed from the host to its domain, its suffix and all pages, each
   level's expected counts (summed by grouped aggregation) on top of the level above.
 
-One more class, `und`, spreads its trigrams evenly: what no language explains better goes there.
+One more class, `und`, spreads its trigrams evenly over all buckets: what no language explains better goes there.
 """
 
 from __future__ import annotations
@@ -92,9 +92,8 @@ def train(docs: DataFrame) -> TextModel:
     for k, lang in enumerate(languages):
         mine = found[found["lang"] == lang]
         counts[k, mine["bucket"]] = mine["n"]
-    seen = max(1, int((counts.sum(axis=0) > 0).sum()))
     logp = np.log((counts + 0.1) / (counts.sum(axis=1, keepdims=True) + 0.1 * BUCKETS))
-    logp[-1] = -np.log(seen)
+    logp[-1] = -np.log(BUCKETS)
     return TextModel([*languages, UNKNOWN], logp)
 
 

@@ -5,17 +5,60 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomwork.llm import simhash
-from loomwork.llm.common import read_table
+from loomwork.llm import langid, mih, mixing, multiset, ngram_lm, quotes, rollup, secrets, simhash, spm
+from loomwork.llm.common import read_table, shared_path
+
+
+def op1_mih(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mih.neighbours(read_table(spark, sf_dir, "embeddings"))
+
+
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_pages(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "documents"))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(read_table(spark, sf_dir, "documents"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spm.summary(read_table(spark, sf_dir, "documents"))
+
+
+def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.train_and_score(read_table(spark, sf_dir, "documents"))
+
+
+def op6_multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiset.fingerprint_edits(read_table(spark, sf_dir, "documents"))
+
+
+def op7_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.chat(read_table(spark, sf_dir, "conversations"))
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(read_table(spark, sf_dir, "documents"))
+
+
+def op9_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup.maintain(read_table(spark, sf_dir, "documents"), rollup.VOCABULARY, "byte_bpe_50k", shared_path(spark, "rollup"))
+
+
+def quality_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampling weights of the labelled documents: good ones weigh four times as much as poor ones, the rest 1."""
+    return read_table(spark, sf_dir, "labels").where("quality IS NOT NULL").select("doc_id", F.when(F.col("quality") == 1, 2.0).otherwise(0.5).alias("weight"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read_table(spark, sf_dir, "documents"), quality_weights(spark, sf_dir)).drop("epochs")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_simhash": op3_simhash}
+    found = (op1_mih, op2_langid, op3_simhash, op4_sentencepiece, op5_lm, op6_multiset, op7_quotes, op8_secrets, op9_rollup, op10_mixing)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
