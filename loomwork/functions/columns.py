@@ -70,7 +70,6 @@ def char_class(word: Column) -> Column:
     return F.when(code.between(97, 122), 0).when(code.between(65, 90), 1).otherwise(2)
 
 
-@F.pandas_udf("double")
 def average(values: pd.Series) -> float:
     """Mean of the values that are not null; null for none."""
     return float(values.mean()) if values.notna().any() else None
@@ -85,4 +84,4 @@ def register_functions(spark: SparkSession) -> None:
 
 def register_aggregates(spark: SparkSession) -> None:
     """avg_sal as an aggregate of SQL text."""
-    spark.udf.register("avg_sal", average)
+    spark.udf.register("avg_sal", F.pandas_udf(average, "double"))
