@@ -4,7 +4,7 @@ Level 1 holds the words: their sorted 64-bit hashes, Elias-Fano coded, with thei
 holds the bigrams: the ids of the contexts and the pointers to their successors are monotone and Elias-Fano coded, and
 the successors of all contexts form one more monotone sequence, each id relative to its context's base. Each bigram keeps
 its discounted probability, and each context its back-off weight, in 8 bits. A lookup searches the successor of
-(base + id) in the sequence: one select for the high bits, then the few elements that share them.
+(base + id) in the sequence: a select for the high bits, then a binary search among the elements that share them.
 
 Probabilities are absolutely discounted and interpolated: p(w | h) = (c(hw) - D) / c(h) + D T(h) / c(h) p(w), with T(h)
 the number of distinct successors and p(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)).
@@ -155,14 +155,17 @@ class EliasFano:
         high, low = high[inside], x[inside] & np.uint64((1 << self.width) - 1)
         i = np.where(high > 0, self._select(np.maximum(high - 1, 0), False) + 1 - high, 0)
         end = self._select(high, False) - high
-        live = np.flatnonzero(i < end)
-        while len(live):
-            same = self._low(i[live])
-            hit = same == low[live]
-            out[inside[live[hit]]] = i[live[hit]]
-            live = live[~hit & (same < low[live])]
-            i[live] += 1
-            live = live[i[live] < end[live]]
+        lo, hi = i, end.copy()
+        live = np.flatnonzero(lo < hi)
+        while len(live):  # a dense context puts many elements under the same high bits
+            mid = (lo[live] + hi[live]) >> 1
+            less = self._low(mid) < low[live]
+            lo[live] = np.where(less, mid + 1, lo[live])
+            hi[live] = np.where(less, hi[live], mid)
+            live = live[lo[live] < hi[live]]
+        there = np.flatnonzero(lo < end)
+        there = there[self._low(lo[there]) == low[there]]
+        out[inside[there]] = lo[there]
         return out
 
 
@@ -199,10 +202,10 @@ def _read(uri: str) -> dict[str, np.ndarray]:
             while data := source.read(1 << 24):
                 copy.write(data)
         copy.flush()
-        data = np.memmap(copy.name, np.uint8, "r")
+        data = np.asarray(np.memmap(copy.name, np.uint8, "r"))
         copy.close()
     else:
-        data = np.memmap(path, np.uint8, "r")
+        data = np.asarray(np.memmap(path, np.uint8, "r"))
     size = int(data[:8].view(np.uint64)[0])
     out = {}
     for name, (kind, at, n) in json.loads(data[8 : 8 + size].tobytes()).items():
