@@ -224,7 +224,7 @@ def _ef(arrays: dict[str, np.ndarray], name: str) -> EliasFano:
 
 
 def _planes(a: np.ndarray) -> bytes:
-    return a.view(np.uint8).reshape(len(a), -1).T.tobytes()
+    return a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes()
 
 
 def _pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
