@@ -59,7 +59,7 @@ class TextModel:
         at = 0
         while at < len(texts):
             size, to = 0, at
-            while to < len(texts) and (to == at or size < 1 << 22):
+            while to < len(texts) and (to == at or size < 1 << 20):
                 size += len(texts[to] or "")
                 to += 1
             code, doc = _trigrams(texts[at:to])
