@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of a batch of rows with texts that a Python worker gets at once.
+TEXT_BATCH = 8 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a fresh local one where it is unset (tests)."""
@@ -43,6 +48,26 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker gets at once by bytes, as texts may be of any length; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    digits, unit = re.fullmatch(r"(\d+)([kmgt]?)i?b?", spark.conf.get(name).lower()).groups()
+    if int(digits) << 10 * " kmgt".index(unit or " ") > TEXT_BATCH:
+        spark.conf.set(name, str(TEXT_BATCH))
+
+
+def text_pieces(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts of about `most` characters together, a longer text alone."""
+    at = size = 0
+    for to, text in enumerate(texts):
+        if to > at and size >= most:
+            yield at, to
+            at, size = to, 0
+        size += len(text or "")
+    if at < len(texts):
+        yield at, len(texts)
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import materialize
+from loomwork.llm.common import materialize, text_batches, text_pieces
 
 BUCKETS = 1 << 16
 UNKNOWN = "und"
@@ -56,17 +56,11 @@ class TextModel:
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Mean log-likelihood by class, and the number of trigrams, of each text."""
         out, n = np.zeros((len(texts), len(self.logp))), np.zeros(len(texts), np.int64)
-        at = 0
-        while at < len(texts):
-            size, to = 0, at
-            while to < len(texts) and (to == at or size < 1 << 20):
-                size += len(texts[to] or "")
-                to += 1
+        for at, to in text_pieces(texts):
             code, doc = _trigrams(texts[at:to])
             n[at:to] = np.bincount(doc, minlength=to - at)
             for k, row in enumerate(self.logp):
                 out[at:to, k] = np.bincount(doc, row[code], minlength=to - at)
-            at = to
         return out / np.maximum(n, 1)[:, None], n
 
 
@@ -80,11 +74,12 @@ def train(docs: DataFrame) -> TextModel:
         for batch in batches:
             for lang, part in batch.groupby("lang"):
                 texts, sums = part["text"].tolist(), np.zeros(BUCKETS, np.int64)
-                for at in range(0, len(texts), 256):
-                    sums += np.bincount(_trigrams(texts[at : at + 256])[0], minlength=BUCKETS)
+                for at, to in text_pieces(texts):
+                    sums += np.bincount(_trigrams(texts[at:to])[0], minlength=BUCKETS)
                 seen = np.flatnonzero(sums)
                 yield pd.DataFrame({"lang": lang, "bucket": seen, "n": sums[seen]})
 
+    text_batches(docs.sparkSession)
     rows = docs.where("lang IS NOT NULL AND lang <> '' AND text IS NOT NULL").select("text", "lang").mapInPandas(count, "lang string, bucket int, n long")
     found = rows.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(found["lang"].unique())
@@ -129,6 +124,7 @@ def identify(rows: DataFrame, model: TextModel) -> DataFrame:
             mean, n = model.score(batch["text"].tolist())
             yield pd.DataFrame({"id": batch["id"], "declared": batch["declared"], "host": batch["host"], "ll": list(mean * np.minimum(n, MOST)[:, None]), "n": n})
 
+    text_batches(rows.sparkSession)
     texts = rows.select(F.col("id").cast("long").alias("id"), "text", F.coalesce("declared", F.lit("")).alias("declared"), F.coalesce("host", F.lit("")).alias("host"))
     texts = materialize(texts.mapInPandas(likelihoods, "id long, declared string, host string, ll array<double>, n long"), "language_evidence")
     said = F.when(F.col("declared").isin(names), F.col("declared")).otherwise(F.lit(""))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import connected_components, materialize, partitions
+from loomwork.llm.common import connected_components, materialize, partitions, text_batches
 
 #: Fingerprints of one BK-tree and of one chunk of queries, about.
 SHARD = 2048
@@ -60,6 +60,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": np.fromiter((fingerprint(x, words) for x in batch["text"]), np.int64, len(batch))})
 
+    text_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, fp long")
 
 
