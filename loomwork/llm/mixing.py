@@ -106,6 +106,7 @@ def repeated(docs: DataFrame, quality: DataFrame | None = None) -> DataFrame:
     taken = mix(docs, quality).groupBy("doc_id").agg(F.max("taken").alias("_taken"), F.max("size").alias("_size"), F.count(F.lit(1)).alias("_rows"))
     taken = taken.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"), F.when(F.col("_size") > 0, F.floor(F.col("_taken") / F.col("_size") + F.lit(0.5))).otherwise(F.lit(0)).cast("int").alias("_times"))
     taken = materialize(taken.where("_times > 0"), "mix_taken")
-    chosen = docs.join(taken, docs.doc_id == taken["_id"])
+    # taken grows with docs, so the join is by key at every size and never by broadcast
+    chosen = docs.join(taken.hint("merge"), docs.doc_id == taken["_id"])
     chosen = chosen.select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_pass")).drop("_pass")
     return chosen.union(docs.where("doc_id IS NULL"))
