@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.llm import langid, mixing, secrets, simhash, spm
+from loomwork.llm import langid, mixing, nearcopies, secrets, spm
 from loomwork.llm.common import materialize, read_table
 from loomwork.llm.queries import quality_weights
 
@@ -20,10 +20,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest doc_id, of each group of near copies.
 
-    The operator's three-word shingles, of which an edit changes fewer than of longer ones, and six differing bits:
-    unrelated texts differ in about 32, so no text is taken for another.
+    Near copies are texts whose five-word shingles have a Jaccard similarity of 0.8 or more, and a group is what such
+    links connect: two of its documents may be less alike. SimHash (three-word shingles, six bits) only proposes links.
     """
-    return simhash.keep_first(docs, words=3, radius=6)
+    return nearcopies.keep_first(docs, words=3, radius=6)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
