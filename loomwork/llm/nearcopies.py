@@ -4,7 +4,7 @@ Two documents are linked if their sets of five-word shingles have a Jaccard simi
 set are one class. Candidates between classes come from SimHash links (simhash.near_links), which join most of a group at
 little cost, and from an exact key: with the shingles of every set in one order, two sets that similar share a shingle
 among the first n - ceil(4n/5) + 1 of each. Pairs of that key in different components of the links found so far are
-candidates if what they share there leaves the similarity possible. The two sets of each of these are compared in full.
+candidates if what they share there leaves the similarity possible. Each candidate's two sets are compared in full.
 
 The order puts shingles that a sample finds common last, so that common passages are keys of few texts. It changes the
 cost only: the key holds for any order. Sets are of 64-bit hashes, and a class is known by a 64-bit hash of its set.
@@ -139,7 +139,7 @@ def keep_first(docs: DataFrame, words: int = 3, radius: int = 6) -> DataFrame:
     named = docs.where("doc_id IS NOT NULL")
     prints = materialize(_prints(named, common_shingles(named), words), "prints")
     classes = materialize(prints.groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("first").alias("first")), "classes")
-    near = materialize(_simhash_pairs(classes, radius), "near")
+    near = _verified(_simhash_pairs(classes, radius), named, classes)
     keys = classes.select("node", "n", F.posexplode("first").alias("at", "key"))
     groups = keys.groupBy("key").agg(F.collect_list(F.struct("node", "n", "at")).alias("x")).where("size(x) > 1")
     shared = materialize(groups.select("key", F.explode("x").alias("x")).select("key", "x.*"), "shared")

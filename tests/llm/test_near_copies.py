@@ -63,3 +63,15 @@ def test_finds_every_near_copy(spark):
     want = brute_kept(texts)
     got = stage_kept(spark, texts)
     assert not got - want, "near copies that stay"
+
+
+def test_drops_only_near_copies(spark):
+    texts = edited()
+    want = brute_kept(texts)
+    got = stage_kept(spark, texts)
+    assert not want - got, "documents dropped without a near copy"
+
+
+def test_documents(spark, sf):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert stage_kept(spark, texts) == brute_kept(texts)
