@@ -145,10 +145,11 @@ def s17(spark, sf):
 HEAVY = f"SELECT DISTINCT user_id FROM ({windows_sql('user_id', 1440, 360, EVENTS)}) WHERE n > 3 AND user_id % 10 <> 1"
 
 
-def blacklist_stream(spark, sf, then):
+def blacklist_stream(spark, sf, then, white=None):
     """Windows of users update the blacklist in one foreachBatch, then `then` sees the same batch; all batches' clicks are kept for the windows."""
     path, seen = work_path(spark, "blacklist"), work_path(spark, "seen")
-    white = clicks(spark, sf).where("user_id % 10 = 1").select("user_id").distinct()
+    if white is None:
+        white = clicks(spark, sf).where("user_id % 10 = 1").select("user_id").distinct()
 
     def step(batch, i):
         batch.write.mode("overwrite").parquet(f"{seen}/batch_id={i}")
