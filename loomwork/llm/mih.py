@@ -1,13 +1,17 @@
 """Approximate nearest neighbours by multi-index hashing of learned rotated binary codes.
 
 Vectors are centred and turned by rotations learned on a bounded sample (principal axes, then iterative quantisation);
-the signs are the code. Codes are cut into substrings of 8 bits, and a shard of the index keeps, for each substring,
-the rows by its value. Codes within radius R of a query differ from it by at most floor(R / substrings) bits in some
-substring (pigeonhole), so probing the values within that distance in every substring finds all of them; the codes found
-are filtered by the whole distance and the rest is ranked by the distance of the original vectors.
+the signs are the code. Codes are cut into substrings of 64 bits, and a shard of the index keeps, for each substring, the
+values that occur and the rows of each. Codes within radius R of a query differ from it by at most floor(R / substrings)
+bits in some substring (pigeonhole), so probing the values within that distance in every substring finds all of them; the
+codes found are filtered by the whole distance and the rest is ranked by the distance of the original vectors.
 
-The radius is the one within which the sample's true neighbours lie. Queries that find fewer than k rows are searched
-again with a radius that holds every code, which is exact.
+The radius is the one within which HELD of the sample's true neighbours lie. Queries that find fewer than k rows are
+searched again with a radius that holds every code, which is exact.
+
+Substrings are long because neighbours may differ in two bits of five: substrings of 8 or 16 bits within such a distance
+hold nearly every value, while those of 64 bits are within it for about one code in six. There are more values within the
+distance than rows, so a probe compares the values that occur instead of making up all that could.
 """
 
 from __future__ import annotations
@@ -20,16 +24,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import materialize
+from loomwork.llm.common import materialize, text_batches
 
-#: Vectors that the rotations are learned from, and bits of a code, about (whole rotations).
+#: Vectors that the rotations are learned from, and bits of a code, about (whole substrings).
 SAMPLE, BITS = 8192, 256
 #: Share of the sample's true neighbours that the radius holds.
-HELD = 0.98
+HELD = 0.94
 #: Rows of one shard of the index, and queries of one block, about.
 SHARD, BLOCK = 8192, 1024
-SUB = 8
-POPCOUNT = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :])
+SUB = 64
 
 
 class Codes:
@@ -43,7 +46,8 @@ class Codes:
         return self.turns.shape[1]
 
     def encode(self, x: np.ndarray) -> np.ndarray:
-        return np.packbits((x - self.mean) @ self.turns > 0, axis=1)
+        """Rows of codes, a 64-bit word for each substring."""
+        return np.packbits((x - self.mean) @ self.turns > 0, axis=1).view(np.uint64)
 
     @classmethod
     def learn(cls, x: np.ndarray, bits: int = BITS, k: int = 10, held: float = HELD, seed: int = 0) -> Codes:
@@ -51,18 +55,17 @@ class Codes:
         rng = np.random.default_rng(seed)
         dim = x.shape[1]
         mean = x.mean(axis=0)
-        axes = np.linalg.svd(x - mean, full_matrices=False)[2].T if len(x) >= dim else np.eye(dim)
-        flat = (x - mean) @ axes
+        bits = max(SUB, bits // SUB * SUB)
+        axes = np.linalg.svd(x - mean, full_matrices=False)[2].T[:, :bits] if len(x) >= dim else np.eye(dim)[:, :bits]
+        flat, wide = (x - mean) @ axes, axes.shape[1]
         turns = []
-        for _ in range(max(1, ceil(bits / dim))):
-            turn = np.linalg.qr(rng.normal(size=(dim, dim)))[0]
+        for _ in range(ceil(bits / wide)):
+            turn = np.linalg.qr(rng.normal(size=(wide, wide)))[0]
             for _ in range(20):
                 u, _, v = np.linalg.svd(np.where(flat @ turn > 0, 1.0, -1.0).T @ flat)
                 turn = (u @ v).T
             turns.append(axes @ turn)
-        turns = np.concatenate(turns, axis=1)
-        turns = turns[:, : turns.shape[1] // SUB * SUB] if turns.shape[1] >= SUB else np.concatenate([turns] * SUB, axis=1)
-        out = cls(mean, turns, turns.shape[1])
+        out = cls(mean, np.concatenate(turns, axis=1)[:, :bits], bits)
         codes = out.encode(x)
         probe = x[: min(512, len(x))]
         d = ((probe**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * probe @ x.T)
@@ -75,47 +78,63 @@ class Codes:
 
 
 class Index:
-    """One shard: for each substring the rows sorted by its value, and where each value begins."""
+    """One shard: for each substring the values that occur, and the rows of each value."""
 
     def __init__(self, codes: np.ndarray) -> None:
         self.codes = codes
-        self.rows = np.argsort(codes, axis=0, kind="stable").T.astype(np.int32)
-        self.starts = np.stack([np.searchsorted(codes[rows, j], np.arange(257)) for j, rows in enumerate(self.rows)])
+        self.tables = []
+        for column in codes.T:
+            rows = np.argsort(column, kind="stable")
+            values, starts = np.unique(column[rows], return_index=True)
+            self.tables.append((values, rows, np.append(starts, len(rows))))
+
+    def candidates(self, code: np.ndarray, radius: int) -> np.ndarray:
+        """A mark for each row that the probes of the substrings find."""
+        each, left = divmod(radius, len(code))
+        found = np.zeros(len(self.codes), bool)
+        for j, (values, rows, starts) in enumerate(self.tables):
+            # all substrings may differ by `each`; with less left over than there are substrings, one of the others differs by less
+            near = np.bitwise_count(values ^ code[j]) <= (each if j <= left else each - 1)
+            if len(values) == len(rows):
+                found[rows[near]] = True
+            else:
+                found[rows[np.repeat(near, np.diff(starts))]] = True
+        return found
 
     def probe(self, code: np.ndarray, radius: int) -> np.ndarray:
         """Rows within `radius` bits of one code."""
-        m = len(code)
-        each = radius // m
-        if each >= SUB:
-            return np.arange(len(self.codes))
-        # all m substrings may differ by `each`; with less left over than m - 1, one differs by less
-        found = np.zeros(len(self.codes), bool)
-        for j in range(m):
-            bound = each if j <= radius - each * m else each - 1
-            if bound < 0:
-                break
-            for value in np.flatnonzero(POPCOUNT[code[j]] <= bound):
-                found[self.rows[j, self.starts[j, value] : self.starts[j, value + 1]]] = True
-            if found.all():
-                break
-        rows = np.flatnonzero(found)
+        rows = np.flatnonzero(self.candidates(code, radius))
         return rows[np.bitwise_count(self.codes[rows] ^ code).sum(axis=1) <= radius]
 
 
+def _pack(codes: Codes):
+    """A group of rows (code, first, v) as one row: its names, smallest vec_ids, binary codes and vectors."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(rows["v"].to_numpy())
+        return pd.DataFrame([(int(key[0]), rows["code"].tolist(), rows["first"].tolist(), codes.encode(x).tobytes(), x.tobytes())], columns=["part", "names", "firsts", "bits", "vectors"])
+
+    return run
+
+
+PACKED = "part int, names array<string>, firsts array<long>, bits binary, vectors binary"
+
+
 def _search(codes: Codes, radius: int, k: int):
-    def run(key: tuple, queries: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
-        if not len(queries) or not len(shard):
-            return pd.DataFrame({"q": [], "c": [], "d": []})
-        x, q = np.stack(shard["v"].to_numpy()), np.stack(queries["q_v"].to_numpy())
-        index, qc = Index(codes.encode(x)), codes.encode(q)
-        first = shard["first"].to_numpy()
-        out = []
-        for i in range(len(q)):
-            rows = index.probe(qc[i], radius)
-            d = np.sqrt(((x[rows] - q[i]) ** 2).sum(axis=1))
-            best = np.lexsort((first[rows], d))[: k + 1]
-            out.append(pd.DataFrame({"q": queries["q"].iat[i], "c": shard["code"].to_numpy()[rows[best]], "d": d[best]}))
-        return pd.concat(out)
+    def arrays(row, side: str) -> tuple[np.ndarray, np.ndarray]:
+        n = len(row[f"{side}_names"])
+        return np.frombuffer(row[f"{side}_bits"], np.uint64).reshape(n, -1), np.frombuffer(row[f"{side}_vectors"]).reshape(n, -1)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for _, row in batch.iterrows():
+                (xc, x), (qc, q) = arrays(row, "x"), arrays(row, "q")
+                index, names, first = Index(xc), np.asarray(row["x_names"], object), np.asarray(row["x_firsts"])
+                for i in range(len(q)):
+                    rows = index.probe(qc[i], radius)
+                    d = np.sqrt(((x[rows] - q[i]) ** 2).sum(axis=1))
+                    best = np.lexsort((first[rows], d))[: k + 1]
+                    yield pd.DataFrame({"q": row["q_names"][i], "c": names[rows[best]], "d": d[best]})
 
     return run
 
@@ -130,8 +149,10 @@ def neighbours(vectors: DataFrame, k: int = 10, every: int = 100, sample: int =
     empty table gives no rows.
 
     Equal vectors are one entry of the index that keeps its k + 1 smallest vec_ids, which is all that an answer can
-    name, so a vector that a third of all rows share is searched once. Shards of the index meet blocks of queries; what
-    is kept of each meeting is k + 1 entries a query.
+    name, so a vector that a third of all rows share is searched once. A shard of the index is one row of packed codes
+    and vectors and moves once; blocks of queries, a hundredth of the rows, are sent to every shard. What is kept of each
+    meeting is k + 1 entries a query. Vectors are read only where the codes are near, but stay with their codes: the
+    pairs within the radius outnumber the vectors.
     """
     none = F.array().cast("array<double>")
     v = F.transform(F.coalesce(F.col("embedding"), none), lambda x: x.cast("double"))
@@ -141,26 +162,26 @@ def neighbours(vectors: DataFrame, k: int = 10, every: int = 100, sample: int =
     empty = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not lengths:
         return empty
-    rows = rows.where(F.size("v") == lengths[0]["n"]).select(F.col("vec_id").cast("long").alias("vec_id"), "v", F.md5(F.array_join(F.transform("v", lambda x: (x + 0.0).cast("string")), ",").cast("binary")).alias("code"))
+    rows = rows.where(F.size("v") == lengths[0]["n"]).select(F.col("vec_id").cast("long").alias("vec_id"), "v", F.concat(*(F.hex(F.xxhash64(F.lit(salt), F.transform("v", lambda x: x + 0.0))) for salt in (0, 1))).alias("code"))
     ids = materialize(rows.select("code", "vec_id").distinct(), "mih_ids")
     entries = materialize(rows.groupBy("code").agg(F.min("vec_id").alias("first"), F.min("v").alias("v")), "mih_vectors")
     few = entries.orderBy("code").limit(sample).select("v").toPandas()["v"]  # bounded by `sample`; codes are hashes, so this is a random draw
     codes = Codes.learn(np.stack(few.to_numpy()), bits, k)
     n = entries.count()
     shards = ceil(n / shard)
-    index = entries.withColumn("shard", F.pmod(F.xxhash64("code"), F.lit(shards)).cast("int"))
+    text_batches(vectors.sparkSession)
+    index = entries.withColumn("part", F.pmod(F.xxhash64("code"), F.lit(shards)).cast("int")).groupBy("part").applyInPandas(_pack(codes), PACKED)
+    index = materialize(index.select(*(F.col(c).alias(f"x_{c}") for c in index.columns)), "mih_index")
     asked = materialize(ids.where(F.col("vec_id") % every == 0).select("code").distinct(), "mih_queries")
     blocks = ceil(asked.count() / block)
     if not blocks:
         return empty
-    queries = asked.join(entries, "code").select(F.col("code").alias("q"), F.col("v").alias("q_v"), F.pmod(F.xxhash64("code", F.lit(1)), F.lit(blocks)).cast("int").alias("q_block"))
-    queries = materialize(queries, "mih_asked")
-    index = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("code", "first", "v", "shard", "block")
+    queries = materialize(asked.join(entries, "code").select("code", "first", "v", F.pmod(F.xxhash64("code", F.lit(1)), F.lit(blocks)).cast("int").alias("part")), "mih_asked")
 
     def search(some: DataFrame, radius: int) -> DataFrame:
-        spread = some.withColumn("q_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-        found = spread.groupBy("q_shard", "q_block").cogroup(index.groupBy("shard", "block")).applyInPandas(_search(codes, radius, k), "q string, c string, d double")
-        return found
+        packed = some.groupBy("part").applyInPandas(_pack(codes), PACKED)
+        packed = packed.select(*(F.col(c).alias(f"q_{c}") for c in packed.columns), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+        return packed.join(index, F.col("shard") == F.col("x_part")).mapInPandas(_search(codes, radius, k), "q string, c string, d double")
 
     # each entry found stands for its smallest vec_ids
     small = Window.partitionBy("code").orderBy("vec_id")
@@ -188,6 +209,6 @@ def neighbours(vectors: DataFrame, k: int = 10, every: int = 100, sample: int =
     short = materialize(short, "mih_short")
     if not short.limit(1).count():
         return first
-    again = answers(search(queries.join(short.select(F.col("code").alias("q")).distinct(), "q"), codes.bits)).join(short.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_semi")
+    again = answers(search(queries.join(short.select("code").distinct(), "code"), codes.bits)).join(short.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_semi")
     done = first.join(short.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_anti")
     return done.union(again.select(*done.columns))
