@@ -7,9 +7,12 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of a table of sources that is broadcast at most.
+SOURCES = 10_000
 #: Bytes of a batch of rows with texts that a Python worker gets at once.
 TEXT_BATCH = 8 << 20
 
@@ -48,6 +51,23 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, whatever the case of the letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def by_source(rows: DataFrame, table: DataFrame, source: str, key: str) -> DataFrame:
+    """rows with the columns of a written table that has one row a source, null too; the table's key goes.
+
+    The table is broadcast where it has no more than SOURCES rows, and joined by source otherwise.
+    """
+    few = table.limit(SOURCES + 1).count() <= SOURCES
+    return rows.join(F.broadcast(table) if few else table, rows[source].eqNullSafe(table[key])).drop(table[key])
+
+
 def text_batches(spark: SparkSession) -> None:
     """Bound what a Python worker gets at once by bytes, as texts may be of any length; a smaller setting stays."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -68,6 +88,43 @@ def text_pieces(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[
         yield at, len(texts)
 
 
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+_SPACE = bytes(b in b" \t\n\v\f\r" for b in range(256))
+_ODD, _ODDER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """A one-to-one scrambling of 64-bit numbers."""
+    h = (h ^ (h >> np.uint64(32))) * _ODD
+    h = (h ^ (h >> np.uint64(29))) * _ODDER
+    return h ^ (h >> np.uint64(32))
+
+
+def word_hashes(data: bytes, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of data, A-Z lower-cased and ASCII white space apart, and where the words start.
+
+    Eight bytes of all words are taken in at a time, each after a scrambling of what came before, so that words differ
+    where any of their bytes do; words of one length of up to eight bytes never share a hash.
+    """
+    raw = np.frombuffer(data.translate(_LOWER) + bytes(8), np.uint8)
+    space = np.frombuffer(data.translate(_SPACE) + b"\1", bool)
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], space]).view(np.int8)))
+    starts, ends = edge[::2], edge[1::2]
+    left = ends - starts
+    h = mixed(left.astype(np.uint64) + np.uint64(seed << 40))
+    lanes = np.lib.stride_tricks.as_strided(raw[:8].view("<u8"), (max(0, len(raw) - 7),), (1,))  # the eight bytes from each place on
+    at, live = starts, slice(None)
+    while len(at):
+        lane = lanes[at]
+        short = left < 8
+        lane[short] &= (np.uint64(1) << (left[short].astype(np.uint64) << np.uint64(3))) - np.uint64(1)
+        h[live] = mixed(h[live] ^ lane)
+        more = np.flatnonzero(left > 8)
+        live = more if isinstance(live, slice) else live[more]
+        at, left = at[more] + 8, left[more] - 8
+    return h, starts
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -12,6 +12,8 @@ from math import ceil, log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomwork.llm.common import fresh
+
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: A run of one class of characters is the same whether its length is asked for in the pattern or afterwards.
 ACCESS = r"AKIA[A-Z0-9]{14,}"
@@ -27,6 +29,9 @@ SAMPLE_DOCS = 5_000
 ROW_PRIOR, EVEN_PRIOR = 20.0, 500.0
 #: Log-likelihood ratio (natural) that a secret has at least, in all and for each character.
 TOTAL, EACH = 12.0, 0.6
+#: Spans of one text that are folded together.
+CHUNK = 128
+SPAN = "struct<start:int,kind:int,end:int>"
 
 
 def labelled_samples(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
@@ -74,19 +79,36 @@ def ratio(token: Column, model: list[float]) -> Column:
     return F.aggregate(F.sequence(F.lit(2), F.length(token)), F.lit(0.0), lambda total, i: total + F.get(table, code(i - 1) * size + code(i)))
 
 
+def _chunked(items: Column, start: Column, step, end, into: str) -> Column:
+    """A fold over an array that collects an array: step(done, item) gives `at` and an array `out`, which begins empty in each chunk.
+
+    Chunks of CHUNK items are folded by themselves and joined at the end, so that work grows with the items and not with
+    their square. end(done, inner) gives what a chunk's fold is kept as, of type `into`.
+    """
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / CHUNK).cast("int")), lambda c: F.slice(items, c * CHUNK + 1, CHUNK))
+
+    def fold(done: Column, chunk: Column) -> Column:
+        # an array of one binds the chunk's result, or it would be worked out for each use
+        inner = F.transform(F.array(step(done, chunk)), lambda x: F.struct(x["at"].alias("at"), F.array_append(done["out"], end(x["out"])).alias("out")))
+        return F.get(inner, F.lit(0))
+
+    return F.aggregate(chunks, F.struct(start.alias("at"), F.array().cast(f"array<{into}>").alias("out")), fold)
+
+
 def _places(text: Column, pattern: str, matches: Column, kind: str) -> Column:
-    """array<struct(start, kind, end, part)> of the matches of a pattern, in code points; part is the match's number."""
+    """array<struct(start, kind, end)> of the matches of a pattern, in code points."""
     gaps = F.split(text, pattern, -1)
     kind_at = F.lit(KINDS.index(kind))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int>>").alias("out"))
+    none = F.array().cast(f"array<{SPAN}>")
 
     def step(done: Column, x: Column) -> Column:
-        start = done["at"] + F.length(x["gap"])
-        end = start + F.length(x["match"])
+        start = done["at"] + x["gap"]
+        end = start + x["match"]
         return F.struct(end.alias("at"), F.array_append(done["out"], F.struct(start.alias("start"), kind_at.alias("kind"), end.alias("end"))).alias("out"))
 
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(matches)), matches, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
-    return F.when(F.size(matches) > 0, F.aggregate(pairs, empty, step, lambda done: done["out"])).otherwise(empty["out"])
+    pairs = F.zip_with(F.slice(gaps, 1, F.size(matches)), matches, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("match")))
+    folded = _chunked(pairs, F.lit(0), lambda done, chunk: F.aggregate(chunk, F.struct(done["at"].alias("at"), none.alias("out")), step), lambda out: out, f"array<{SPAN}>")
+    return F.when(F.size(matches) > 0, F.flatten(folded["out"])).otherwise(none)
 
 
 def _where(spans: Column, matches: Column, good) -> Column:
@@ -95,28 +117,36 @@ def _where(spans: Column, matches: Column, good) -> Column:
     return F.transform(F.filter(both, lambda x: good(x["m"])), lambda x: x["s"])
 
 
-def find(docs: DataFrame, model: list[float], text: str = "text") -> DataFrame:
-    """docs with _base and _all: array<struct(start, kind, end)> sorted by start, then kind; the text null is empty."""
+def find(docs: DataFrame, model: list[float], text: str = "text") -> tuple[DataFrame, str, str]:
+    """docs with two more columns, and their names, which docs does not have: the spans of the patterns, and all spans.
+
+    Spans are array<struct(start, kind, end)>, sorted by start, then kind; a null text is empty.
+    """
+    parts = ("assign", "access", "hex", "candidate", "a", "h", "ratio", "m", "base", "all")
+    names = {n: fresh(docs, f"_{n}") for n in parts}
+    col = {n: F.col(names[n]) for n in parts}
     body = F.coalesce(F.col(text), F.lit(""))
-    none = F.array().cast("array<string>")
+    none, no_spans = F.array().cast("array<string>"), F.array().cast(f"array<{SPAN}>")
 
-    def all_of(pattern: str, group: int, gate: Column) -> Column:
-        return F.when(gate, F.regexp_extract_all(body, F.lit(pattern), F.lit(group))).otherwise(none)
+    def all_of(pattern: str, gate: Column) -> Column:
+        return F.when(gate, F.regexp_extract_all(body, F.lit(pattern), F.lit(0))).otherwise(none)
 
     signs = F.contains(body, F.lit("=")) | F.contains(body, F.lit(":"))
-    rows = docs.select("*", all_of(ASSIGN, 0, signs).alias("_assign"), all_of(ASSIGN, 2, signs).alias("_value"), all_of(ACCESS, 0, F.contains(body, F.lit("AKIA"))).alias("_access"), F.regexp_extract_all(body, F.lit(HEX), F.lit(0)).alias("_hex"), F.regexp_extract_all(body, F.lit(CANDIDATE), F.lit(0)).alias("_candidate"))
-    rows = rows.select(
-        "*",
-        _where(_places(body, ASSIGN, F.col("_assign"), "assign"), F.col("_value"), lambda v: F.length(v) >= 12).alias("_a"),
-        F.concat(_places(body, ACCESS, F.col("_access"), "access"), _places(body, HEX, F.col("_hex"), "hex")).alias("_h"),
-        F.when(F.size("_candidate") > 0, F.transform("_candidate", lambda c: ratio(c, model))).otherwise(F.array().cast("array<double>")).alias("_ratio"),
-    )
-    suspect = F.exists(F.zip_with("_candidate", "_ratio", lambda c, r: (r >= TOTAL) & (r >= EACH * F.length(c))), lambda x: x)
-    rows = rows.select("*", F.array_sort(F.concat("_a", "_h")).alias("_base"), F.when(suspect, _places(body, CANDIDATE, F.col("_candidate"), "markov")).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int>>")).alias("_m"))
-    judged = F.filter(F.zip_with("_m", "_ratio", lambda s, r: F.struct(s.alias("s"), r.alias("r"))), lambda x: x["s"].isNotNull() & (x["r"] >= TOTAL) & (x["r"] >= EACH * (x["s"]["end"] - x["s"]["start"])))
-    free = F.filter(F.transform(judged, lambda x: x["s"]), lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])))
-    rows = rows.select("*", F.array_sort(F.concat("_base", free)).alias("_all"))
-    return rows.drop("_assign", "_value", "_access", "_hex", "_candidate", "_a", "_h", "_ratio", "_m")
+    rows = docs.withColumns({
+        names["assign"]: all_of(ASSIGN, signs), names["access"]: all_of(ACCESS, F.contains(body, F.lit("AKIA"))),
+        names["hex"]: all_of(HEX, F.lit(True)), names["candidate"]: all_of(CANDIDATE, F.lit(True)),
+    })
+    rows = rows.withColumns({
+        names["a"]: _where(_places(body, ASSIGN, col["assign"], "assign"), col["assign"], lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= 12),
+        names["h"]: F.concat(_places(body, ACCESS, col["access"], "access"), _places(body, HEX, col["hex"], "hex")),
+        names["ratio"]: F.when(F.size(col["candidate"]) > 0, F.transform(col["candidate"], lambda c: ratio(c, model))).otherwise(F.array().cast("array<double>")),
+    })
+    suspect = F.exists(F.zip_with(col["candidate"], col["ratio"], lambda c, r: (r >= TOTAL) & (r >= EACH * F.length(c))), lambda x: x)
+    rows = rows.withColumns({names["base"]: F.array_sort(F.concat(col["a"], col["h"])), names["m"]: F.when(suspect, _places(body, CANDIDATE, col["candidate"], "markov")).otherwise(no_spans)})
+    judged = F.filter(F.zip_with(col["m"], col["ratio"], lambda s, r: F.struct(s.alias("s"), r.alias("r"))), lambda x: x["s"].isNotNull() & (x["r"] >= TOTAL) & (x["r"] >= EACH * (x["s"]["end"] - x["s"]["start"])))
+    free = F.filter(F.transform(judged, lambda x: x["s"]), lambda s: ~F.exists(col["base"], lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])))
+    rows = rows.withColumn(names["all"], F.array_sort(F.concat(col["base"], free)))
+    return rows.drop(*(names[n] for n in parts[:-2])), names["base"], names["all"]
 
 
 def _text_of(spans: Column) -> Column:
@@ -136,25 +166,37 @@ def scan(docs: DataFrame, model: list[float] | None = None) -> DataFrame:
     is trained from docs.
     """
     model = train(labelled_samples(docs)) if model is None else model
-    found = find(docs.select("doc_id", "text"), model)
-    counts = [F.size(F.filter("_all", _is(i))).cast("long").alias(f"n_{KINDS[i]}") for i in range(4)]
-    return found.select("doc_id", *counts[:3], F.sha2(_text_of(F.col("_base")).cast("binary"), 256).alias("base_sha256"), _text_of(F.col("_all")).alias("spans"), counts[3])
+    found, base, every = find(docs.select("doc_id", "text"), model)
+    counts = [F.size(F.filter(every, _is(i))).cast("long").alias(f"n_{KINDS[i]}") for i in range(4)]
+    return found.select("doc_id", *counts[:3], F.sha2(_text_of(F.col(base)).cast("binary"), 256).alias("base_sha256"), _text_of(F.col(every)).alias("spans"), counts[3])
 
 
 def redact(docs: DataFrame, model: list[float] | None = None, mark: str = "[SECRET]") -> DataFrame:
-    """docs with every secret span of the text replaced by `mark` and n_chars, where there is one, counted again."""
+    """docs with every secret span of the text replaced by `mark` and n_chars, where there is one, counted again.
+
+    Spans that overlap become one mark. Null texts stay null, repeated rows each give a row, an empty table gives none.
+    """
     model = train(labelled_samples(docs)) if model is None else model
-    found = find(docs, model)
+    found, _, every = find(docs, model)
+    text, spans = F.col("text"), F.col(every)
+
+    def chunk(done: Column, some: Column) -> Column:
+        """The pieces from where the last chunk ended to the end of this one; places are counted within that stretch of text."""
+        begin, until = done["at"], F.greatest(done["at"], F.array_max(F.transform(some, lambda s: s["end"])))
+        held = F.array(F.substring(text, begin + 1, until - begin))
+
+        def step(stretch: Column):
+            def one(state: Column, s: Column) -> Column:
+                more = F.concat(state["out"], F.array(F.substring(stretch, state["at"] - begin + 1, s["start"] - state["at"]), F.lit(mark)))
+                return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(s["start"] >= state["at"], more).otherwise(state["out"]).alias("out"))
 
-    def step(done: Column, s: Column) -> Column:
-        kept = F.when(s["start"] >= done["at"], F.concat(done["out"], F.substring(F.col("text"), done["at"] + 1, s["start"] - done["at"]), F.lit(mark))).otherwise(done["out"])
-        return F.struct(F.greatest(done["at"], s["end"]).alias("at"), kept.alias("out"))
+            return one
 
-    def rest(done: Column) -> Column:
-        return F.concat(done["out"], F.substring(F.col("text"), done["at"] + 1, F.length("text")))
+        empty = F.struct(begin.alias("at"), F.array().cast("array<string>").alias("out"))
+        return F.get(F.transform(held, lambda stretch: F.aggregate(some, empty, step(stretch))), F.lit(0))
 
-    clean = F.when(F.size("_all") > 0, F.aggregate("_all", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, rest)).otherwise(F.col("text"))
-    out = found.withColumn("text", clean)
+    whole = F.transform(F.array(_chunked(spans, F.lit(0), chunk, lambda out: F.array_join(out, ""), "string")), lambda x: F.concat(F.array_join(x["out"], ""), F.substring(text, x["at"] + 1, F.length(text))))
+    out = found.withColumn("text", F.when(F.size(spans) > 0, F.get(whole, F.lit(0))).otherwise(text))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("_all") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
