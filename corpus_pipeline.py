@@ -6,10 +6,10 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomwork.llm import langid, mixing, nearcopies, secrets, spm
 from loomwork.llm.common import materialize, read_table
-from loomwork.llm.queries import quality_weights
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,9 +21,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document, that with the smallest doc_id, of each group of near copies.
 
     Near copies are texts whose five-word shingles have a Jaccard similarity of 0.8 or more, and a group is what such
-    links connect: two of its documents may be less alike. SimHash (three-word shingles, six bits) only proposes links.
+    links connect: two of its documents may be less alike. SimHash (six bits) and an exact key only propose links.
     """
-    return nearcopies.keep_first(docs, words=3, radius=6)
+    return nearcopies.keep_first(docs, radius=6)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +32,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as the mix takes them, repeats as rows."""
-    return mixing.repeated(docs, quality_weights(spark, sf_dir))
+    """The documents as the mix takes them, repeats as rows; weighed by their own text, as labels cover a part of them only."""
+    return mixing.repeated(docs, mixing.quality_of(F.col("text")))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,8 +5,11 @@ left of the target is drawn without replacement: a document's key is exponential
 the document, so that the smallest keys are a sample in which heavier documents come earlier; documents are taken in the
 order of their keys until their prefix sum of words reaches the rest of the target, and the last one in part.
 
-Keys of a source are cut into ranges that hold about RANGE documents each, by the distribution that the keys would have
-with equal weights. Words are summed by range before any sort, so one source's rows never meet in one task.
+No source is sorted to find where its sample ends. Words are summed by the keys' logarithms in steps of 1/256, some
+thousands of steps a source whatever the weights, then, in the step of the end alone, by steps of 2^-20 of that; what is
+left in one of those is a few documents and is sorted. Each source so gets its edge: the document at which its sample ends
+and what is left for it there. A document's words follow from its own key and its source's edge, so no table of texts is
+joined by document.
 """
 
 from __future__ import annotations
@@ -14,12 +17,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import materialize
+from loomwork.llm.common import by_source, fresh, materialize
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2.0
-#: Documents of one range of keys, about.
-RANGE = 4096
+#: Steps of a key's binary logarithm that words are summed by first, and steps of one of those.
+COARSE, FINE = 256, 1 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 SEED = "mix-1"
 
@@ -52,61 +55,106 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return rows.select("source", "source_size", "n_docs", F.when(F.col("is_full"), F.col("cap")).otherwise(level * F.col("w")).alias("target"))
 
 
-def mix(docs: DataFrame, quality: DataFrame | None = None, seed: str = SEED, rows_per_range: int = RANGE) -> DataFrame:
-    """One row per row of docs (doc_id, text, source): doc_id, size, source_size, target, taken, epochs.
+def quality_of(text: Column) -> Column:
+    """A weight from the text alone: between 0.5 and 2, larger for a larger share of letters among what is not white space."""
+    body = F.coalesce(text, F.lit(""))
+    share = F.length(F.regexp_replace(body, r"[^\p{L}]+", "")) / F.greatest(F.lit(1), F.length(F.regexp_replace(body, r"\s+", "")))
+    return 0.5 + 1.5 * share
 
-    taken is the number of words that the mix takes of the document, repeats counted: `epochs` whole passes, and in the
-    last one maybe a part. quality: optional (doc_id, weight) with weights above 0; other documents, null weights and
-    weights of 0 or less count as 1. The result depends on the rows only: u comes from the MD5 of seed, doc_id and
-    text, and equal keys, as of repeated rows, are ordered by doc_id and the MD5. Null texts have size 0 and take
-    nothing. Null doc_ids are documents like others. An empty table gives none; other columns are ignored.
-    """
-    digest = F.md5(F.concat_ws("\x00", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))).cast("binary"))
-    # 52 bits, off both ends of the unit interval
-    u = (F.conv(F.substring("digest", 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(2**52))
-    rows = docs.select("doc_id", "source", words(F.col("text")).alias("size"), digest.alias("digest")).withColumn("u", u)
-    if quality is None:
-        rows = rows.withColumn("weight", F.lit(1.0))
+
+def _keyed(docs: DataFrame, quality: DataFrame | Column | None, seed: str, more: dict[str, Column]) -> tuple[DataFrame, dict[str, str]]:
+    """docs with `more`, a digest and the sampling key under names that docs does not have, and these names."""
+    names = {n: fresh(docs, n) for n in ("digest", "key", "weight", "q_id", *more)}
+    text, doc_id = F.col("text"), F.col("doc_id")
+    digest = F.md5(F.concat_ws("\x00", F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("")), F.coalesce(text, F.lit(""))).cast("binary"))
+    rows = docs.withColumns({names["digest"]: digest, **{names[n]: c for n, c in more.items()}})
+    if isinstance(quality, DataFrame):
+        quality = quality.groupBy(F.col("doc_id").alias(names["q_id"])).agg(F.max("weight").cast("double").alias(names["weight"]))
+        rows = rows.join(quality, rows["doc_id"] == quality[names["q_id"]], "left")
     else:
-        quality = quality.groupBy(F.col("doc_id").alias("q_id")).agg(F.max("weight").cast("double").alias("weight"))
-        rows = rows.join(quality, rows.doc_id == quality.q_id, "left").drop("q_id")
-        rows = rows.withColumn("weight", F.when(F.col("weight") > 0, F.col("weight")).otherwise(F.lit(1.0)))
-    rows = materialize(rows.select("doc_id", "source", "size", "digest", (-F.log("u") / F.col("weight")).alias("key")), "mix_rows")
+        rows = rows.withColumn(names["weight"], F.lit(None).cast("double") if quality is None else quality)
+    # 52 bits, off both ends of the unit interval
+    u = (F.conv(F.substring(names["digest"], 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(2**52))
+    weight = F.when(F.col(names["weight"]) > 0, F.col(names["weight"])).otherwise(F.lit(1.0))
+    return rows.withColumn(names["key"], -F.log(u) / weight), names
+
+
+def _edges(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, source, size, digest, key) -> one row a source: p_source, source_size, target, epochs, rest, edge, share, half.
+
+    edge is the (key, doc_id, digest) at which the sample of `rest` words ends, null for an empty one; share the words that
+    each row of that edge gives (rows that are equal share evenly), half whether that is half of its size or more.
+    """
     plan = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs")))
     plan = plan.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
     plan = plan.withColumn("rest", F.greatest(F.lit(0), F.round(F.col("target")).cast("long") - F.col("epochs") * F.col("source_size")))
-    plan = materialize(plan.withColumn("ranges", F.ceil(F.col("n_docs") / rows_per_range)), "mix_plan").withColumnRenamed("source", "p_source")
-    # one row for each source, as many as the mix has
-    cut = rows.join(F.broadcast(plan), rows.source.eqNullSafe(F.col("p_source"))).drop("p_source")
-    cut = cut.withColumn("range", F.floor((1.0 - F.exp(-F.col("key"))) * F.col("ranges")).cast("long"))
-    sums = cut.groupBy("source", "range").agg(F.sum("size").alias("words"))
-    before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = materialize(sums.select("source", "range", "words", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("before")), "mix_ranges")
-    split = sums.join(F.broadcast(plan), sums.source.eqNullSafe(F.col("p_source"))).where("before < rest AND before + words > rest")
-    # at most one range of each source holds the end of its sample
-    split = split.select(F.col("source").alias("s_source"), F.col("range").alias("s_range"), "before")
-    full = F.broadcast(split)
-    cut = cut.join(full, cut.source.eqNullSafe(F.col("s_source")), "left")
-    inside = cut.where("s_range = range")
-    order = Window.partitionBy("source", "range").orderBy("key", "doc_id", "digest").rowsBetween(Window.unboundedPreceding, -1)
-    inside = inside.withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before") - F.coalesce(F.sum("size").over(order), F.lit(0)))))
-    # elsewhere a range is taken whole or not at all; a source without such a range ends exactly between two, or takes none
-    ends = sums.join(F.broadcast(plan), sums.source.eqNullSafe(F.col("p_source"))).where("before + words <= rest AND rest > 0").groupBy(F.col("source").alias("e_source")).agg(F.max("range").alias("whole"))
-    outside = cut.where("s_range IS NULL OR s_range <> range").join(F.broadcast(ends), cut.source.eqNullSafe(F.col("e_source")), "left")
-    outside = outside.withColumn("part", F.when(F.col("range") <= F.col("whole"), F.col("size")).otherwise(F.lit(0)).cast("long"))
-    cols = ["doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("part")).cast("long").alias("taken"), "epochs"]
-    return inside.select(*cols).union(outside.select(*cols))
-
-
-def repeated(docs: DataFrame, quality: DataFrame | None = None) -> DataFrame:
+    plan = materialize(plan.withColumnRenamed("source", "p_source"), "mix_plan")
+
+    def ends(sums: DataFrame, by: str) -> DataFrame:
+        """Of (p_source, by, words, rest) the rows at which the words of a source reach its rest, with the words before them."""
+        order = Window.partitionBy("p_source").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+        placed = sums.select("*", F.coalesce(F.sum("words").over(order), F.lit(0)).alias("before"))
+        return placed.where("before < rest AND before + words >= rest")
+
+    wanted = plan.where("rest > 0").select("p_source", "rest")
+    log = F.log2("key") * COARSE
+    steps = rows.where("size > 0").select("source", "doc_id", "digest", "key", "size", F.floor(log).alias("step"), F.floor((log - F.floor(log)) * FINE).alias("fine"))
+    sums = steps.groupBy(F.col("source").alias("name"), "step").agg(F.sum("size").alias("words"))
+    at = ends(wanted.join(sums, F.col("p_source").eqNullSafe(F.col("name"))).select("p_source", "rest", "step", "words"), "step")
+    at = materialize(at.select("p_source", F.col("step").alias("at_step"), (F.col("rest") - F.col("before")).alias("rest")), "mix_steps")
+    inside = by_source(steps, at, "source", "p_source").where("step = at_step").withColumnRenamed("source", "p_source")
+    sums = inside.groupBy("p_source", "rest", "fine").agg(F.sum("size").alias("words"))
+    near = ends(sums, "fine").select(F.col("p_source").alias("f_source"), F.col("fine").alias("at_fine"), (F.col("rest") - F.col("before")).alias("left"))
+    near = materialize(near, "mix_fine")
+    inside = by_source(inside, near, "p_source", "f_source").where("fine = at_fine")
+    inside = inside.groupBy("p_source", F.struct("key", "doc_id", "digest").alias("edge"), "left").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows"), F.max("size").alias("size"))
+    edge = ends(inside.withColumnRenamed("left", "rest"), "edge")
+    share = F.floor((F.col("rest") - F.col("before")) / F.col("rows"))
+    edge = edge.select(F.col("p_source").alias("e_source"), "edge", share.alias("share"), (2 * share >= F.col("size")).alias("half"))
+    out = plan.join(edge, F.col("p_source").eqNullSafe(F.col("e_source")), "left")
+    return materialize(out.select("p_source", "source_size", "target", "epochs", "rest", "edge", "share", "half"), "mix_edges")
+
+
+def _slim(docs: DataFrame, quality: DataFrame | Column | None, seed: str) -> DataFrame:
+    slim = docs.select("doc_id", "text", "source")
+    rows, names = _keyed(slim, quality, seed, {"size": words(F.col("text"))})
+    return materialize(rows.select("doc_id", "source", *(F.col(names[n]).alias(n) for n in ("size", "digest", "key"))), "mix_rows")
+
+
+def mix(docs: DataFrame, quality: DataFrame | Column | None = None, seed: str = SEED) -> DataFrame:
+    """One row per row of docs (doc_id, text, source): doc_id, size, source_size, target, taken, epochs.
+
+    taken is the number of words that the mix takes of the document, repeats counted: `epochs` whole passes, and in the
+    last one maybe a part. quality: optional (doc_id, weight), or a weight as a column of doc_id, text and source; other
+    documents, null weights and weights of 0 or less count as 1. The result depends on the rows only: u comes from the
+    MD5 of seed, doc_id and text, and equal keys are ordered by doc_id and the MD5; rows equal in all of these, where the
+    sample ends, share evenly what is left, less than one word each falling away. Null texts have size 0 and take
+    nothing. Null doc_ids are documents like others. An empty table gives none; other columns are ignored.
+    """
+    rows = _slim(docs, quality, seed)
+    cut = by_source(rows, _edges(rows), "source", "p_source")
+    place = F.struct("key", "doc_id", "digest")
+    part = F.when(place < F.col("edge"), F.col("size")).when(place == F.col("edge"), F.least("size", "share")).otherwise(F.lit(0))
+    part = F.when(F.col("edge").isNotNull(), part).otherwise(F.lit(0))
+    return cut.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"), "epochs")
+
+
+def repeated(docs: DataFrame, quality: DataFrame | Column | None = None, seed: str = SEED) -> DataFrame:
     """docs as the mix takes them: a row for each whole pass, and one more where at least half of the last pass is taken; the columns stay as they are.
 
-    Rows are matched by doc_id; rows with a null doc_id are taken like documents of their own, once.
+    Documents without words are taken never; null doc_ids are documents like others; an empty table gives none. With a
+    quality column no text is shuffled: each row finds its passes from its own key and its source's edge. A quality
+    table is joined by doc_id, and so moves the texts.
     """
-    taken = mix(docs, quality).groupBy("doc_id").agg(F.max("taken").alias("_taken"), F.max("size").alias("_size"), F.count(F.lit(1)).alias("_rows"))
-    taken = taken.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"), F.when(F.col("_size") > 0, F.floor(F.col("_taken") / F.col("_size") + F.lit(0.5))).otherwise(F.lit(0)).cast("int").alias("_times"))
-    taken = materialize(taken.where("_times > 0"), "mix_taken")
-    # taken grows with docs, so the join is by key at every size and never by broadcast
-    chosen = docs.join(taken.hint("merge"), docs.doc_id == taken["_id"])
-    chosen = chosen.select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_pass")).drop("_pass")
-    return chosen.union(docs.where("doc_id IS NULL"))
+    edges = _edges(_slim(docs, quality, seed))
+    plan = edges.select(F.struct(*edges.columns).alias("plan"), "p_source")
+    rows, names = _keyed(docs, quality, seed, {"times": F.lit(0)})
+    held = fresh(rows, "plan")
+    found = by_source(rows, plan.select(F.col("plan").alias(held), "p_source"), "source", "p_source")
+    place = F.struct(F.col(names["key"]).alias("key"), F.col("doc_id").alias("doc_id"), F.col(names["digest"]).alias("digest"))
+    edge = F.col(held)["edge"]
+    last = F.when(edge.isNull(), F.lit(0)).when(place < edge, F.lit(1)).when((place == edge) & F.col(held)["half"], F.lit(1)).otherwise(F.lit(0))
+    times = F.when(F.coalesce(F.col("text"), F.lit("")).rlike(WORD), F.col(held)["epochs"].cast("int") + last).otherwise(F.lit(0))
+    passes = F.explode(F.sequence(F.lit(1), F.col(names["times"])))
+    found = found.withColumn(names["times"], times).where(F.col(names["times"]) > 0)
+    return found.select(*(F.col(f"`{c}`") for c in docs.columns), passes.alias(names["key"])).select(*(F.col(f"`{c}`") for c in docs.columns))
