@@ -20,26 +20,43 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import connected_components, drop_table, materialize, text_batches
-from loomwork.llm.simhash import fingerprint, near_links
+from loomwork.llm.common import connected_components, drop_table, materialize, mixed, text_batches, text_pieces, word_hashes
+from loomwork.llm.simhash import near_links
 
 WORDS = 5
 #: Texts of the sample that finds common shingles, the times one is seen in it, and the most of them that are sent out.
 SAMPLE, SEEN, COMMON = 10_000, 3, 100_000
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """The sorted distinct hashes of a text's five-word shingles, words as in simhash.fingerprint; fewer words are one."""
-    tokens = (text or "").encode("utf-8", "replace").lower().split()
-    if not tokens:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(tokens)
-    words = min(WORDS, len(tokens))
-    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    n = len(tokens) - words + 1
-    spans = zip(starts[:n].tolist(), ends[words - 1 :].tolist(), strict=True)
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in spans), np.uint64, n))
+def shingle_hashes(texts: list[str | None]) -> Iterator[np.ndarray]:
+    """The hashes of each text's five-word shingles in order, repeats included, words as in simhash.fingerprint; fewer words are one shingle."""
+    for at, to in text_pieces(texts):
+        parts = [(t or "").encode("utf-8", "replace") for t in texts[at:to]]
+        each, starts = word_hashes(b"\n".join(parts))
+        bounds = np.searchsorted(starts, np.concatenate([[0], np.cumsum([len(p) + 1 for p in parts])]))
+        whole = _combined(each, WORDS)
+        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+            yield whole[lo : hi - WORDS + 1] if hi - lo >= WORDS else _combined(each[lo:hi], hi - lo)
+
+
+def _combined(each: np.ndarray, words: int) -> np.ndarray:
+    out = np.full(max(0, len(each) - words + 1) if words else 0, words, np.uint64)
+    for k in range(words):
+        out = mixed(out ^ each[k : k + len(out)])
+    return out
+
+
+def shingles(texts: list[str | None]) -> Iterator[np.ndarray]:
+    """The sorted distinct hashes of each text's shingles."""
+    return map(np.unique, shingle_hashes(texts))
+
+
+def simhash(hashes: np.ndarray) -> int:
+    """Signed 64-bit SimHash of shingle hashes: a bit is set where more than half have it; none give 0."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 65536):  # bounded memory for very long texts
+        counts += np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.int64)[0])
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -50,6 +67,13 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 5 * both >= 4 * (len(a) + len(b) - both)
 
 
+def _inside(found: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """A mark for each that is in a sorted array."""
+    if not len(common):
+        return np.zeros(len(found), bool)
+    return common[np.minimum(np.searchsorted(common, found), len(common) - 1)] == found
+
+
 def _node(found: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), 42)).view(np.int64))
 
@@ -60,23 +84,23 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for text in batch["text"]:
-                yield pd.DataFrame({"h": shingles(text).view(np.int64)})
+            seen, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *shingles(batch["text"].tolist())]), return_counts=True)
+            yield pd.DataFrame({"h": seen.view(np.int64), "n": n})
 
-    rows = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text").mapInPandas(run, "h long")
-    counts = rows.groupBy("h").count().where(F.col("count") >= SEEN).orderBy(F.desc("count"), "h").limit(COMMON)
+    rows = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text").mapInPandas(run, "h long, n long")
+    counts = rows.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= SEEN).orderBy(F.desc("n"), "h").limit(COMMON)
     return np.sort(np.array([r["h"] for r in counts.collect()], np.int64).view(np.uint64))
 
 
-def _prints(docs: DataFrame, common: np.ndarray, words: int) -> DataFrame:
+def _prints(docs: DataFrame, common: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for text in batch["text"]:
-                found = shingles(text)
-                late = np.isin(found, common, assume_unique=True)
+            for hashes in shingle_hashes(batch["text"].tolist()):
+                found = np.unique(hashes)
+                late = _inside(found, common)
                 first = np.concatenate([found[~late], found[late]])[: len(found) - (4 * len(found) + 4) // 5 + 1] if len(found) else found
-                out.append((fingerprint(text, words), _node(found), len(found), first.view(np.int64)))
+                out.append((simhash(hashes), _node(found), len(found), first.view(np.int64)))
             yield pd.DataFrame(out, columns=["fp", "node", "n", "first"]).assign(doc_id=batch["doc_id"].to_numpy())[["doc_id", "fp", "node", "n", "first"]]
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, fp long, node long, n int, first array<long>")
@@ -91,12 +115,14 @@ def _simhash_pairs(classes: DataFrame, radius: int) -> DataFrame:
     return far.union(classes.join(codes, "fp").where("node <> head").select("head", "node"))
 
 
-def _key_pairs(shared: DataFrame, labels: DataFrame) -> DataFrame:
+def _key_pairs(classes: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs of classes in different components that share keys enough to be similar."""
-    named = shared.join(labels.withColumnRenamed("node", "labelled"), F.col("node") == F.col("labelled"), "left")
-    named = materialize(named.select("key", "node", "n", "at", F.coalesce("component", "node").alias("c")), "named")
-    several = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
-    rows = materialize(named.join(several, "key", "left_semi"), "several")
+    named = classes.join(labels.withColumnRenamed("node", "labelled"), F.col("node") == F.col("labelled"), "left")
+    named = materialize(named.select("node", "n", "first", F.coalesce("component", "node").alias("c")), "named")
+    keys = named.select("node", "n", "c", F.posexplode("first").alias("at", "key"))
+    # aggregated before the shuffle, so that a key of many texts moves a row a task
+    several = materialize(keys.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key"), "several")
+    rows = materialize(keys.join(several, "key", "left_semi"), "shared")
     x = rows.select("key", *(F.col(k).alias(f"{k}_a") for k in ("node", "n", "at", "c")))
     y = rows.select("key", *(F.col(k).alias(f"{k}_b") for k in ("node", "n", "at", "c")))
     met = x.join(y, "key").where("node_a < node_b AND c_a <> c_b AND 5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)")
@@ -113,7 +139,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFram
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"node": batch["node"], "hashes": [shingles(x).view(np.int64) for x in batch["text"]]})
+            yield pd.DataFrame({"node": batch["node"], "hashes": [x.view(np.int64) for x in shingles(batch["text"].tolist())]})
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -127,23 +153,23 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFram
     return out
 
 
-def keep_first(docs: DataFrame, words: int = 3, radius: int = 6) -> DataFrame:
+def keep_first(docs: DataFrame, radius: int = 6) -> DataFrame:
     """docs without all but the smallest doc_id of each group that links of similarity 4/5 and more connect; the columns stay.
 
-    words and radius are those of the SimHash links and change the cost only. Texts without words are copies of each
-    other. Of rows with one doc_id only one stays; rows with a null doc_id all stay and link nothing.
+    radius is that of the SimHash links and changes the cost only. Null texts are empty, and texts without words are
+    copies of each other. Of rows with one doc_id only one stays, that with the smallest text, and of equal texts any;
+    rows with a null doc_id all stay and link nothing. An empty table gives none.
     """
     text_batches(docs.sparkSession)
     if docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        docs = materialize(docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).union(docs.where("doc_id IS NULL")), "one_each")
+        whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+        one = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min_by(whole, F.coalesce("text", F.lit(""))).alias("_one")).select("_one.*")
+        docs = materialize(one.union(docs.where("doc_id IS NULL")), "one_each")
     named = docs.where("doc_id IS NOT NULL")
-    prints = materialize(_prints(named, common_shingles(named), words), "prints")
+    prints = materialize(_prints(named, common_shingles(named)), "prints")
     classes = materialize(prints.groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("first").alias("first")), "classes")
     near = _verified(_simhash_pairs(classes, radius), named, classes)
-    keys = classes.select("node", "n", F.posexplode("first").alias("at", "key"))
-    groups = keys.groupBy("key").agg(F.collect_list(F.struct("node", "n", "at")).alias("x")).where("size(x) > 1")
-    shared = materialize(groups.select("key", F.explode("x").alias("x")).select("key", "x.*"), "shared")
-    more = _verified(_key_pairs(shared, connected_components(near)), named, classes)
+    more = _verified(_key_pairs(classes, connected_components(near)), named, classes)
     labels = materialize(connected_components(near.union(more)), "labels").withColumnRenamed("node", "labelled")
     labelled = materialize(classes.join(labels, F.col("node") == F.col("labelled"), "left").select("node", "first_doc", F.coalesce("component", "node").alias("component")), "labelled")
     roots = labelled.groupBy("component").agg(F.min("first_doc").alias("kept"))
