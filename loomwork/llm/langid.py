@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import materialize, text_batches, text_pieces
+from loomwork.llm.common import fresh, materialize, text_batches, text_pieces
 
 BUCKETS = 1 << 16
 UNKNOWN = "und"
@@ -64,32 +64,37 @@ class TextModel:
         return out / np.maximum(n, 1)[:, None], n
 
 
-def train(docs: DataFrame) -> TextModel:
-    """Count the trigrams of all docs (text, lang) by language; rows without a language count for nothing.
+def train(docs: DataFrame, fold: Column | None = None, folds: int = 1) -> list[TextModel]:
+    """Models of the trigrams of all docs (text, lang) by language; rows without a language count for nothing.
 
-    What comes to the driver is a row for each language and bucket that occurs.
+    With folds (fold: a number from 0 for each row), the k-th model is counted from all folds but the k-th, so that a row
+    can be judged without its own text and label; without, one model of all rows. What comes to the driver is a row for
+    each fold, language and bucket that occurs: it grows with the languages, not with the documents.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for lang, part in batch.groupby("lang"):
+            for (lang, k), part in batch.groupby(["lang", "fold"]):
                 texts, sums = part["text"].tolist(), np.zeros(BUCKETS, np.int64)
                 for at, to in text_pieces(texts):
                     sums += np.bincount(_trigrams(texts[at:to])[0], minlength=BUCKETS)
                 seen = np.flatnonzero(sums)
-                yield pd.DataFrame({"lang": lang, "bucket": seen, "n": sums[seen]})
+                yield pd.DataFrame({"lang": lang, "fold": k, "bucket": seen, "n": sums[seen]})
 
     text_batches(docs.sparkSession)
-    rows = docs.where("lang IS NOT NULL AND lang <> '' AND text IS NOT NULL").select("text", "lang").mapInPandas(count, "lang string, bucket int, n long")
-    found = rows.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    rows = docs.where("lang IS NOT NULL AND lang <> '' AND text IS NOT NULL").select("text", "lang", (F.lit(0) if fold is None else fold).cast("int").alias("fold"))
+    found = rows.mapInPandas(count, "lang string, fold int, bucket int, n long").groupBy("lang", "fold", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(found["lang"].unique())
-    counts = np.zeros((len(languages) + 1, BUCKETS))
-    for k, lang in enumerate(languages):
-        mine = found[found["lang"] == lang]
-        counts[k, mine["bucket"]] = mine["n"]
-    logp = np.log((counts + 0.1) / (counts.sum(axis=1, keepdims=True) + 0.1 * BUCKETS))
-    logp[-1] = -np.log(BUCKETS)
-    return TextModel([*languages, UNKNOWN], logp)
+    counts = np.zeros((folds, len(languages) + 1, BUCKETS))
+    for (lang, k), mine in found.groupby(["lang", "fold"]):
+        counts[k, languages.index(lang), mine["bucket"]] = mine["n"]
+    models = []
+    for k in range(folds):
+        used = counts.sum(axis=0) - (counts[k] if folds > 1 else 0)
+        logp = np.log((used + 0.1) / (used.sum(axis=1, keepdims=True) + 0.1 * BUCKETS))
+        logp[-1] = -np.log(BUCKETS)
+        models.append(TextModel([*languages, UNKNOWN], logp))
+    return models
 
 
 def host_of(url: Column) -> Column:
@@ -110,22 +115,29 @@ def text_of(html: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(bare, r"(?s)<[^>]*>", " "), r"&#?[A-Za-z0-9]+;", " ")
 
 
-def identify(rows: DataFrame, model: TextModel) -> DataFrame:
-    """rows (id, text, declared, host) -> id, lang, confidence, text_lang, declared, host, n_trigrams, accepted.
+def identify(rows: DataFrame, models: list[TextModel]) -> DataFrame:
+    """rows (id, text, declared, host, and fold where there are several models) -> id, lang, confidence, text_lang, declared, host, n_trigrams, accepted.
+
+    A text's likelihood is the mean over all its trigrams, times their number or MOST, whichever is less: neighbouring
+    trigrams are no independent evidence, and a long text shall not drown the rest. A row of fold k is judged by model k.
 
     lang is the class of the highest posterior, ties to the first in order. accepted: lang is not `und` and there is a
     trigram at all. Null or empty texts have no trigrams and are judged by the other evidence, but never accepted. Null
     declarations and hosts count as empty ones. Repeated rows each give a row; an empty table gives none.
     """
-    names, size = model.languages, len(model.languages)
+    names, size = models[0].languages, len(models[0].languages)
 
     def likelihoods(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            mean, n = model.score(batch["text"].tolist())
+            mean, n = np.zeros((len(batch), size)), np.zeros(len(batch), np.int64)
+            for k, model in enumerate(models):
+                mine = np.flatnonzero(batch["fold"].to_numpy() == k)
+                mean[mine], n[mine] = model.score(batch["text"].iloc[mine].tolist())
             yield pd.DataFrame({"id": batch["id"], "declared": batch["declared"], "host": batch["host"], "ll": list(mean * np.minimum(n, MOST)[:, None]), "n": n})
 
     text_batches(rows.sparkSession)
-    texts = rows.select(F.col("id").cast("long").alias("id"), "text", F.coalesce("declared", F.lit("")).alias("declared"), F.coalesce("host", F.lit("")).alias("host"))
+    fold = F.col("fold").cast("int") if len(models) > 1 else F.lit(0)
+    texts = rows.select(F.col("id").cast("long").alias("id"), "text", F.coalesce("declared", F.lit("")).alias("declared"), F.coalesce("host", F.lit("")).alias("host"), fold.alias("fold"))
     texts = materialize(texts.mapInPandas(likelihoods, "id long, declared string, host string, ll array<double>, n long"), "language_evidence")
     said = F.when(F.col("declared").isin(names), F.col("declared")).otherwise(F.lit(""))
 
@@ -188,14 +200,21 @@ def identify_pages(pages: DataFrame, docs: DataFrame) -> DataFrame:
     return identify(rows, train(docs)).withColumnRenamed("id", "page_id")
 
 
-def keep_identified(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, lang, source) without those whose text is in none of the languages of docs; the columns stay as they are.
+def keep_identified(docs: DataFrame, sure: float = 0.5, folds: int = 2) -> DataFrame:
+    """docs (doc_id, text, lang, source) in one of the languages of docs, lang being the language found; the other columns stay as they are.
 
-    The lang column is the declaration, the source the host. A doc_id stays if one of its rows does; a null doc_id's row
-    stays if its text holds a letter.
+    The lang column is the declaration, the source the host. A document goes if its text holds no trigram, is explained
+    by no language, or if the posterior of the best is below `sure`. Each text is judged by a model that is counted from
+    the other folds (by a hash of doc_id) alone, so that its own label weighs as the declaration only. A doc_id stays if
+    one of its rows does, with the language of its rows that is surest; a null doc_id's row stays as it is if its text
+    holds a letter. An empty table gives none.
     """
-    rows = docs.select(F.col("doc_id").alias("id"), "text", F.lower("lang").alias("declared"), F.col("source").alias("host")).where("id IS NOT NULL")
-    found = identify(rows, train(docs))
-    good = materialize(found.groupBy("id").agg(F.max("accepted").alias("ok")).where("NOT ok").select("id"), "language_rejects")
-    kept = docs.join(good, docs.doc_id == good.id, "left_anti")
-    return kept.where(F.col("doc_id").isNotNull() | F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).select(*docs.columns)
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(folds))
+    named = docs.where("doc_id IS NOT NULL")
+    rows = named.select(F.col("doc_id").alias("id"), "text", F.lower("lang").alias("declared"), F.col("source").alias("host"), fold.alias("fold"))
+    found = identify(rows, train(named, fold, folds)).where(F.col("accepted") & (F.col("confidence") >= sure))
+    found = materialize(found.groupBy("id").agg(F.max_by("lang", "confidence").alias("lang")), "languages")
+    key, lang = fresh(docs, "id"), fresh(docs, "found")
+    kept = named.join(found.select(F.col("id").alias(key), F.col("lang").alias(lang)), F.col("doc_id") == F.col(key))
+    kept = kept.select(*((F.col(lang).alias(c) if c == "lang" else F.col(f"`{c}`")) for c in docs.columns))
+    return kept.union(docs.where(F.col("doc_id").isNull() & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))))
