@@ -349,6 +349,65 @@ def test_secrets(spark, docs, edges):
     assert secrets.redact(edges, model).count() == len(EDGES) and secrets.scan(docs.limit(0)).count() == 0
 
 
+def brute_model(samples):
+    """Log-likelihood ratios by (first, second), from the formula: class frequencies as prior of each row."""
+    code = {c: i + 1 for i, c in enumerate(secrets.ALPHABET)}
+    size = len(code) + 1
+    out = {}
+    for random in (True, False):
+        pairs = Counter((code.get(a, 0), code.get(b, 0)) for s, r in samples if r == random for a, b in zip(s, s[1:]))
+        first, second = Counter(), Counter()
+        for (a, b), n in pairs.items():
+            first[a] += n
+            second[b] += n
+        mass = sum(second.values()) + secrets.EVEN_PRIOR
+        for a in range(size):
+            for b in range(size):
+                p = (pairs[a, b] + secrets.ROW_PRIOR * (second[b] + secrets.EVEN_PRIOR / size) / mass) / (first[a] + secrets.ROW_PRIOR)
+                out[a, b] = out.get((a, b), 0) + (math.log(p) if random else -math.log(p))
+    return out, code
+
+
+def test_secret_models_and_spans(spark, docs):
+    """Ratios and added spans from the samples on, by brute force, over whole texts."""
+    samples = secrets.labelled_samples(docs)
+    table, code = brute_model([tuple(r) for r in samples.collect()])
+    model = secrets.train(samples)
+    assert np.allclose(model, [table[a, b] for a in range(len(code) + 1) for b in range(len(code) + 1)])
+    rows = docs.select("doc_id", "text").union(spark.createDataFrame(TRICKY, DOCS).select("doc_id", "text"))
+    texts = {r["doc_id"]: r["text"] for r in rows.collect()}
+    marked = 0
+    for r in secrets.scan(rows, model).collect():
+        base = base_spans(texts[r["doc_id"]])
+        more = []
+        for m in re.finditer(secrets.CANDIDATE, texts[r["doc_id"]]):
+            score = sum(table[code.get(a, 0), code.get(b, 0)] for a, b in zip(m[0], m[0][1:]))
+            if score >= secrets.TOTAL and score >= secrets.EACH * len(m[0]) and not any(a < m.end() and b > m.start() for a, _, b in base):
+                more.append((m.start(), 3, m.end()))
+        assert r["spans"] == joined(sorted(base + more)) and r["n_markov"] == len(more)
+        marked += len(more)
+    assert marked
+
+
+def test_redacts_many_spans_and_clashing_columns(spark, docs):
+    """Spans beyond several chunks, with overlaps, and columns that are named like helpers."""
+    model = secrets.train(secrets.labelled_samples(docs))
+    text = " ".join(f"é{k} token={'deadbeef' * 3}{k:06x} AKIA{k:016d}" for k in range(500))
+    names = ["_base", "_all", "_hex", "_assign", "_A", "_m", "at", "out", "spans"]
+    df = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string").withColumns({n: F.lit(n) for n in names})
+    out = secrets.redact(df, model)
+    assert out.columns == df.columns
+    got = {r["doc_id"]: r for r in out.collect()}
+    want, at = [], 0
+    for a, _, b in base_spans(text):
+        if a >= at:
+            want += [text[at:a], "[SECRET]"]
+        at = max(at, b)
+    assert got[1]["text"] == "".join(want) + text[at:] and got[1]["_base"] == "_base"
+    assert got[2]["text"] is None and got[3]["text"] == ""
+    assert secrets.scan(df, model).where("doc_id = 1").first()["base_sha256"] == hashlib.sha256(joined(base_spans(text)).encode()).hexdigest()
+
+
 # ------------------------------------------------ op9
 
 
@@ -412,10 +471,13 @@ def brute_mix(rows, weights, quality):
     return taken, {s: (total[s], target[s]) for s in names}
 
 
-@pytest.mark.parametrize("rows_per_range", [4, 4096])
-def test_mixing(spark, sf, docs, rows_per_range):
-    weights = queries.quality_weights(spark, sf)
-    out = mixing.mix(docs, weights, rows_per_range=rows_per_range).collect()
+@pytest.mark.parametrize("steps", [(1, 2), (256, 1 << 20)])
+@pytest.mark.parametrize("heavy", [1.0, 1000.0])
+def test_mixing(spark, sf, docs, steps, heavy, monkeypatch):
+    monkeypatch.setattr(mixing, "COARSE", steps[0])
+    monkeypatch.setattr(mixing, "FINE", steps[1])
+    weights = queries.quality_weights(spark, sf).withColumn("weight", F.col("weight") * heavy)
+    out = mixing.mix(docs, weights).collect()
     rows = [(r["doc_id"], r["text"], r["source"]) for r in docs.collect()]
     taken, sources = brute_mix(rows, mixing.WEIGHTS, {r["doc_id"]: r["weight"] for r in weights.collect()})
     assert {r["doc_id"]: r["taken"] for r in out} == taken
@@ -429,3 +491,32 @@ def test_mixing_edges(edges, none):
     assert sorted(map(str, out.collect())) == sorted(map(str, mixing.mix(edges.repartition(5)).collect()))
     assert mixing.mix(none).count() == 0
     assert mixing.repeated(edges).columns == edges.columns
+
+
+def test_mix_repeats_what_it_takes(spark, sf, docs):
+    """Rows of repeated() are the rounded passes of mix(), by source, with clashing names about, broadcast or joined."""
+    quality = mixing.quality_of(F.col("text"))
+    names = ["digest", "KEY", "times", "weight", "plan", "q_id", "p_source", "size", "_pass", "edge"]
+    crowded = docs.withColumns({n: F.lit(n) for n in names})
+    taken = {r["doc_id"]: math.floor(r["taken"] / r["size"] + 0.5) if r["size"] else 0 for r in mixing.mix(crowded, quality).collect()}
+    out = mixing.repeated(crowded, quality)
+    assert out.columns == crowded.columns
+    got = Counter(r["doc_id"] for r in out.collect())
+    assert {i: got[i] for i in taken} == taken
+    sizes = {r["source"]: r["target"] for r in mixing.mix(docs, quality).join(docs.select("doc_id", "source"), "doc_id").collect()}
+    most = docs.select(F.max(mixing.words(F.col("text")))).first()[0]
+    for r in out.groupBy("source").agg(F.sum(mixing.words(F.col("text"))).alias("n")).collect():
+        assert abs(r["n"] - sizes[r["source"]]) <= most
+
+
+def test_mix_joined_by_source(docs, monkeypatch):
+    want = sorted(map(tuple, mixing.mix(docs).collect()))
+    monkeypatch.setattr("loomwork.llm.common.SOURCES", 1)
+    assert sorted(map(tuple, mixing.mix(docs).collect())) == want
+
+
+def test_mix_of_equal_rows(spark):
+    rows = [(1, "a b c d e", "x")] * 7 + [(None, "a b", None)] * 3
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    total = sum(r["taken"] for r in out)
+    assert len(out) == 10 and abs(total - 1.5 * 41) <= 10 and len({(r["doc_id"], r["taken"]) for r in out}) == 2
