@@ -6,9 +6,9 @@ precompiled character map, extra white space, the dummy prefix), the white-space
 
 No piece holds a marker after another character (this is checked), so a text's encoding is that of its chunks, each a run
 of markers and what follows up to the next one. A batch encodes each distinct chunk once, by all threads of the library,
-and maps every chunk to its ids. The bytes of each distinct chunk's pieces are compared with the chunk and, where the
-sentencepiece library is asked to confirm parity, its ids with that library's. Each text's ids are decoded by the rebuilt
-decoder and compared with the text.
+and maps every chunk to its ids. Each distinct chunk's ids are decoded by the rebuilt decoder and compared with the chunk
+and, where the sentencepiece library is asked to confirm parity, with that library's ids. A chunk begins with a marker,
+which ends any run of byte pieces, so a text's decoding is that of its chunks too.
 """
 
 from __future__ import annotations
@@ -153,7 +153,8 @@ class Codec:
         self.chunked = self.model.splits and not self.model.charsmap and not self.model.squeeze and self.model.dummy_prefix
         self.bare = self.model.tokenizer()
         self.bare.normalizer = self.bare.pre_tokenizer = None
-        self.bytes = [bytes([int(p[3:-1], 16)]) if k == BYTE else p.replace(MARK, " ").encode() for p, _, k in self.model.pieces]
+        self.pieces = self.model.tokenizer()  # decodes what is not the beginning of a text
+        self.pieces.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
         self.forget()
         self.other = None
         if parity:
@@ -188,9 +189,7 @@ class Codec:
                 n = self.lengths[chunk]
                 where = np.repeat(self.starts[chunk] - np.cumsum(n) + n, n) + np.arange(n.sum())
                 found.append((self.flat[where], bool(self.exact[chunk].all()), bool(self.same[chunk].all())))
-            back = self.decode([ids.tolist() for ids, _, _ in found])
-            for text, again, (ids, exact, same) in zip(part, back, found, strict=True):
-                yield ids, exact and again == text, same
+            yield from found
 
     def forget(self) -> None:
         """Empty the table of chunks."""
@@ -207,7 +206,7 @@ class Codec:
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.fromiter(chain.from_iterable(found), np.int32, lengths.sum())
         starts = np.cumsum(lengths) - lengths
-        exact = [b"".join([self.bytes[i] for i in x]) == c.encode("utf-8", "replace") for c, x in zip(chunks, found, strict=True)]
+        exact = [x == c for c, x in zip(chunks, self.pieces.decode_batch(found, skip_special_tokens=False), strict=True)]
         same = [True] * len(chunks)
         if self.other is not None:
             asked = [i for i, c in enumerate(chunks) if c != " " and zlib.crc32(c.encode("utf-8", "replace")) % self.parity == 0]

@@ -43,5 +43,8 @@ def test_ids_are_decoded():
     c = codec()
     texts = ["Two  spaces, ünïcode \U0001f600 and \n lines ", "", " lead"]
     assert all(exact for _, exact, _ in c.encode(texts))
-    c.tokenizer.decoder = decoders.Sequence([decoders.Fuse()])
+    whole = c.decode([ids.tolist() for ids, _, _ in c.encode(texts)])
+    assert whole == texts
+    c.forget()
+    c.pieces.decoder = decoders.Sequence([decoders.Fuse()])
     assert not all(exact for _, exact, _ in c.encode(texts))
