@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a table of sources that is broadcast at most.
 SOURCES = 10_000
+#: Rows of a table of one or two numbers that is broadcast at most: 16 MB of data.
+IDS = 1_000_000
 #: Bytes of a batch of rows with texts that a Python worker gets at once.
 TEXT_BATCH = 8 << 20
 
@@ -68,6 +70,15 @@ def by_source(rows: DataFrame, table: DataFrame, source: str, key: str) -> DataF
     return rows.join(F.broadcast(table) if few else table, rows[source].eqNullSafe(table[key])).drop(table[key])
 
 
+def on_ids(rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
+    """rows joined on a number with a written table of ids that is short beside them, so that rows need not move.
+
+    The table is broadcast where it has no more than IDS rows, and the join shuffles both sides otherwise.
+    """
+    few = ids.limit(IDS + 1).count() <= IDS
+    return rows.join(F.broadcast(ids) if few else ids, key, how)
+
+
 def text_batches(spark: SparkSession) -> None:
     """Bound what a Python worker gets at once by bytes, as texts may be of any length; a smaller setting stays."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -18,8 +18,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import PandasUDFType
 
-from loomwork.llm.common import fresh, materialize, text_batches, text_pieces
+from loomwork.llm.common import by_source, materialize, text_batches, text_pieces
 
 BUCKETS = 1 << 16
 UNKNOWN = "und"
@@ -125,20 +126,30 @@ def identify(rows: DataFrame, models: list[TextModel]) -> DataFrame:
     trigram at all. Null or empty texts have no trigrams and are judged by the other evidence, but never accepted. Null
     declarations and hosts count as empty ones. Repeated rows each give a row; an empty table gives none.
     """
-    names, size = models[0].languages, len(models[0].languages)
+    fold = F.col("fold").cast("int") if len(models) > 1 else F.lit(0)
+    texts = rows.select(F.col("id").cast("long").alias("id"), F.coalesce("declared", F.lit("")).alias("declared"), F.coalesce("host", F.lit("")).alias("host"), _evidence(rows, models, F.col("text"), fold).alias("e"))
+    texts = materialize(texts.select("id", "declared", "host", "e.*"), "language_evidence")
+    return _judged(texts, texts, models[0].languages).select("id", "lang", "confidence", "text_lang", "declared", "host", F.col("n").alias("n_trigrams"), "accepted")
 
-    def likelihoods(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            mean, n = np.zeros((len(batch), size)), np.zeros(len(batch), np.int64)
+
+def _evidence(rows: DataFrame, models: list[TextModel], text: Column, fold: Column) -> Column:
+    """struct(ll array<double>, n long) of each text: its tempered log-likelihood by class, and its trigrams."""
+
+    def likelihoods(columns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, folds in columns:
+            mean, n = np.zeros((len(texts), len(models[0].logp))), np.zeros(len(texts), np.int64)
             for k, model in enumerate(models):
-                mine = np.flatnonzero(batch["fold"].to_numpy() == k)
-                mean[mine], n[mine] = model.score(batch["text"].iloc[mine].tolist())
-            yield pd.DataFrame({"id": batch["id"], "declared": batch["declared"], "host": batch["host"], "ll": list(mean * np.minimum(n, MOST)[:, None]), "n": n})
+                mine = np.flatnonzero(folds.to_numpy() == k)
+                mean[mine], n[mine] = model.score(texts.iloc[mine].tolist())
+            yield pd.DataFrame({"ll": list(mean * np.minimum(n, MOST)[:, None]), "n": n})
 
     text_batches(rows.sparkSession)
-    fold = F.col("fold").cast("int") if len(models) > 1 else F.lit(0)
-    texts = rows.select(F.col("id").cast("long").alias("id"), "text", F.coalesce("declared", F.lit("")).alias("declared"), F.coalesce("host", F.lit("")).alias("host"), fold.alias("fold"))
-    texts = materialize(texts.mapInPandas(likelihoods, "id long, declared string, host string, ll array<double>, n long"), "language_evidence")
+    return F.pandas_udf(likelihoods, "ll array<double>, n long", PandasUDFType.SCALAR_ITER)(text, fold)
+
+
+def _judged(texts: DataFrame, out: DataFrame, names: list[str]) -> DataFrame:
+    """out with lang, confidence, text_lang and accepted, from the evidence of the table texts (declared, host, ll, n), whose columns out has too."""
+    size = len(names)
     said = F.when(F.col("declared").isin(names), F.col("declared")).otherwise(F.lit(""))
 
     def best(scores: Column) -> Column:
@@ -186,12 +197,11 @@ def identify(rows: DataFrame, models: list[TextModel]) -> DataFrame:
     prior = level(["suffix"], "suffix", top, [])
     prior = level(["suffix", "domain"], "domain", prior, ["suffix"])
     prior = materialize(level(["suffix", "domain", "host"], "host", prior, ["suffix", "domain"]).select(F.col("host").alias("p_host"), "prior"), "language_priors")
-    joined = texts.join(prior, texts.host == prior.p_host)
+    joined = by_source(out, prior, "host", "p_host")
     scores = F.zip_with(evidence, "prior", lambda e, p: e + F.log(p))
-    out = joined.select("id", "declared", "host", "n", best(F.col("ll")).alias("text_lang"), scores.alias("scores"))
-    out = out.select("*", best(F.col("scores")).alias("lang"), F.array_max(posterior(F.col("scores"))).alias("confidence"))
-    text_lang = F.when(F.col("n") > 0, F.col("text_lang"))
-    return out.select("id", "lang", "confidence", text_lang.alias("text_lang"), "declared", "host", F.col("n").alias("n_trigrams"), ((F.col("n") > 0) & (F.col("lang") != UNKNOWN)).alias("accepted"))
+    out = joined.withColumn("scores", scores)
+    out = out.withColumns({"lang": best(F.col("scores")), "confidence": F.array_max(posterior(F.col("scores"))), "text_lang": F.when(F.col("n") > 0, best(F.col("ll")))})
+    return out.withColumn("accepted", (F.col("n") > 0) & (F.col("lang") != UNKNOWN))
 
 
 def identify_pages(pages: DataFrame, docs: DataFrame) -> DataFrame:
@@ -205,16 +215,17 @@ def keep_identified(docs: DataFrame, sure: float = 0.5, folds: int = 2) -> DataF
 
     The lang column is the declaration, the source the host. A document goes if its text holds no trigram, is explained
     by no language, or if the posterior of the best is below `sure`. Each text is judged by a model that is counted from
-    the other folds (by a hash of doc_id) alone, so that its own label weighs as the declaration only. A doc_id stays if
-    one of its rows does, with the language of its rows that is surest; a null doc_id's row stays as it is if its text
-    holds a letter. An empty table gives none.
+    the other folds (by a hash of doc_id) alone, so that its own label weighs as the declaration only. A row with a null
+    doc_id stays as it is if its text holds a letter. Repeated rows each are judged; an empty table gives none.
+
+    The rows are written once with their evidence and judged where they lie: no table of texts is joined by document.
     """
-    fold = F.pmod(F.xxhash64("doc_id"), F.lit(folds))
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(folds)).cast("int")
     named = docs.where("doc_id IS NOT NULL")
-    rows = named.select(F.col("doc_id").alias("id"), "text", F.lower("lang").alias("declared"), F.col("source").alias("host"), fold.alias("fold"))
-    found = identify(rows, train(named, fold, folds)).where(F.col("accepted") & (F.col("confidence") >= sure))
-    found = materialize(found.groupBy("id").agg(F.max_by("lang", "confidence").alias("lang")), "languages")
-    key, lang = fresh(docs, "id"), fresh(docs, "found")
-    kept = named.join(found.select(F.col("id").alias(key), F.col("lang").alias(lang)), F.col("doc_id") == F.col(key))
-    kept = kept.select(*((F.col(lang).alias(c) if c == "lang" else F.col(f"`{c}`")) for c in docs.columns))
+    models = train(named, fold, folds)
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole")
+    rows = named.select(whole, F.coalesce(F.lower("lang"), F.lit("")).alias("declared"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), _evidence(docs, models, F.col("text"), fold).alias("e"))
+    rows = materialize(rows.select("whole", "declared", "host", "e.*"), "language_evidence")
+    kept = _judged(rows.drop("whole"), rows, models[0].languages).where(F.col("accepted") & (F.col("confidence") >= sure))
+    kept = kept.select(*((F.col("lang").alias(c) if c == "lang" else F.col("whole")[c].alias(c)) for c in docs.columns))
     return kept.union(docs.where(F.col("doc_id").isNull() & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))))

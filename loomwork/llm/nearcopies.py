@@ -20,12 +20,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import connected_components, drop_table, materialize, mixed, text_batches, text_pieces, word_hashes
+from loomwork.llm.common import connected_components, drop_table, materialize, mixed, on_ids, text_batches, text_pieces, word_hashes
 from loomwork.llm.simhash import near_links
 
 WORDS = 5
 #: Texts of the sample that finds common shingles, the times one is seen in it, and the most of them that are sent out.
 SAMPLE, SEEN, COMMON = 10_000, 3, 100_000
+SHIFT = 1 << 31
 
 
 def shingle_hashes(texts: list[str | None]) -> Iterator[np.ndarray]:
@@ -119,16 +120,20 @@ def _key_pairs(classes: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs of classes in different components that share keys enough to be similar."""
     named = classes.join(labels.withColumnRenamed("node", "labelled"), F.col("node") == F.col("labelled"), "left")
     named = materialize(named.select("node", "n", "first", F.coalesce("component", "node").alias("c")), "named")
-    keys = named.select("node", "n", "c", F.posexplode("first").alias("at", "key"))
+    # size and place in one number: these are the rows that there are most of
+    keys = named.select("node", "c", "n", F.posexplode("first").alias("at", "key")).select("key", "node", "c", (F.col("n").cast("long") * SHIFT + F.col("at")).alias("n_at"))
     # aggregated before the shuffle, so that a key of many texts moves a row a task
     several = materialize(keys.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key"), "several")
-    rows = materialize(keys.join(several, "key", "left_semi"), "shared")
-    x = rows.select("key", *(F.col(k).alias(f"{k}_a") for k in ("node", "n", "at", "c")))
-    y = rows.select("key", *(F.col(k).alias(f"{k}_b") for k in ("node", "n", "at", "c")))
-    met = x.join(y, "key").where("node_a < node_b AND c_a <> c_b AND 5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)")
-    pairs = met.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.max("at_a").alias("i"), F.max("at_b").alias("j"), F.first("n_a").alias("na"), F.first("n_b").alias("nb"))
+    rows = materialize(on_ids(keys, several, "key", "left_semi"), "shared")
+    drop_table(several)
+    x = rows.select("key", *(F.col(k).alias(f"{k}_a") for k in ("node", "c", "n_at")))
+    y = rows.select("key", *(F.col(k).alias(f"{k}_b") for k in ("node", "c", "n_at")))
+    n, at = ({k: F.floor(F.col(f"n_at_{k}") / SHIFT) for k in "ab"}, {k: F.col(f"n_at_{k}") % SHIFT for k in "ab"})
+    met = x.join(y, (x["key"] == y["key"]) & (F.col("node_a") < F.col("node_b")) & (F.col("c_a") != F.col("c_b")) & (5 * F.least(n["a"], n["b"]) >= 4 * F.greatest(n["a"], n["b"])) & (9 * (F.least(at["a"], at["b"]) + F.least(n["a"] - at["a"], n["b"] - at["b"])) >= 4 * (n["a"] + n["b"])))
+    pairs = met.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.max("n_at_a").alias("last_a"), F.max("n_at_b").alias("last_b"))
+    i, j, na, nb = F.col("last_a") % SHIFT, F.col("last_b") % SHIFT, F.floor(F.col("last_a") / SHIFT), F.floor(F.col("last_b") / SHIFT)
     # k shared shingles up to the last one, and no more after it than either set has left
-    return pairs.where("9 * (k + least(na - i, nb - j) - 1) >= 4 * (na + nb)").select("a", "b")
+    return pairs.where(9 * (F.col("k") + F.least(na - i, nb - j) - 1) >= 4 * (na + nb)).select("a", "b")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -137,19 +142,17 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFram
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     ends = classes.join(ends, "node", "left_semi").select(F.col("first_doc").alias("doc_id"), "node")
 
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"node": batch["node"], "hashes": [x.view(np.int64) for x in shingles(batch["text"].tolist())]})
-
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            same = [similar(np.asarray(x, np.int64).view(np.uint64), np.asarray(y, np.int64).view(np.uint64)) for x, y in zip(batch["x"], batch["y"], strict=True)]
+            same = [similar(x, y) for x, y in zip(shingles(batch["x"].tolist()), shingles(batch["y"].tolist()), strict=True)]
             yield batch.loc[np.array(same, bool), ["a", "b"]]
 
-    found = materialize(docs.select("doc_id", "text").join(ends, "doc_id").select("node", "text").mapInPandas(sets, "node long, hashes array<long>"), "sets")
-    x, y = found.select(F.col("node").alias("a"), F.col("hashes").alias("x")), found.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
+    # texts are shorter than their sets, so they travel and the sets are made where the ends meet
+    found = materialize(on_ids(docs.select("doc_id", "text"), materialize(ends, "ends"), "doc_id", "inner").select("node", "text"), "texts")
+    x, y = found.select(F.col("node").alias("a"), F.col("text").alias("x")), found.select(F.col("node").alias("b"), F.col("text").alias("y"))
     out = materialize(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(compare, "a long, b long"), "similar")
     drop_table(found)
+    drop_table(pairs)
     return out
 
 
@@ -175,4 +178,4 @@ def keep_first(docs: DataFrame, radius: int = 6) -> DataFrame:
     roots = labelled.groupBy("component").agg(F.min("first_doc").alias("kept"))
     kept = materialize(labelled.join(roots, "component").select("node", "kept"), "kept")
     copies = materialize(prints.select("doc_id", "node").join(kept, "node").where("doc_id <> kept").select("doc_id"), "copies")
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    return on_ids(docs, copies, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
