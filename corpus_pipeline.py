@@ -5,11 +5,15 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.llm import langid, mixing, nearcopies, secrets, spm
-from loomwork.llm.common import materialize, read_table
+from loomwork.llm.common import drop_paths, materialize, read_table, watching
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,17 +45,39 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return spm.encode(docs)
 
 
-STAGES = [("language ID", language), ("SimHash near-dedup", near_duplicates), ("secret scans", secret_scan), ("mixing to target weights", mix), ("SentencePiece encoding", tokens)]
+#: Tables that stages have made and that the rows of the last of them are read from.
+_left: list[str] = []
+
+
+def _tidy(stage: Stage) -> Stage:
+    """The stage, which first deletes the tables of the one before: its rows are written, as stages are called one after the other."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_paths(spark, _left)
+        _left.clear()
+        with watching() as made:
+            out = stage(spark, docs, sf_dir)
+        _left.extend(made)
+        return out
+
+    return run_stage
+
+
+NAMED = [("language ID", language), ("SimHash near-dedup", near_duplicates), ("secret scans", secret_scan), ("mixing to target weights", mix), ("SentencePiece encoding", tokens)]
+STAGES = [(name, _tidy(stage)) for name, stage in NAMED]
 
 #: The stages hash, sample and tokenise as SQL cannot.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table."""
-    docs = read_table(spark, sf_dir, "documents")
+    """All stages over the documents table. The tables between stages go as soon as the next stage is written."""
+    docs, before = read_table(spark, sf_dir, "documents"), []
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = materialize(docs, f"stage-{k}")
+            with watching() as made:
+                docs = materialize(docs, f"stage-{k}")
+            drop_paths(spark, before)
+            before = made
     return docs

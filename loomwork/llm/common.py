@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -20,9 +21,14 @@ TEXT_BATCH = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh local one where it is unset (tests).
+
+    Without the setting an error is raised where executors run on other machines, as they would not see that folder.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="loomwork-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -38,17 +44,38 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
+    for made in _watched:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_table(df: DataFrame) -> None:
-    """Delete the files of a table made by materialize() that no later plan reads."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+#: Lists that get the path of every table that is written while watching().
+_watched: list[list[str]] = []
+
+
+@contextmanager
+def watching() -> Iterator[list[str]]:
+    """The paths of the tables that materialize() writes inside."""
+    made: list[str] = []
+    _watched.append(made)
+    try:
+        yield made
+    finally:
+        _watched.remove(made)
+
+
+def drop_paths(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables by path; those that are gone already are passed over."""
+    for path in paths:
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def drop_table(df: DataFrame) -> None:
+    """Delete the files of a table made by materialize() that no later plan reads."""
+    drop_paths(df.sparkSession, list({f.rsplit("/", 1)[0] for f in df.inputFiles()}))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

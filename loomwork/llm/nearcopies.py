@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.llm.common import connected_components, drop_table, materialize, mixed, on_ids, text_batches, text_pieces, word_hashes
@@ -118,14 +118,13 @@ def _simhash_pairs(classes: DataFrame, radius: int) -> DataFrame:
 
 def _key_pairs(classes: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs of classes in different components that share keys enough to be similar."""
-    named = classes.join(labels.withColumnRenamed("node", "labelled"), F.col("node") == F.col("labelled"), "left")
-    named = materialize(named.select("node", "n", "first", F.coalesce("component", "node").alias("c")), "named")
+    named = on_ids(classes.select("node", "n", "first"), labels.select("node", "component"), "node", "left")
     # size and place in one number: these are the rows that there are most of
-    keys = named.select("node", "c", "n", F.posexplode("first").alias("at", "key")).select("key", "node", "c", (F.col("n").cast("long") * SHIFT + F.col("at")).alias("n_at"))
-    # aggregated before the shuffle, so that a key of many texts moves a row a task
-    several = materialize(keys.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key"), "several")
-    rows = materialize(on_ids(keys, several, "key", "left_semi"), "shared")
-    drop_table(several)
+    keys = named.select("node", F.coalesce("component", "node").alias("c"), "n", F.posexplode("first").alias("at", "key"))
+    keys = keys.select("key", "node", "c", (F.col("n").cast("long") * SHIFT + F.col("at")).alias("n_at"))
+    same = Window.partitionBy("key")
+    rows = keys.select("*", F.min("c").over(same).alias("low"), F.max("c").over(same).alias("high")).where("low <> high")
+    rows = materialize(rows.select("key", "node", "c", "n_at"), "shared")
     x = rows.select("key", *(F.col(k).alias(f"{k}_a") for k in ("node", "c", "n_at")))
     y = rows.select("key", *(F.col(k).alias(f"{k}_b") for k in ("node", "c", "n_at")))
     n, at = ({k: F.floor(F.col(f"n_at_{k}") / SHIFT) for k in "ab"}, {k: F.col(f"n_at_{k}") % SHIFT for k in "ab"})
@@ -133,7 +132,9 @@ def _key_pairs(classes: DataFrame, labels: DataFrame) -> DataFrame:
     pairs = met.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.max("n_at_a").alias("last_a"), F.max("n_at_b").alias("last_b"))
     i, j, na, nb = F.col("last_a") % SHIFT, F.col("last_b") % SHIFT, F.floor(F.col("last_a") / SHIFT), F.floor(F.col("last_b") / SHIFT)
     # k shared shingles up to the last one, and no more after it than either set has left
-    return pairs.where(9 * (F.col("k") + F.least(na - i, nb - j) - 1) >= 4 * (na + nb)).select("a", "b")
+    pairs = materialize(pairs.where(9 * (F.col("k") + F.least(na - i, nb - j) - 1) >= 4 * (na + nb)).select("a", "b"), "key_pairs")
+    drop_table(rows)
+    return pairs
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -169,12 +170,15 @@ def keep_first(docs: DataFrame, radius: int = 6) -> DataFrame:
         one = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min_by(whole, F.coalesce("text", F.lit(""))).alias("_one")).select("_one.*")
         docs = materialize(one.union(docs.where("doc_id IS NULL")), "one_each")
     named = docs.where("doc_id IS NOT NULL")
-    prints = materialize(_prints(named, common_shingles(named)), "prints")
-    classes = materialize(prints.groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("first").alias("first")), "classes")
+    full = materialize(_prints(named, common_shingles(named)), "prints")
+    prints = materialize(full.select("doc_id", "node"), "nodes")
+    classes = materialize(full.groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("first").alias("first")), "classes")
+    drop_table(full)
     near = _verified(_simhash_pairs(classes, radius), named, classes)
     more = _verified(_key_pairs(classes, connected_components(near)), named, classes)
-    labels = materialize(connected_components(near.union(more)), "labels").withColumnRenamed("node", "labelled")
-    labelled = materialize(classes.join(labels, F.col("node") == F.col("labelled"), "left").select("node", "first_doc", F.coalesce("component", "node").alias("component")), "labelled")
+    labels = connected_components(near.union(more)).withColumnRenamed("node", "labelled")
+    labelled = materialize(classes.select("node", "first_doc").join(labels, F.col("node") == F.col("labelled"), "left").select("node", "first_doc", F.coalesce("component", "node").alias("component")), "labelled")
+    drop_table(classes)
     roots = labelled.groupBy("component").agg(F.min("first_doc").alias("kept"))
     kept = materialize(labelled.join(roots, "component").select("node", "kept"), "kept")
     copies = materialize(prints.select("doc_id", "node").join(kept, "node").where("doc_id <> kept").select("doc_id"), "copies")
