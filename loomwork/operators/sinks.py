@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,10 +23,16 @@ def _put(df: DataFrame, path: str) -> None:
     spark = df.sparkSession
     df.write.mode("overwrite").parquet(f"{path}.new")
     new, fs = _hadoop(spark, f"{path}.new")
-    old, _ = _hadoop(spark, path)
-    fs.delete(old, True)
-    if not fs.rename(new, old):
+    here, aside = _hadoop(spark, path)[0], _hadoop(spark, f"{path}.old")[0]
+    # the old version is put aside, not deleted, until the new one is in its place
+    if fs.exists(here):
+        fs.delete(aside, True)
+        if not fs.rename(here, aside):
+            raise OSError(f"{path} could not be put aside")
+    if not fs.rename(new, here):
+        fs.rename(aside, here)
         raise OSError(f"{path} could not be replaced")
+    fs.delete(aside, True)
 
 
 def write_text(df: DataFrame, path: str) -> None:
@@ -43,24 +50,33 @@ def save_partitioned(df: DataFrame, name: str, by: str, database: str | None = N
     df.write.mode("overwrite").partitionBy(by).saveAsTable(f"`{database}`.`{name}`" if database else f"`{name}`")
 
 
-def write_jdbc(df: DataFrame, url: str, name: str, properties: dict[str, str], mode: str = "append") -> None:
-    df.write.mode(mode).option("truncate", mode == "overwrite").option("batchsize", 500).jdbc(url, name, properties=properties)
+def write_jdbc(df: DataFrame, url: str, name: str, properties: dict[str, str], mode: str = "append", types: str | None = None) -> None:
+    """df into a database table; overwriting keeps the table and empties it. types: columns of a new table, as in DDL, that the dialect maps otherwise."""
+    writer = df.write.mode(mode).option("truncate", mode == "overwrite").option("batchsize", 500)
+    (writer.option("createTableColumnTypes", types) if types else writer).jdbc(url, name, properties=properties)
 
 
-def merge_jdbc(df: DataFrame, url: str, name: str, keys: Sequence[str], properties: dict[str, str]) -> None:
-    """Upsert by keys: rows go to a staging table, then one MERGE of the database takes them over, so a repeat changes nothing."""
-    stage = f"{name}_STAGE"
-    write_jdbc(df, url, stage, properties, "overwrite")
-    cols = df.columns
-    q = lambda t, c: f't."{c}"' if t == "t" else f's."{c}"'
-    on = " AND ".join(f"{q('t', k)} = {q('s', k)}" for k in keys)
-    sets = ", ".join(f'"{c}" = {q("s", c)}' for c in cols if c not in keys)
-    insert = f"INSERT ({', '.join(chr(34) + c + chr(34) for c in cols)}) VALUES ({', '.join(q('s', c) for c in cols)})"
-    sql = f"MERGE INTO {name} t USING {stage} s ON {on} WHEN MATCHED THEN UPDATE SET {sets} WHEN NOT MATCHED THEN {insert}"
-    link = df.sparkSession._jvm.java.sql.DriverManager.getConnection(url)
+def merge_jdbc(df: DataFrame, url: str, name: str, keys: Sequence[str], properties: dict[str, str], types: str | None = None) -> None:
+    """Upsert by keys: rows go to a staging table of their own, then one MERGE of the database takes them over, so a repeat changes nothing.
+
+    Of rows of df with one key the greatest is taken. The target is there; types are those of the staging table.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    rows = df.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_r")).select(*keys, "_r.*") if rest else df.distinct()
+    stage = f"{name}_{uuid.uuid4().hex[:16]}".upper()
+    write_jdbc(rows, url, stage, properties, "errorifexists", types)
+    on = " AND ".join(f't."{k}" = s."{k}"' for k in keys)
+    sets = f"WHEN MATCHED THEN UPDATE SET {', '.join(f'"{c}" = s."{c}"' for c in rest)} " if rest else ""
+    insert = f"INSERT ({', '.join(f'"{c}"' for c in rows.columns)}) VALUES ({', '.join(f's."{c}"' for c in rows.columns)})"
+    jvm = df.sparkSession._jvm
+    login = jvm.java.util.Properties()
+    for k, v in properties.items():
+        login.setProperty(k, v)
+    link = jvm.java.sql.DriverManager.getConnection(url, login)
     try:
-        link.createStatement().executeUpdate(sql)
+        link.createStatement().executeUpdate(f"MERGE INTO {name} t USING {stage} s ON {on} {sets}WHEN NOT MATCHED THEN {insert}")
     finally:
+        link.createStatement().executeUpdate(f"DROP TABLE {stage}")
         link.close()
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,8 +68,22 @@ def ratings(spark: SparkSession, sf: str) -> DataFrame:
     return lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("item_id"), F.col("l_quantity").alias("rating"))
 
 
+def database(spark: SparkSession, name: str) -> str:
+    """Address of a database: that of loomwork.jdbc.url, or one in the memory of this process, for local sessions, with a name of its own."""
+    return spark.conf.get("loomwork.jdbc.url", None) or f"jdbc:derby:memory:{name}_{uuid.uuid4().hex};create=true"
+
+
 # ------------------------------------------------ A: sources
 
+@query("a7_read_jdbc", "SELECT n_regionkey, CAST(count(*) AS BIGINT) AS n FROM nation GROUP BY 1")
+def a7(spark, sf):
+    """A table written to a database and read back in one partition for each predicate, and whole."""
+    url = database(spark, "nations")
+    S.write_jdbc(table(spark, sf, "nation").select("n_nationkey", "n_regionkey"), url, "NATIONS", {}, "overwrite")
+    parts = B.read_jdbc(spark, url, "NATIONS", {}, ['"n_regionkey" < 2', '"n_regionkey" >= 2'])
+    return A.group_count(parts.join(B.read_jdbc(spark, url, "NATIONS", {}), ["n_nationkey", "n_regionkey"]), ["n_regionkey"])
+
+
 
 @query("a1_lines", "SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(length(event_type)) AS BIGINT) AS chars FROM events")
 def a1(spark, sf):
@@ -111,8 +127,9 @@ def a6(spark, sf):
 
 @query("a8_catalog", "SELECT o_orderstatus, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY 1")
 def a8(spark, sf):
-    table(spark, sf, "orders").createOrReplaceTempView("orders_view")
-    return spark.sql("SELECT o_orderstatus, count(*) AS n FROM orders_view GROUP BY o_orderstatus")
+    name = f"orders_{uuid.uuid4().hex}"
+    table(spark, sf, "orders").write.saveAsTable(name)
+    return spark.sql(f"SELECT o_orderstatus, count(*) AS n FROM {name} GROUP BY o_orderstatus")
 
 
 @query("a9_access_log", f"SELECT ip_address, endpoint, response_code, content_size FROM {LOGS}")
@@ -188,17 +205,39 @@ def b3(spark, sf):
 
 @query("b4_partitioned_table", "SELECT o_orderpriority, CAST(count(*) AS BIGINT) AS n FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1")
 def b4(spark, sf):
-    path = work_path(spark, "orders")
-    table(spark, sf, "orders").write.partitionBy("o_orderpriority").parquet(path)
-    return A.group_count(spark.read.parquet(path).where("o_orderpriority = '1-URGENT'"), ["o_orderpriority"])
+    name = f"orders_{uuid.uuid4().hex}"
+    S.save_partitioned(table(spark, sf, "orders"), name, "o_orderpriority", "loomwork")
+    return A.group_count(spark.table(f"loomwork.{name}").where("o_orderpriority = '1-URGENT'"), ["o_orderpriority"])
 
 
 @query("b5_table_ddl", "SELECT n_nationkey, n_name FROM nation")
 def b5(spark, sf):
     path = work_path(spark, "ddl")
     S.write_delimited(table(spark, sf, "nation").select("n_nationkey", "n_name"), path, "\t", header=False)
-    spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW nation_text (n_nationkey INT, n_name STRING) USING csv OPTIONS (path '{path}', sep '\t')")
-    return spark.sql("SELECT * FROM nation_text")
+    name = f"nation_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE TABLE {name} (n_nationkey INT, n_name STRING) USING csv OPTIONS (path '{path}', sep '\t')")
+    return spark.table(name)
+
+
+@query("b6_jdbc_append", "SELECT event_type, CAST(count(*) AS BIGINT) AS n FROM events WHERE event_id % 2 = 0 GROUP BY 1 UNION ALL SELECT event_type, CAST(count(*) AS BIGINT) FROM events GROUP BY 1")
+def b6(spark, sf):
+    url, events = database(spark, "appended"), table(spark, sf, "events")
+    for part in (events.where("event_id % 2 = 0"), events):
+        S.write_jdbc(A.group_count(part, ["event_type"]), url, "COUNTS", {}, "append", KIND)
+    return B.read_jdbc(spark, url, "COUNTS", {})
+
+
+KIND = "event_type VARCHAR(64)"
+
+
+@query("b8_jdbc_merge", "SELECT event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1")
+def b8_jdbc(spark, sf):
+    """Counts of one half are there; those of all rows are merged over them, twice as after a lost acknowledgement."""
+    url, events = database(spark, "merged"), table(spark, sf, "events")
+    S.write_jdbc(A.group_count(events.where("event_id % 2 = 0 AND event_type <> 'click'"), ["event_type"]), url, "COUNTS", {}, "overwrite", KIND)
+    for _ in range(2):
+        S.merge_jdbc(A.group_count(events, ["event_type"]), url, "COUNTS", ["event_type"], {}, KIND)
+    return B.read_jdbc(spark, url, "COUNTS", {})
 
 
 @query("b8_upsert", "SELECT event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1")

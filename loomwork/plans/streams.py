@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from loomwork.operators import aggregates as A
 from loomwork.operators import relational as R
 from loomwork.operators import sinks as S
-from loomwork.plans.batch import CLICKS, OC, W1, click_lines, order_lines, orders_customers
+from loomwork.plans.batch import CLICKS, OC, W1, click_lines, database, order_lines, orders_customers
 from loomwork.session import table, work_path
 from loomwork.sources import records as P
+from loomwork.sources.batch import read_jdbc
 from loomwork.sources.stream import stream_lines, stream_table
 from loomwork.streaming import operators as T
 
@@ -30,7 +31,8 @@ def query(name: str, sql: str | None = None):
 
 
 def streamed(spark, df: DataFrame, by: str) -> DataFrame:
-    return stream_table(spark, T.slices(df, by, SLICES), df.schema)
+    files = max(SLICES, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return stream_table(spark, T.slices(df, by, files), df.schema, -(-files // SLICES))
 
 
 def final(spark, sdf: DataFrame, keys, mode="update") -> DataFrame:
@@ -39,6 +41,24 @@ def final(spark, sdf: DataFrame, keys, mode="update") -> DataFrame:
     return T.latest(spark, path, keys, sdf.schema)
 
 
+def ordered(spark, df: DataFrame, by: str, build, keys) -> DataFrame:
+    """The last state of each key of build(stream) over df, whose slices arrive in the order of `by`."""
+    path, check, schema = work_path(spark, "stream"), work_path(spark, "checkpoint"), []
+
+    def run(sdf: DataFrame) -> None:
+        out = build(sdf)
+        schema.append(out.schema)
+        T.keep_batches(out, path, check, "update")
+
+    T.in_order(df, by, SLICES, run)
+    return T.latest(spark, path, keys, schema[0])
+
+
+def sliced_sql(value: str) -> str:
+    """events with the slice that in_order() puts each row in."""
+    return f"(SELECT *, event_id % 20 AS ad_id, CAST(({value} - min({value}) OVER ()) * {SLICES} // (max({value}) OVER () - min({value}) OVER () + 1) AS INT) AS slice FROM events)"
+
+
 def clicks(spark, sf) -> DataFrame:
     return table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("at"), "user_id", "event_type", (F.col("event_id") % 20).alias("ad_id"))
 
@@ -57,11 +77,11 @@ def a14(spark, sf):
     return final(spark, T.running_count(both, ["user_id"]), ["user_id"])
 
 
-@query("s1_per_batch")
+@query("s1_per_batch", f"SELECT event_type, CAST(count(*) AS BIGINT) AS n, slice AS batch_id FROM {sliced_sql('event_id')} GROUP BY ALL")
 def s1(spark, sf):
-    path = work_path(spark, "per_batch")
-    sdf = streamed(spark, clicks(spark, sf), "event_id")
-    T.run_batches(sdf, lambda b, i: A.group_count(b, ["event_type"]).write.mode("overwrite").parquet(f"{path}/batch_id={i}"), work_path(spark, "checkpoint"))
+    path, check = work_path(spark, "per_batch"), work_path(spark, "checkpoint")
+    write = lambda b, i: A.group_count(b, ["event_type"]).write.mode("overwrite").parquet(f"{path}/batch_id={i}")
+    T.in_order(clicks(spark, sf), "event_id", SLICES, lambda sdf: T.run_batches(sdf, write, check))
     return spark.read.schema("event_type STRING, n BIGINT, batch_id INT").parquet(path)
 
 
@@ -91,10 +111,15 @@ def s4(spark, sf):
     return final(spark, T.running_count(P.parse_ad_click(streamed(spark, click_lines(spark, sf), "value")), keys), keys)
 
 
-@query("s5_running_count_ttl")
+IDLE = """SELECT CAST(user_id AS VARCHAR) AS key, CAST(count(*) AS BIGINT) AS n, max(ms) AS last_ms FROM (
+SELECT user_id, ms, run, max(run) OVER (PARTITION BY user_id) AS last FROM (
+SELECT *, sum(CASE WHEN ms - before > 21600000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING) AS run FROM (
+SELECT user_id, event_id, epoch_us(ts) // 1000 AS ms, lag(epoch_us(ts) // 1000) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events))) WHERE run = last GROUP BY user_id"""
+
+
+@query("s5_running_count_ttl", IDLE)
 def s5(spark, sf):
-    sdf = T.running_count_ttl(streamed(spark, clicks(spark, sf), "at"), "user_id", "6 hours", "36500 days")
-    return final(spark, sdf, ["key"])
+    return ordered(spark, clicks(spark, sf), "at", lambda sdf: T.running_count_ttl(sdf, "user_id", "6 hours", "1 hour"), ["key"])
 
 
 def windows_sql(key: str, size: int, slide: int, source: str) -> str:
@@ -107,20 +132,17 @@ EVENTS = "(SELECT *, event_id % 20 AS ad_id FROM events)"
 
 @query("s13_window_count", windows_sql("ad_id", 10, 1, EVENTS))
 def s13(spark, sf):
-    sdf = T.window_count(streamed(spark, clicks(spark, sf), "at"), ["ad_id"], "10 minutes", "1 minute")
-    return final(spark, sdf, ["start_time", "end_time", "ad_id"])
+    return ordered(spark, clicks(spark, sf), "at", lambda sdf: T.window_count(sdf, ["ad_id"], "10 minutes", "1 minute", "1 hour"), ["start_time", "end_time", "ad_id"])
 
 
 @query("s14_window_word_count", windows_sql("event_type", 30, 10, EVENTS))
 def s14(spark, sf):
-    sdf = T.window_count(streamed(spark, clicks(spark, sf), "at"), ["event_type"], "30 minutes", "10 minutes")
-    return final(spark, sdf, ["start_time", "end_time", "event_type"])
+    return ordered(spark, clicks(spark, sf), "at", lambda sdf: T.window_count(sdf, ["event_type"], "30 minutes", "10 minutes", "1 hour"), ["start_time", "end_time", "event_type"])
 
 
 @query("s15_window_reduce", windows_sql("user_id", 60, 30, EVENTS))
 def s15(spark, sf):
-    sdf = T.window_count(streamed(spark, clicks(spark, sf), "at"), ["user_id"], "60 minutes", "30 minutes")
-    return final(spark, sdf, ["start_time", "end_time", "user_id"])
+    return ordered(spark, clicks(spark, sf), "at", lambda sdf: T.window_count(sdf, ["user_id"], "60 minutes", "30 minutes", "1 hour"), ["start_time", "end_time", "user_id"])
 
 
 DAYS = f"(SELECT o_orderdate AS ts, c_nationkey AS province FROM {OC})"
@@ -128,8 +150,7 @@ DAYS = f"(SELECT o_orderdate AS ts, c_nationkey AS province FROM {OC})"
 
 def province_windows(spark, sf):
     rows = orders_customers(spark, sf).select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("at"), F.col("c_nationkey").alias("province"))
-    sdf = T.window_count(streamed(spark, rows, "at"), ["province"], "20 days", "10 days")
-    return final(spark, sdf, ["start_time", "end_time", "province"])
+    return ordered(spark, rows, "at", lambda sdf: T.window_count(sdf, ["province"], "20 days", "10 days", "1 day"), ["start_time", "end_time", "province"])
 
 
 @query("s16_window_group_count", windows_sql("province", 28800, 14400, DAYS))
@@ -159,7 +180,8 @@ def blacklist_stream(spark, sf, then, white=None):
         T.update_blacklist(T.window_count(touched, ["user_id"], "1440 minutes", "360 minutes"), path, 3, white)
         then(batch, i, path)
 
-    T.run_batches(streamed(spark, clicks(spark, sf), "at"), step, work_path(spark, "checkpoint"))
+    check = work_path(spark, "checkpoint")
+    T.in_order(clicks(spark, sf), "at", SLICES, lambda sdf: T.run_batches(sdf, step, check))
     return path
 
 
@@ -168,7 +190,16 @@ def s18(spark, sf):
     return spark.read.schema("user_id BIGINT").parquet(blacklist_stream(spark, sf, lambda batch, i, path: None))
 
 
-@query("s19_filter_blacklist")
+SLICED = sliced_sql("(epoch_us(ts) // 1000)")
+
+
+def unlisted_sql(white: str) -> str:
+    """events by slice without the users that windows over the slices so far have listed."""
+    heavy = lambda i: f"(SELECT user_id FROM ({windows_sql('user_id', 1440, 360, f'(SELECT * FROM {SLICED} WHERE slice <= {i})')}) WHERE n > 3 AND NOT ({white}))"
+    return "(" + " UNION ALL ".join(f"SELECT * FROM {SLICED} WHERE slice = {i} AND user_id NOT IN {heavy(i)}" for i in range(SLICES)) + ")"
+
+
+@query("s19_filter_blacklist", f"SELECT user_id, CAST(count(*) AS BIGINT) AS n FROM {unlisted_sql('user_id % 10 = 1')} GROUP BY 1")
 def s19(spark, sf):
     kept = work_path(spark, "kept")
     blacklist_stream(spark, sf, lambda b, i, path: T.filter_blacklist(b, path).write.mode("overwrite").parquet(f"{kept}/batch_id={i}"))
@@ -209,6 +240,15 @@ def b2(spark, sf):
     return spark.read.text(path).groupBy(F.col("value").alias("word")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("b7_jdbc_overwrite", TOTALS)
+def b7(spark, sf):
+    """Each batch's totals take the place of those before in a database table."""
+    url = database(spark, "totals")
+    sdf = order_totals(spark, sf)
+    T.run_batches(sdf, lambda b, i: S.write_jdbc(b, url, "TOTALS", {}, "overwrite"), work_path(spark, "checkpoint"), "complete")
+    return read_jdbc(spark, url, "TOTALS", {})
+
+
 @query("b17_route_topics", "SELECT event_type AS topic, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1")
 def b17(spark, sf):
     """Each topic's records go to the table of its name; a batch's folder is replaced when it is repeated."""

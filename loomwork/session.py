@@ -10,7 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 def work_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder of spark.checkpoint.dir, or in a local one where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="loomwork-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="loomwork-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import IntegerType, StructField, StructType, TimestampType
 
 from loomwork.operators import aggregates, relational, sinks
 from loomwork.session import work_path
+from loomwork.sources.stream import stream_table
 
 
 def running_total(sdf: DataFrame, keys: Sequence[str], measure: str) -> DataFrame:
@@ -38,6 +39,7 @@ def window_topn(counts: DataFrame, n: int, key: str) -> DataFrame:
 def running_count_ttl(sdf: DataFrame, key: str, idle: str, late: str) -> DataFrame:
     """Running count of a text key that starts again from zero when the key was silent for longer than `idle` (event time).
 
+    Rows later than `late` behind the newest are dropped, and a key's state goes when the watermark passes its last row by `idle`.
     Update mode; each changed key gives key, n, last_ms.
     """
     idle_ms = pd.Timedelta(idle).value // 1_000_000
@@ -49,7 +51,8 @@ def running_count_ttl(sdf: DataFrame, key: str, idle: str, late: str) -> DataFra
         times = sorted(t for b in batches for t in b["ms"])
         n, last = state.get if state.exists else (0, times[0])
         for t in times:
-            n, last = (1 if t - last > idle_ms else n + 1), max(t, last)
+            if last - t <= idle_ms:  # a row from before a silence that is over belongs to a count that is gone
+                n, last = (1 if t - last > idle_ms else n + 1), max(t, last)
         state.update((n, last))
         state.setTimeoutTimestamp(max(last + idle_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"key": [k[0]], "n": [n], "last_ms": [last]})
@@ -93,7 +96,28 @@ def latest(spark: SparkSession, path: str, keys: Sequence[str], schema) -> DataF
 
 
 def slices(df: DataFrame, by: str, n: int) -> str:
-    """df as n Parquet files by ranges of a column, for a stream that reads a file a batch."""
+    """df as n or more Parquet files by ranges of a column, for a stream whose result does not depend on its batches."""
     path = work_path(df.sparkSession, "slices")
     df.repartitionByRange(n, by).write.parquet(path)
     return path
+
+
+def slice_of(df: DataFrame, by: str, n: int) -> Column:
+    """The slice, from 0, of each row: n ranges of one width between the least and the greatest value of a whole number or a time."""
+    value = f"unix_millis(`{by}`)" if isinstance(df.schema[by].dataType, TimestampType) else f"cast(`{by}` AS bigint)"
+    ends = df.agg(F.min(F.expr(value)).alias("lo"), F.max(F.expr(value)).alias("hi")).first()
+    if ends["lo"] is None:
+        return F.lit(0)
+    return F.expr(f"coalesce(cast(({value} - {ends['lo']}) * {n} div ({ends['hi']} - {ends['lo']} + 1) AS int), 0)")
+
+
+def in_order(df: DataFrame, by: str, n: int, run: Callable[[DataFrame], None]) -> None:
+    """df as a stream of n batches by ranges of a column: a slice arrives when the one before is worked off.
+
+    run(stream) works off what is there, from its checkpoint on. The batches are the same at every run, and no slice goes
+    through one task.
+    """
+    path, part = work_path(df.sparkSession, "ordered"), slice_of(df, by, n)
+    for i in range(n):
+        df.where(part == i).write.mode("append").parquet(path)
+        run(stream_table(df.sparkSession, path, df.schema, None))

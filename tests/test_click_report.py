@@ -13,14 +13,13 @@ DAY, SLIDE = 1440 * 60, 360 * 60
 
 def test_windows_cross_batches(spark, tmp_path):
     start = datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc)
-    rows = [(k, start + datetime.timedelta(minutes=7 * k), 100 + k if k % 15 else 7, "click") for k in range(150)]  # user 7 clicks ten times in 17 hours
-    rows += [(1000 + k, start + datetime.timedelta(minutes=349 + k), 8, "click") for k in range(4)]  # user 8 about the first border
+    rows = [(k, start + datetime.timedelta(minutes=7 * k), 100 + k if k % 25 else 7, "click") for k in range(150)]  # user 7 clicks twice a batch
+    rows += [(1000 + k, start + datetime.timedelta(minutes=346 + k), 8, "click") for k in range(4)]  # user 8 about a border
     spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
     clicks = streams.clicks(spark, str(tmp_path))
-    files = spark.read.parquet(T.slices(clicks, "at", streams.SLICES)).withColumn("file", F.input_file_name())
     batches = defaultdict(list)
-    for r in files.select("file", F.unix_timestamp("at").alias("s"), "user_id", "ad_id", F.date_format("at", "yyyyMMddHH").alias("hour")).collect():
-        batches[r["file"].rsplit("/", 1)[1]].append(r)
+    for r in clicks.select(T.slice_of(clicks, "at", streams.SLICES).alias("slice"), F.unix_timestamp("at").alias("s"), "user_id", "ad_id", F.date_format("at", "yyyyMMddHH").alias("hour")).collect():
+        batches[r["slice"]].append(r)
     order = sorted(batches)
     home = [{r["user_id"] for r in batches[f]} for f in order]
     assert any(u in home[0] and u in home[1] for u in (7, 8))
