@@ -1,10 +1,14 @@
 """N-gram scoring with an Elias-Fano trie in memory-mapped levels.
 
-Level 1 holds the words: their sorted 64-bit hashes, Elias-Fano coded, with their counts; a word's id is its rank. Level 2
-holds the bigrams: the ids of the contexts and the pointers to their successors are monotone and Elias-Fano coded, and
-the successors of all contexts form one more monotone sequence, each id relative to its context's base. Each bigram keeps
-its discounted probability, and each context its back-off weight, in 8 bits. A lookup searches the successor of
-(base + id) in the sequence: a select for the high bits, then a binary search among the elements that share them.
+Level 1 holds the words: their sorted 64-bit hashes, Elias-Fano coded, with their counts and a second hash; a word's id is its
+rank. Level 2 holds the bigrams: the ids of the contexts and the pointers to where their successors begin are monotone and
+Elias-Fano coded, and the successors of all contexts form one more monotone sequence, each id relative to its context's
+base. Each bigram keeps its discounted probability, and each context its back-off weight, in 8 bits. A lookup reads the
+pointers of the context and searches the successor of (base + id) between them: a select for the high bits, then a binary
+search among the elements that share them.
+
+Two words that share a hash are found by their second hash while the words are counted; the words are then hashed anew with
+another seed. A word that only a scored text has and that shares a hash with a known one is told apart in the same way.
 
 Probabilities are absolutely discounted and interpolated: p(w | h) = (c(hw) - D) / c(h) + D T(h) / c(h) p(w), with T(h)
 the number of distinct successors and p(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)).
@@ -17,6 +21,7 @@ that makes up more than a shard's share of all tokens has its successors cut int
 from __future__ import annotations
 
 import json
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -29,64 +34,70 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import partitions, shared_path
+from loomwork.llm.common import partitions, shared_path, text_batches, word_hashes
 
 DISCOUNT = 0.75
-#: Bytes of text that are worked on together.
+#: Bytes of text that are worked on together; a longer text is worked on in pieces between words.
 PIECE = 1 << 22
-#: The end of a text, as a word's hash; no word has white space, so none is meant.
-END = np.uint64(0x9D39247E33776D41)
-_P = 0x9E3779B97F4A7C15
-_VALUES = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_VALUES[65:91] = _VALUES[97:123]  # A-Z are lower-cased
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: The end of a text, as a word's two hashes; no word has white space, so none is meant.
+END, END_CHECK = np.uint64(0x9D39247E33776D41), np.uint32(0x1B0CE5A9)
+#: Word ids from here on do not fit into one number with another.
+NARROW = 1 << 32
+_GAP = re.compile(rb"[\t-\r ]")
 
 
 # ---------------------------------------------------------------- tokens
 
 
-@lru_cache(maxsize=2)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    def of(base: int) -> np.ndarray:
-        out = np.full(size, base, np.uint64)
-        out[0] = 1
-        return np.cumprod(out)
-
-    return of(_P), of(pow(_P, -1, 1 << 64))
-
+class Run:
+    """Tokens of some texts of a batch, or of a piece of one: `first` is the place of the first text, `bounds` where each text's tokens begin and the last end; `inner` tells that the first text began in the run before."""
 
-def _hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words in data, and where they start: a polynomial hash modulo 2^64 of random values of the bytes, from prefix sums."""
-    raw = np.frombuffer(data, np.uint8)
-    space = _SPACE[raw]
-    inner = ~space
-    starts = np.flatnonzero(inner & np.concatenate([[True], space[:-1]]))
-    ends = np.flatnonzero(inner & np.concatenate([space[1:], [True]])) + 1
-    up, down = _powers(max(PIECE, 1 << len(raw).bit_length()))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUES[raw] * up[: len(raw)])])
-    h = (sums[ends] - sums[starts]) * down[starts]
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(32)), starts
+    def __init__(self, first: int, hashes: np.ndarray, checks: np.ndarray, bounds: np.ndarray, inner: bool) -> None:
+        self.first, self.hashes, self.checks, self.bounds, self.inner = first, hashes, checks, bounds, inner
 
 
-def tokens(texts: list[str | None]) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
-    """For runs of the texts: their slice, the hashes of their tokens with an END after each text, and where each text's tokens begin (and end)."""
+def _pieces(text: bytes) -> Iterator[bytes]:
     at = 0
-    while at < len(texts):
-        parts, size, to = [], 0, at
-        while to < len(texts) and (not parts or size < PIECE):
-            parts.append((texts[to] or "").encode("utf-8", "replace"))
-            size += len(parts[-1]) + 1
-            to += 1
-        h, starts = _hashes(b"\n".join(parts) + b"\n")
-        bounds = np.concatenate([[0], np.cumsum([len(p) + 1 for p in parts])])
-        doc = np.searchsorted(bounds, starts, "right") - 1
-        out = np.full(len(h) + len(parts), END, np.uint64)
-        out[np.arange(len(h)) + doc] = h
-        counts = np.bincount(doc, minlength=len(parts)) + 1
-        yield slice(at, to), out, np.concatenate([[0], np.cumsum(counts)])
-        at = to
+    while len(text) - at > PIECE and (gap := _GAP.search(text, at + PIECE)):
+        yield text[at : gap.start()]
+        at = gap.start()
+    yield text[at:]
+
+
+def _run(first: int, parts: list[bytes], seed: int, inner: bool = False, ends: bool = True) -> Run:
+    data = b"\n".join(parts) + b"\n"
+    h, starts = word_hashes(data, seed)
+    check = (word_hashes(data, seed + 1)[0] >> np.uint64(32)).astype(np.uint32)
+    bounds = np.searchsorted(starts, np.concatenate([[0], np.cumsum([len(p) + 1 for p in parts])]))
+    if not ends:
+        return Run(first, h, check, bounds, inner)
+    n = np.arange(1, len(parts) + 1)
+    out, checks = np.full(len(h) + len(parts), END, np.uint64), np.full(len(h) + len(parts), END_CHECK, np.uint32)
+    word = np.ones(len(out), bool)
+    word[bounds[1:] + n - 1] = False
+    out[word], checks[word] = h, check
+    return Run(first, out, checks, bounds + np.concatenate([[0], n]), inner)
+
+
+def tokens(texts: list[str | None], seed: int) -> Iterator[Run]:
+    """The tokens of texts, an END after each, in runs of about PIECE bytes."""
+    parts, size, first = [], 0, 0
+    for i, text in enumerate(texts):
+        raw = (text or "").encode("utf-8", "replace")
+        if parts and size + len(raw) > PIECE:
+            yield _run(first, parts, seed)
+            parts, size = [], 0
+        if len(raw) > PIECE:
+            *some, last = _pieces(raw)
+            for k, piece in enumerate(some):
+                yield _run(i, [piece], seed, k > 0, False)
+            yield _run(i, [last], seed, bool(some))
+            continue
+        first = first if parts else i
+        parts.append(raw)
+        size += len(raw) + 1
+    if parts:
+        yield _run(first, parts, seed)
 
 
 # ---------------------------------------------------------------- Elias-Fano
@@ -145,8 +156,8 @@ class EliasFano:
         i = np.asarray(i, np.int64)
         return ((self._select(i, True) - i).astype(np.uint64) << np.uint64(self.width)) | self._low(i)
 
-    def find(self, x: np.ndarray) -> np.ndarray:
-        """Positions of the values x, or -1: the successor of x, if it is x."""
+    def find(self, x: np.ndarray, begin: np.ndarray | None = None, until: np.ndarray | None = None) -> np.ndarray:
+        """Positions of the values x, or -1: the successor of x, if it is x; looked for from begin on, before until."""
         out = np.full(len(x), -1, np.int64)
         if not self.n:
             return out
@@ -155,6 +166,8 @@ class EliasFano:
         high, low = high[inside], x[inside] & np.uint64((1 << self.width) - 1)
         i = np.where(high > 0, self._select(np.maximum(high - 1, 0), False) + 1 - high, 0)
         end = self._select(high, False) - high
+        if begin is not None:
+            i, end = np.maximum(i, begin[inside]), np.minimum(end, until[inside])
         lo, hi = i, end.copy()
         live = np.flatnonzero(lo < hi)
         while len(live):  # a dense context puts many elements under the same high bits
@@ -227,26 +240,40 @@ def _planes(a: np.ndarray) -> bytes:
     return a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes()
 
 
-def _pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted distinct keys and their counts: differences by byte planes, compressed."""
-    keys = keys.astype(np.uint64)
+def _pack(keys: np.ndarray, more: np.ndarray, counts: np.ndarray) -> bytes:
+    """Entries in the order of keys, then more, with their counts: differences of the keys, all by byte planes, compressed."""
     gaps = np.concatenate([keys[:1], keys[1:] - keys[:-1]])
-    return len(keys).to_bytes(8, "little") + zstandard.compress(_planes(gaps) + _planes(counts.astype(np.uint64)), 1)
+    return len(keys).to_bytes(8, "little") + zstandard.compress(b"".join(_planes(x.astype(np.uint64)) for x in (gaps, more, counts)), 1)
 
 
-def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = int.from_bytes(raw[:8], "little")
-    both = np.frombuffer(zstandard.decompress(raw[8:]), np.uint8).reshape(2, 8, n)
-    gaps, counts = (np.ascontiguousarray(x.T).view(np.uint64).ravel() for x in both)
-    return np.cumsum(gaps, dtype=np.uint64), counts
+    every = np.frombuffer(zstandard.decompress(raw[8:]), np.uint8).reshape(3, 8, n)
+    gaps, more, counts = (np.ascontiguousarray(x.T).view(np.uint64).ravel() for x in every)
+    return np.cumsum(gaps, dtype=np.uint64), more, counts
+
+
+def _sorted_pairs(keys: np.ndarray, more: np.ndarray, wide: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The order of pairs, and where in it a new pair begins. Pairs of numbers under NARROW are sorted as one number."""
+    if wide:
+        order = np.lexsort((more, keys))
+        keys, more = keys[order], more[order]
+        new = (keys[1:] != keys[:-1]) | (more[1:] != more[:-1])
+    else:
+        both = (keys << np.uint64(32)) | more
+        order = np.argsort(both, kind="stable")
+        new = both[order][1:] != both[order][:-1]
+    return order, np.flatnonzero(np.concatenate([[True], new])) if len(keys) else np.zeros(0, np.int64)
 
 
-def _merge(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, counts = np.concatenate([k for k, _ in runs]), np.concatenate([c for _, c in runs])
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
+def _merge(runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]], wide: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    keys, more, counts = (np.concatenate(x).astype(np.uint64) for x in zip(*runs, strict=True))
+    order, first = _sorted_pairs(keys, more, wide)
+    return keys[order][first], more[order][first], np.add.reduceat(counts[order], first) if len(keys) else counts
+
+
+def _counted(keys: np.ndarray, more: np.ndarray, wide: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return _merge([(keys, more, np.ones(len(keys), np.uint64))], wide)
 
 
 def _quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -268,7 +295,8 @@ class Trie:
     def __init__(self, uri: str, head: dict) -> None:
         self.uri, self.head = uri, head
         self.offsets = np.array(head["offsets"], np.int64)  # first id of each word shard, and the number of words
-        self.total, self.words, self.docs = head["total"], int(self.offsets[-1]), head["docs"]
+        self.total, self.words, self.docs, self.seed = head["total"], int(self.offsets[-1]), head["docs"], head["seed"]
+        self.wide = self.words >= NARROW - 1
         self.shift = np.uint64(head["shift"])
         self.hot = {int(k): tuple(v) for k, v in head["hot"].items()}  # id -> (first part, parts, count)
         self.hot_ids = np.array(sorted(self.hot), np.int64)
@@ -285,19 +313,21 @@ class Trie:
     def bigram_file(self, part: int) -> str:
         return f"{self.uri}/bigrams-{part}"
 
-    def ids(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids (-1: unknown) and counts of sorted hashes."""
+    def ids(self, hashes: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids (-1: unknown) and counts of words by their two hashes, the first of them sorted."""
         ids, counts = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
-        shard = (hashes >> self.shift).astype(np.int64)
+        shard = (hashes >> self.shift).astype(np.int64) if self.shift < 64 else np.zeros(len(hashes), np.int64)
         for s in np.unique(shard):
             lo, hi = np.searchsorted(shard, [s, s + 1])
             if self.offsets[s] == self.offsets[s + 1]:
                 continue
             level = _read(self.word_file(int(s)))
-            found = _ef(level, "hash").find(hashes[lo:hi] & np.uint64((1 << int(self.shift)) - 1))
-            known = found >= 0
-            ids[lo:hi] = np.where(known, found + self.offsets[s], -1)
-            counts[lo:hi][known] = level["count"][found[known]]
+            low = hashes[lo:hi] & np.uint64((1 << int(self.shift)) - 1) if self.shift < 64 else hashes[lo:hi]
+            found = _ef(level, "hash").find(low)
+            known = np.flatnonzero(found >= 0)
+            known = known[level["check"][found[known]] == checks[lo:hi][known]]
+            ids[lo + known] = found[known] + self.offsets[s]
+            counts[lo + known] = level["count"][found[known]]
         return ids, counts
 
     def counts(self, ids: np.ndarray) -> np.ndarray:
@@ -324,13 +354,12 @@ class Trie:
             out[mine] = begin + second[mine] * n // max(1, self.words)
         return out
 
-    def conditional(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For sorted distinct keys (context id << 32 | id): the discounted probability and the context's back-off weight."""
-        p, back = np.zeros(len(keys)), np.ones(len(keys))
-        first, second = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    def conditional(self, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For pairs (context id, id), sorted by context: the discounted probability and the context's back-off weight."""
+        p, back = np.zeros(len(first)), np.ones(len(first))
         part = self.parts(first, second)
         order = np.argsort(part, kind="stable")
-        cuts = np.flatnonzero(np.concatenate([[True], part[order][1:] != part[order][:-1], [True]])) if len(keys) else np.zeros(1, np.int64)
+        cuts = np.flatnonzero(np.concatenate([[True], part[order][1:] != part[order][:-1], [True]])) if len(first) else np.zeros(1, np.int64)
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
             mine = order[lo:hi]
             if not self.head["sizes"].get(str(part[mine[0]])):
@@ -339,11 +368,13 @@ class Trie:
             contexts, at = np.unique(first[mine], return_inverse=True)
             rank = _ef(level, "context").find(contexts.astype(np.uint64))
             weight = np.where(rank >= 0, level["back.book"][level["back"][np.maximum(rank, 0)]], 1.0)
+            pointer, place = _ef(level, "pointer"), np.maximum(rank, 0)
+            begin, until = pointer.at(place).astype(np.int64), pointer.at(place + 1).astype(np.int64)
             known = rank[at] >= 0
-            mine, rank = mine[known], rank[at][known]
-            back[mine] = weight[at][known]
-            x = rank.astype(np.uint64) * np.uint64(self.words + 1) + second[mine].astype(np.uint64)
-            found = _ef(level, "next").find(x)
+            mine, at = mine[known], at[known]
+            back[mine] = weight[at]
+            x = rank[at].astype(np.uint64) * np.uint64(self.words + 1) + second[mine].astype(np.uint64)
+            found = _ef(level, "next").find(x, begin[at], until[at])
             hit = found >= 0
             p[mine[hit]] = 10.0 ** level["prob.book"][level["prob"][found[hit]]]
         for h in self.hot_ids:  # a hot context's successors are counted over all its shards
@@ -352,24 +383,33 @@ class Trie:
         return p, back
 
 
-def _bigram_keys(trie: Trie, hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, known pair, ids, counts) of the tokens of a run of texts."""
-    distinct, at = np.unique(hashes, return_inverse=True)
-    ids, counts = trie.ids(distinct)
-    ids, counts = ids[at], counts[at]
-    before = np.empty(len(ids), np.int64)
-    before[1:] = ids[:-1]
-    before[bounds[:-1]] = trie.start
-    pair = (before >= 0) & (ids >= 0)
-    keys = (np.maximum(before, 0).astype(np.uint64) << np.uint64(32)) | np.maximum(ids, 0).astype(np.uint64)
-    return keys, pair, ids, counts
+class Reader:
+    """Turns runs of one batch into ids; what a run's first token follows is carried on from the run before."""
+
+    def __init__(self, trie: Trie) -> None:
+        self.trie, self.last = trie, -1
 
+    def read(self, run: Run) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(context ids, ids, counts) of a run's tokens; -1 where unknown."""
+        order = np.argsort(run.hashes, kind="stable")
+        h, c = run.hashes[order], run.checks[order]
+        new = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])[: len(h)]
+        at = np.empty(len(h), np.int64)
+        at[order] = np.cumsum(new) - 1
+        ids, counts = self.trie.ids(h[new], c[new])
+        ids, counts = ids[at], counts[at]
+        before = np.concatenate([[self.last], ids[:-1]])[: len(ids)]
+        starts = run.bounds[:-1][1 if run.inner else 0 :]
+        before[starts[starts < len(ids)]] = self.trie.start
+        self.last = ids[-1] if len(ids) else self.last if run.inner else self.trie.start
+        return before, ids, counts
 
-def train(docs: DataFrame, uri: str | None = None, shards: int | None = None) -> Trie:
+
+def train(docs: DataFrame, uri: str | None = None, shards: int | None = None, seed: int = 1) -> Trie:
     """Count docs (text) and write the model's levels and manifest to uri, in the shared folder unless given.
 
     shards: of the words, a power of two; by default as many as there are shuffle partitions. An empty table gives a
-    model without words.
+    model without words. Where two words share the hash of a seed the next seed is tried.
     """
     spark = docs.sparkSession
     uri = uri or shared_path(spark, "ngram")
@@ -378,33 +418,32 @@ def train(docs: DataFrame, uri: str | None = None, shards: int | None = None) ->
     shards = shards or 1 << max(0, (partitions(spark) - 1).bit_length())
     shift = 64 - (shards.bit_length() - 1)
     docs = docs.select("text")
+    text_batches(spark)
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            runs = []
-            for _, h, _ in tokens(batch["text"].tolist()):
-                runs.append(np.unique(h, return_counts=True))
+            runs = [_counted(r.hashes, r.checks, True) for r in tokens(batch["text"].tolist(), seed)]
             if runs:
-                keys, counts = _merge(runs)
+                keys, checks, counts = _merge(runs, True)
                 shard = (keys >> np.uint64(shift)).astype(np.int64) if shift < 64 else np.zeros(len(keys), np.int64)
                 cuts = np.searchsorted(shard, np.arange(shards + 1))
-                yield pd.DataFrame([(s, len(batch) if s == 0 else 0, _pack(keys[a:b], counts[a:b])) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a or s == 0], columns=["shard", "docs", "run"])
+                yield pd.DataFrame([(s, len(batch) if s == 0 else 0, _pack(keys[a:b], checks[a:b], counts[a:b])) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a or s == 0], columns=["shard", "docs", "run"])
 
     def write_words(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        keys, counts = _merge([_unpack(x) for x in rows["run"]])
+        keys, checks, counts = _merge([_unpack(x) for x in rows["run"]], True)
         low = keys & np.uint64((1 << shift) - 1) if shift < 64 else keys
-        _write(f"{uri}/words-{key[0]}", {**_arrays("hash", EliasFano.build(low)), "count": counts.astype(np.int64)})
+        _write(f"{uri}/words-{key[0]}", {**_arrays("hash", EliasFano.build(low)), "count": counts.astype(np.int64), "check": checks.astype(np.uint32)})
         hot = np.flatnonzero(counts > counts.sum() / shards) if shards > 1 else np.zeros(0, np.int64)
-        return pd.DataFrame([(key[0], int(rows["docs"].sum()), len(keys), int(counts.sum()), hot.tolist(), counts[hot].tolist())], columns=["shard", "docs", "words", "total", "hot", "hot_count"])
+        return pd.DataFrame([(key[0], int(rows["docs"].sum()), len(keys), int((keys[1:] == keys[:-1]).sum()), int(counts.sum()), hot.tolist(), counts[hot].tolist())], columns=["shard", "docs", "words", "shared", "total", "hot", "hot_count"])
 
-    level1 = docs.mapInPandas(words, "shard int, docs long, run binary").groupBy("shard").applyInPandas(write_words, "shard int, docs long, words long, total long, hot array<long>, hot_count array<long>").collect()
+    level1 = docs.mapInPandas(words, "shard int, docs long, run binary").groupBy("shard").applyInPandas(write_words, "shard int, docs long, words long, shared long, total long, hot array<long>, hot_count array<long>").collect()
+    if any(r["shared"] for r in level1):
+        return train(docs, uri, shards, seed + 2)
     sizes = np.zeros(shards, np.int64)
     for r in level1:
         sizes[r["shard"]] = r["words"]
     offsets = np.concatenate([[0], np.cumsum(sizes)])
     total, n_docs = sum(r["total"] for r in level1), sum(r["docs"] for r in level1)
-    if offsets[-1] >= 1 << 32:
-        raise ValueError("more than 2^32 distinct words: ids need 32 bits")
     share = max(1, total // shards)
     hot = {int(offsets[-1]): (shards, 1 + n_docs // share, n_docs)}  # the start of a text
     at = shards + hot[int(offsets[-1])][1]
@@ -413,35 +452,37 @@ def train(docs: DataFrame, uri: str | None = None, shards: int | None = None) ->
             if c > share:
                 hot[int(offsets[r["shard"]] + i)] = (at, 1 + c // share, c)
                 at += 1 + c // share
-    head = {"offsets": offsets.tolist(), "total": total, "docs": n_docs, "shift": shift, "hot": {str(k): v for k, v in hot.items()}, "sizes": {}, "successors": {}}
+    head = {"offsets": offsets.tolist(), "total": total, "docs": n_docs, "shift": shift, "seed": seed, "hot": {str(k): v for k, v in hot.items()}, "sizes": {}, "successors": {}}
     trie = Trie(uri, head)
 
     def bigrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            reader = Reader(trie)
             runs = []
-            for _, h, bounds in tokens(batch["text"].tolist()):
-                runs.append(np.unique(_bigram_keys(trie, h, bounds)[0], return_counts=True))
+            for r in tokens(batch["text"].tolist(), trie.seed):
+                first, second, _ = reader.read(r)
+                runs.append(_counted(first.astype(np.uint64), second.astype(np.uint64), trie.wide))
             if runs:
-                keys, counts = _merge(runs)
-                part = trie.parts((keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64))
+                first, second, counts = _merge(runs, trie.wide)
+                part = trie.parts(first.astype(np.int64), second.astype(np.int64))
                 order = np.argsort(part, kind="stable")
-                keys, counts, part = keys[order], counts[order], part[order]
+                first, second, counts, part = first[order], second[order], counts[order], part[order]
                 cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
-                yield pd.DataFrame([(int(part[a]), _pack(keys[a:b], counts[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], columns=["part", "run"])
+                yield pd.DataFrame([(int(part[a]), _pack(first[a:b], second[a:b], counts[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], columns=["part", "run"])
 
     def write_bigrams(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        keys, counts = _merge([_unpack(x) for x in rows["run"]])
-        first, second = (keys >> np.uint64(32)).astype(np.int64), keys & np.uint64(0xFFFFFFFF)
+        first, second, counts = _merge([_unpack(x) for x in rows["run"]], trie.wide)
+        first = first.astype(np.int64)
         starts = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]]))
-        contexts, n = first[starts], np.diff(np.concatenate([starts, [len(keys)]]))
+        contexts, n = first[starts], np.diff(np.concatenate([starts, [len(first)]]))
         seen = trie.counts(contexts)
         rank = np.repeat(np.arange(len(contexts)), n)
         prob, prob_book = _quantise(np.log10(np.maximum(counts - DISCOUNT, 1e-9) / seen[rank]))
         back, back_book = _quantise(DISCOUNT * n / seen)
         relative = rank.astype(np.uint64) * np.uint64(trie.words + 1) + second
-        arrays = {**_arrays("context", EliasFano.build(contexts)), **_arrays("pointer", EliasFano.build(np.concatenate([starts, [len(keys)]]))), **_arrays("next", EliasFano.build(relative))}
+        arrays = {**_arrays("context", EliasFano.build(contexts)), **_arrays("pointer", EliasFano.build(np.concatenate([starts, [len(first)]]))), **_arrays("next", EliasFano.build(relative))}
         _write(trie.bigram_file(key[0]), {**arrays, "prob": prob, "prob.book": prob_book, "back": back, "back.book": back_book})
-        return pd.DataFrame([(key[0], len(keys), int(contexts[0]) if len(contexts) == 1 else -1)], columns=["part", "bigrams", "only"])
+        return pd.DataFrame([(key[0], len(first), int(contexts[0]) if len(contexts) == 1 else -1)], columns=["part", "bigrams", "only"])
 
     level2 = docs.mapInPandas(bigrams, "part int, run binary").groupBy("part").applyInPandas(write_bigrams, "part int, bigrams long, only long").collect()
     for r in level2:
@@ -468,28 +509,27 @@ def score(docs: DataFrame, trie: Trie) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = batch["text"].tolist()
-            out = []
-            for span, h, bounds in tokens(texts):
-                keys, pair, ids, counts = _bigram_keys(trie, h, bounds)
+            reader = Reader(trie)
+            sums = {k: np.zeros(len(batch)) for k in ("n_tokens", "n_known", "base_score", "score")}
+            for r in tokens(batch["text"].tolist(), trie.seed):
+                before, ids, counts = reader.read(r)
                 single = trie.unigram(counts)
                 p = single.copy()
-                distinct, at = np.unique(keys[pair], return_inverse=True)
-                given, back = trie.conditional(distinct)
-                p[pair] = given[at] + back[at] * single[pair]
-                # an unknown word after a known one has the back-off mass of its context only
-                lone = (ids < 0) & np.concatenate([[False], ids[:-1] >= 0])
-                lone[bounds[:-1]] = ids[bounds[:-1]] < 0
-                where = np.flatnonzero(lone)
-                if len(where):
-                    before = np.where(np.isin(where, bounds[:-1]), trie.start, ids[where - 1])
-                    contexts, at = np.unique(before, return_inverse=True)
-                    p[where] *= trie.conditional(contexts.astype(np.uint64) << np.uint64(32))[1][at]
-                sums = [np.add.reduceat(x, bounds[:-1]) for x in (np.log10(single), np.log10(p), counts > 0)]
-                out.append(pd.DataFrame({"n_tokens": np.diff(bounds), "n_known": sums[2].astype(np.int64), "base_score": sums[0], "score": sums[1]}))
-            if out:
-                yield pd.concat(out, ignore_index=True).assign(doc_id=batch["doc_id"].to_numpy())[["doc_id", "n_tokens", "n_known", "base_score", "score"]]
-
+                # after a known context: its successor's probability, if it is one, and the rest by the word's own
+                known = np.flatnonzero(before >= 0)
+                first, second = before[known].astype(np.uint64), np.where(ids[known] >= 0, ids[known], trie.words + 1).astype(np.uint64)
+                order, new = _sorted_pairs(first, second, trie.wide)
+                at = np.empty(len(order), np.int64)
+                at[order] = np.cumsum(np.isin(np.arange(len(order)), new, assume_unique=True)) - 1
+                given, back = trie.conditional(first[order][new].astype(np.int64), second[order][new].astype(np.int64))
+                p[known] = given[at] + back[at] * single[known]
+                doc = r.first + np.repeat(np.arange(len(r.bounds) - 1), np.diff(r.bounds))
+                for name, x in (("n_tokens", np.ones(len(p))), ("n_known", counts > 0), ("base_score", np.log10(single)), ("score", np.log10(p))):
+                    sums[name] += np.bincount(doc, x, minlength=len(batch))
+            if len(batch):
+                yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "n_tokens": sums["n_tokens"].astype(np.int64), "n_known": sums["n_known"].astype(np.int64), "base_score": sums["base_score"], "score": sums["score"]})
+
+    text_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 

@@ -214,28 +214,94 @@ def test_elias_fano():
     assert (ngram_lm.EliasFano.build(dense).find(dense) == np.arange(1000)).all()
 
 
-def test_lm_scores(docs, texts):
-    out = {r["doc_id"]: r for r in ngram_lm.train_and_score(docs).collect()}
-    token = {i: [*t.encode().lower().split(), None] for i, t in texts.items()}
-    held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in texts}
+def brute_lm(texts, held):
+    """Counts, and what the quantiser makes of each probability and back-off weight, for one shard of words."""
+    token = {i: [*(t or "").encode().lower().split(), None] for i, t in texts.items()}
     words, pairs = Counter(), Counter()
     for i, w in token.items():
         if not held[i]:
             words.update(w)
             pairs.update(zip([0, *w[:-1]], w, strict=True))
-    n, v = sum(words.values()), len(words)
     follow = Counter(h for h, _ in pairs)
     context = dict(words) | {0: sum(not x for x in held.values())}
-    for i, w in token.items():
+    kept, back = {}, {}
+    for start in (True, False):  # the beginnings of texts are a shard of their own
+        some = [x for x in pairs if (x[0] == 0) == start]
+        code, book = ngram_lm._quantise(np.array([math.log10((pairs[x] - 0.75) / context[x[0]]) for x in some]))
+        kept |= {x: 10 ** book[c] for x, c in zip(some, code)}
+        heads = [h for h in follow if (h == 0) == start]
+        code, book = ngram_lm._quantise(np.array([0.75 * follow[h] / context[h] for h in heads]))
+        back |= {h: book[c] for h, c in zip(heads, code)}
+    if 0 in back:
+        back[0] = 0.75 * follow[0] / context[0]
+    return token, words, kept, back
+
+
+def check_lm(rows, texts, held):
+    token, words, kept, back = brute_lm(texts, held)
+    n, v = sum(words.values()), len(words)
+    for r in rows:
+        w = token[r["doc_id"]]
         single = [(words.get(x, 0) + 0.5) / (n + 0.5 * (v + 1)) for x in w]
-        score = sum(math.log10((max(pairs.get((h, x), 0) - 0.75, 0) + 0.75 * follow[h] * p) / context[h] if h in context else p) for h, x, p in zip([0, *w[:-1]], w, single, strict=True))
-        r = out[i]
-        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[i], len(w), sum(x in words for x in w), n)
+        score = sum(math.log10(kept.get((h, x), 0) + back[h] * p if h in back else p) for h, x, p in zip([0, *w[:-1]], w, single, strict=True))
+        assert (r["n_tokens"], r["n_known"]) == (len(w), sum(x in words for x in w))
         assert math.isclose(r["base_score"], sum(map(math.log10, single)), rel_tol=1e-9)
-        assert abs(r["score"] - score) <= 0.02 * len(w)  # 8 bits a probability
+        assert math.isclose(r["score"], score, rel_tol=1e-9)
+    return n
+
+
+@pytest.mark.parametrize("narrow", [1 << 32, 1])
+def test_lm_scores(docs, texts, narrow, monkeypatch):
+    """Every score to the last digits, with ids that fit into one number and as if they did not."""
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in texts}
+    trie = ngram_lm.train(docs.where(~ngram_lm.held_out(F.col("doc_id"))), shards=1)
+    trie.wide = narrow == 1
+    rows = ngram_lm.score(docs, trie).collect()
+    assert len(rows) == len(texts) and check_lm(rows, texts, held) == trie.total
+    out = {r["doc_id"]: r for r in ngram_lm.train_and_score(docs).collect()}
+    assert {i: (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for i, r in out.items()} == {r["doc_id"]: (held[r["doc_id"]], r["n_tokens"], r["n_known"], trie.total, round(r["base_score"], 6)) for r in rows}
     assert sum(r["score"] for r in out.values() if r["held_out"]) > sum(r["base_score"] for r in out.values() if r["held_out"])
 
 
+def test_lm_long_texts_in_pieces(spark, monkeypatch):
+    """Pieces between words, with words that are longer than a piece, give what whole texts give; complementary words stay apart."""
+    morse = "0"
+    while len(morse) < 2048:
+        morse += morse.translate(str.maketrans("01", "10"))
+    odd = [morse.translate(str.maketrans("01", "ab")), morse.translate(str.maketrans("01", "ba"))]
+    texts = {1: " ".join(f"w{k * k % 97}" for k in range(900)) + f" {odd[0]} end", 2: f"{odd[1]} " * 3, 3: "", 4: None, 5: odd[0] + " w1 w4", 6: "  w1  "}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    whole = {r["doc_id"]: tuple(r) for r in ngram_lm.score(df, ngram_lm.train(df, shards=1)).collect()}
+    check_lm(ngram_lm.score(df, ngram_lm.train(df, shards=1)).collect(), texts, dict.fromkeys(texts, False))
+    runs = lambda: [(r.first, r.hashes.tolist(), r.bounds.tolist(), r.inner) for r in ngram_lm.tokens(list(texts.values()), 1)]
+    one = runs()
+    monkeypatch.setattr(ngram_lm, "PIECE", 100)
+    many = runs()
+    assert len(many) > len(one) and sum((r[1] for r in many), []) == sum((r[1] for r in one), [])
+    trie = ngram_lm.train(df, shards=1)
+    reader = ngram_lm.Reader(trie)
+    got = np.concatenate([np.stack(reader.read(r)[:2]) for r in ngram_lm.tokens(list(texts.values()), 1)], axis=1)
+    monkeypatch.setattr(ngram_lm, "PIECE", 1 << 22)
+    reader = ngram_lm.Reader(trie)
+    assert (got == np.concatenate([np.stack(reader.read(r)[:2]) for r in ngram_lm.tokens(list(texts.values()), 1)], axis=1)).all()
+    assert len(whole) == 6 and len({whole[1][2], whole[5][2]}) == 2
+
+
+def test_lm_tells_shared_hashes(docs, monkeypatch):
+    """Words that share their first hash make training take another seed."""
+    real = ngram_lm.word_hashes
+    texts = [r["text"] for r in docs.limit(20).collect()]
+
+    def poor(data, seed=42):
+        h, starts = real(data, seed)
+        return (h % np.uint64(50) if seed == 1 else h), starts
+
+    monkeypatch.setattr(ngram_lm, "word_hashes", poor)
+    runs = [ngram_lm._counted(r.hashes, r.checks, True) for r in ngram_lm.tokens(texts, 1)]
+    keys, checks, _ = ngram_lm._merge(runs, True)
+    assert (keys[1:] == keys[:-1]).any() and len(set(zip(keys.tolist(), checks.tolist()))) == len({w for t in texts for w in t.encode().lower().split()}) + 1
+
+
 def test_lm_edges(edges, none):
     out = ngram_lm.train_and_score(edges)
     assert out.count() == len(EDGES)
