@@ -12,38 +12,47 @@ from loomwork.llm.common import read_table, shared_path
 
 
 def op1_mih(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest other vectors of every hundredth."""
     return mih.neighbours(read_table(spark, sf_dir, "embeddings"))
 
 
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every page, with trigrams from all documents."""
     return langid.identify_pages(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "documents"))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
     return simhash.components(read_table(spark, sf_dir, "documents"))
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and checks of every document."""
     return spm.summary(read_table(spark, sf_dir, "documents"))
 
 
 def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by a model of those that are not held out."""
     return ngram_lm.train_and_score(read_table(spark, sf_dir, "documents"))
 
 
 def op6_multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
     return multiset.fingerprint_edits(read_table(spark, sf_dir, "documents"))
 
 
 def op7_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quotes.chat(read_table(spark, sf_dir, "conversations"))
+    """Conversations as threads of quoting replies, linked and put in reply order; the table itself holds no quoted line."""
+    return quotes.chat(quotes.quoted_replies(read_table(spark, sf_dir, "conversations")))
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets of every document."""
     return secrets.scan(read_table(spark, sf_dir, "documents"))
 
 
 def op9_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token totals after inserts, revisions and deletions of all documents."""
     return rollup.maintain(read_table(spark, sf_dir, "documents"), rollup.VOCABULARY, "byte_bpe_50k", shared_path(spark, "rollup"))
 
 
@@ -53,6 +62,7 @@ def quality_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that the mix takes of every document."""
     return mixing.mix(read_table(spark, sf_dir, "documents"), quality_weights(spark, sf_dir)).drop("epochs")
 
 
@@ -61,5 +71,34 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+#: The whole mix: digests and keys as mixing states them, targets by the level of the first source that is not full.
+MIX_SQL = f"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+    md5(CAST('{mixing.SEED}' AS BLOB) || '\\x00'::BLOB || CAST(coalesce(CAST(doc_id AS VARCHAR), '') AS BLOB) || '\\x00'::BLOB || encode(coalesce(text, ''))) AS digest
+  FROM documents),
+q AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 2.0 ELSE 0.5 END) AS weight FROM labels WHERE quality IS NOT NULL GROUP BY 1),
+k AS (
+  SELECT d.*, -ln((CAST('0x' || substr(digest, 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0) / coalesce(weight, 1.0) AS key
+  FROM d LEFT JOIN q USING (doc_id)),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM k GROUP BY source),
+w AS (
+  SELECT *, CASE place % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END AS w, CAST(2.0 * source_size AS DOUBLE) AS cap,
+    CAST(1.5 * sum(source_size) OVER () AS DOUBLE) AS budget FROM s),
+f AS (
+  SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS filled,
+    sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_w FROM w),
+l AS (SELECT *, (budget - filled) / open_w AS level FROM f),
+t AS (
+  SELECT source, source_size, CAST(CASE WHEN cap <= level * w THEN cap ELSE (SELECT min_by(level, filled) FROM l WHERE cap > level * w) * w END AS DOUBLE) AS target FROM l),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM t),
+r AS (
+  SELECT k.*, p.source_size, p.target, p.epochs, greatest(0, CAST(round(p.target) AS BIGINT) - p.epochs * p.source_size) AS rest,
+    coalesce(sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM k JOIN p ON k.source IS NOT DISTINCT FROM p.source)
+SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least(size, rest - before)) AS BIGINT) AS taken FROM r"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The mix alone is within SQL: the others hash, learn or tokenise, and are tested against brute force."""
+    return {"op10_mixing": MIX_SQL}

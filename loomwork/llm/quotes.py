@@ -82,9 +82,9 @@ def link(messages: DataFrame) -> DataFrame:
         paths = materialize(step.select("conv_id", "run", F.coalesce("u_up", F.lit(1)).alias("up"), (F.col("depth") + F.coalesce("u_depth", F.lit(0))).alias("depth"), F.when(F.col("u_path").isNull(), F.col("path")).otherwise(F.concat("u_path", "path")).alias("path")), "paths")
     none = F.array().cast("array<struct<leaves:bigint,run:bigint>>")
     placed = linked.join(paths.select("conv_id", "run", F.col("depth").alias("base"), "path"), ["conv_id", "run"], "left")
-    # a run that leaves at a step comes after that step's message and before the next step of its parent's run
+    # a message's first reply goes on with its run; so a run comes whole, then what leaves it, from its last step back
     key = F.concat(F.coalesce("path", none), F.array(F.struct(F.col("step").cast("long").alias("leaves"), F.lit(-1).cast("long").alias("run"))))
-    sort_key = F.transform(key, lambda k: F.struct((k["leaves"]).alias("leaves"), F.when(k["run"] < 0, F.lit(2**40)).otherwise(k["run"]).alias("run")))
+    sort_key = F.transform(key, lambda k: F.struct(F.when(k["run"] < 0, F.lit(-(2**40))).otherwise(-k["leaves"]).alias("leaves"), F.when(k["run"] < 0, k["leaves"]).otherwise(k["run"]).alias("run")))
     placed = placed.select("conv_id", "turn", "role", "body", "parent_turn", "quotes", (F.coalesce("base", F.lit(0)) + F.col("step")).cast("long").alias("depth"), sort_key.alias("key"))
     reading = Window.partitionBy("conv_id").orderBy("key", "turn")
     return placed.select("conv_id", "turn", "role", "body", "parent_turn", "quotes", "depth", (F.row_number().over(reading) - 1).cast("long").alias("position"))
@@ -93,3 +93,23 @@ def link(messages: DataFrame) -> DataFrame:
 def chat(messages: DataFrame) -> DataFrame:
     """link() with `formatted`: each message in a chat markup, to be read by conv_id and position."""
     return link(messages).withColumn("formatted", F.concat(F.lit("<|"), "role", F.lit("|>\n"), "body", F.lit("\n<|end|>\n")))
+
+
+def quoted_replies(messages: DataFrame) -> DataFrame:
+    """messages (conv_id, turn, role, text) as a mail thread: each quotes what it answers, and what that quoted, a level deeper.
+
+    A message answers the last odd turn before it, so that two branches leave every odd turn; turns without one, and rows
+    that are null in conv_id or turn, keep their text. Rows meet by (conv_id, turn), so a long conversation is dealt out.
+    """
+    firsts = messages.where("conv_id IS NOT NULL AND turn IS NOT NULL").groupBy("conv_id", "turn").agg(F.min(F.coalesce("text", F.lit(""))).alias("said"))
+    asked = (F.col("turn") - 1 - F.pmod("turn", F.lit(2))).alias("asked")
+    rows = messages.select("conv_id", "turn", "role", "text", asked)
+    for k, back in ((1, F.col("asked")), (2, F.col("asked") - 2)):
+        other = firsts.select(F.col("conv_id").alias("o_conv"), F.col("turn").alias("o_turn"), F.col("said").alias(f"said{k}"))
+        rows = rows.join(other, (rows.conv_id == other.o_conv) & (back == other.o_turn), "left").drop("o_conv", "o_turn")
+
+    def quote(text: Column, mark: str) -> Column:
+        return F.when(text.isNotNull(), F.array_join(F.transform(F.split(text, "\n", -1), lambda line: F.concat(F.lit(mark), line)), "\n"))
+
+    body = F.concat_ws("\n", quote(F.col("said2"), ">> "), quote(F.col("said1"), "> "), "text")
+    return rows.select("conv_id", "turn", "role", F.when(F.col("said1").isNull(), F.col("text")).otherwise(body).alias("text"))

@@ -370,13 +370,63 @@ def test_quotes(spark):
     df = spark.createDataFrame([(*r, 0) for r in rows], "conv_id long, turn long, role string, text string, position int")
     out = {(r["conv_id"], r["turn"]): r for r in quotes.chat(df).collect()}
     assert {t: out[1, t]["parent_turn"] for t in range(6)} == {0: None, 1: 0, 2: 0, 3: 2, 4: 1, 5: 4}
-    assert [t for t in sorted(range(6), key=lambda t: out[1, t]["position"])] == [0, 1, 4, 5, 2, 3] or sorted(out[1, t]["position"] for t in range(6)) == list(range(6))
+    assert sorted(range(6), key=lambda t: out[1, t]["position"]) == [0, 1, 4, 5, 2, 3]
     assert all(out[1, t]["position"] > out[1, out[1, t]["parent_turn"]]["position"] for t in range(1, 6))
     assert {t: out[1, t]["depth"] for t in range(6)} == {0: 0, 1: 1, 2: 1, 3: 2, 4: 2, 5: 3}
     assert out[1, 3]["body"] == "Behind it." and out[1, 3]["quotes"] == 2
     assert len(out) == 8 and quotes.chat(df.limit(0)).count() == 0
 
 
+def brute_threads(messages):
+    """{(conv, turn): (parent, quotes, depth, position)} by texts instead of hashes."""
+
+    def plain(text):
+        return re.sub(r"[\W_]+", " ", re.sub(r"(?m)^(?:[ \t]*>)+", " ", text.lower())).strip()
+
+    def passages(text):
+        out, old = [], None
+        for line in re.split(r"\r?\n", text):
+            mark = re.match(r"(?:[ \t]*>)*", line)[0]
+            level, line = mark.count(">"), line[len(mark) :]
+            if not plain(line):
+                old = None
+                continue
+            if level != old:
+                out.append([level, []])
+            out[-1][1].append(line)
+            old = level
+        return [(level, plain("\n".join(lines))) for level, lines in out]
+
+    convs, found = defaultdict(dict), {}
+    for m in messages:
+        convs[m["conv_id"]][m["turn"]] = passages(m["text"] or "")
+    for conv, turns in convs.items():
+        order, parent, children = sorted(turns), {}, defaultdict(list)
+        for n, t in enumerate(order):
+            links = []
+            for level, passage in turns[t]:
+                origins = [o for o in order[:n] if level and (0, passage) in turns[o]]
+                if origins:
+                    links.append((level, -max(origins)))
+            parent[t] = -min(links)[1] if links else order[n - 1] if n else None
+            found[conv, t] = [parent[t], len(links), 0 if parent[t] is None else found[conv, parent[t]][2] + 1]
+            children[parent[t]].append(t)
+        stack, place = list(reversed(children[None])), 0
+        while stack:
+            t = stack.pop()
+            found[conv, t].append(place)
+            place += 1
+            stack += reversed(children[t])
+    return {k: tuple(v) for k, v in found.items()}
+
+
+def test_quote_query(spark, sf):
+    messages = quotes.quoted_replies(spark.read.parquet(f"{sf}/conversations.parquet")).collect()
+    want = brute_threads(messages)
+    got = {(r["conv_id"], r["turn"]): (r["parent_turn"], r["quotes"], r["depth"], r["position"]) for r in queries.op7_quotes(spark, sf).collect()}
+    assert got == want and sum(x[1] for x in want.values()) > len(want) / 4
+
+
 # ------------------------------------------------ op8
 
 
@@ -551,6 +601,18 @@ def test_mixing(spark, sf, docs, steps, heavy, monkeypatch):
     assert all(r["source_size"] == sources[of[r["doc_id"]]][0] and math.isclose(r["target"], sources[of[r["doc_id"]]][1]) and r["taken"] <= 2 * r["size"] for r in out)
 
 
+def test_mixing_sql(spark, sf):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    want = con.execute(f"SELECT doc_id, size, source_size, target, taken FROM ({queries.oracle_sql()['op10_mixing']})").fetchall()
+    got = queries.op10_mixing(spark, sf)
+    assert got.columns == ["doc_id", "size", "source_size", "target", "taken"]
+    assert sorted((a, b, c, round(d, 3), e) for a, b, c, d, e in want) == sorted((a, b, c, round(d, 3), e) for a, b, c, d, e in got.collect())
+
+
 def test_mixing_edges(edges, none):
     out = mixing.mix(edges)
     assert out.count() == len(EDGES) and out.where("taken > 2 * size OR taken < 0").count() == 0
