@@ -75,6 +75,17 @@ def _inside(found: np.ndarray, common: np.ndarray) -> np.ndarray:
     return common[np.minimum(np.searchsorted(common, found), len(common) - 1)] == found
 
 
+def bins(found: np.ndarray) -> bytes:
+    """How many hashes of a set begin with each byte, as bytes; 255 stands for that many or more."""
+    return np.minimum(np.bincount((found >> np.uint64(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes()
+
+
+def most_shared(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """The most hashes that sets of these bins can share: no bin shares more than either set has there."""
+    low = np.minimum(*(np.frombuffer(b"".join(x), np.uint8).reshape(-1, 256) for x in (a, b))).astype(np.int64)
+    return np.where((low == 255).any(axis=1), 1 << 40, low.sum(axis=1))
+
+
 def _node(found: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), 42)).view(np.int64))
 
@@ -101,10 +112,10 @@ def _prints(docs: DataFrame, common: np.ndarray) -> DataFrame:
                 found = np.unique(hashes)
                 late = _inside(found, common)
                 first = np.concatenate([found[~late], found[late]])[: len(found) - (4 * len(found) + 4) // 5 + 1] if len(found) else found
-                out.append((simhash(hashes), _node(found), len(found), first.view(np.int64)))
-            yield pd.DataFrame(out, columns=["fp", "node", "n", "first"]).assign(doc_id=batch["doc_id"].to_numpy())[["doc_id", "fp", "node", "n", "first"]]
+                out.append((simhash(hashes), _node(found), len(found), bins(found), first.view(np.int64)))
+            yield pd.DataFrame(out, columns=["fp", "node", "n", "bins", "first"]).assign(doc_id=batch["doc_id"].to_numpy())[["doc_id", "fp", "node", "n", "bins", "first"]]
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, fp long, node long, n int, first array<long>")
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, fp long, node long, n int, bins binary, first array<long>")
 
 
 def _simhash_pairs(classes: DataFrame, radius: int) -> DataFrame:
@@ -140,6 +151,18 @@ def _key_pairs(classes: DataFrame, labels: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes whose sets are similar."""
     pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
+
+    def possible(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            most = most_shared(batch["x"].tolist(), batch["y"].tolist())
+            yield batch.loc[(9 * most >= 4 * batch["n"]).to_numpy(), ["a", "b"]]
+
+    # counts by the first byte rule most pairs out that share a passage only, before any text moves
+    x, y = (classes.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("bins").alias(v)) for k, v in (("a", "x"), ("b", "y")))
+    met = pairs.join(x, "a").join(y, "b").select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), "x", "y")
+    met = materialize(met.mapInPandas(possible, "a long, b long"), "possible")
+    drop_table(pairs)
+    pairs = met
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     ends = classes.join(ends, "node", "left_semi").select(F.col("first_doc").alias("doc_id"), "node")
 
@@ -172,7 +195,7 @@ def keep_first(docs: DataFrame, radius: int = 6) -> DataFrame:
     named = docs.where("doc_id IS NOT NULL")
     full = materialize(_prints(named, common_shingles(named)), "prints")
     prints = materialize(full.select("doc_id", "node"), "nodes")
-    classes = materialize(full.groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("first").alias("first")), "classes")
+    classes = materialize(full.groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bins").alias("bins"), F.first("first").alias("first")), "classes")
     drop_table(full)
     near = _verified(_simhash_pairs(classes, radius), named, classes)
     more = _verified(_key_pairs(classes, connected_components(near)), named, classes)

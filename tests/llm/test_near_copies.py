@@ -3,6 +3,9 @@
 import random
 
 import corpus_pipeline
+import numpy as np
+
+from loomwork.llm import nearcopies
 
 
 def five(text):
@@ -75,3 +78,13 @@ def test_drops_only_near_copies(spark):
 def test_documents(spark, sf):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     assert stage_kept(spark, texts) == brute_kept(texts)
+
+
+def test_bins_never_rule_out_what_is_shared():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 50, 100_000):
+        a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[: len(a) // 2], rng.integers(0, 2**64, n // 2, dtype=np.uint64)]))
+        most = nearcopies.most_shared([nearcopies.bins(a)], [nearcopies.bins(b)])[0]
+        assert most >= len(np.intersect1d(a, b))
+    assert nearcopies.most_shared([nearcopies.bins(a[:400])], [nearcopies.bins(b[-400:])])[0] < 400
