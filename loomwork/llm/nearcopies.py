@@ -27,6 +27,8 @@ WORDS = 5
 #: Texts of the sample that finds common shingles, the times one is seen in it, and the most of them that are sent out.
 SAMPLE, SEEN, COMMON = 10_000, 3, 100_000
 SHIFT = 1 << 31
+#: Rounds of pairs of neighbours before the components that are left are paired in full; they change the cost only.
+ROUNDS = 2
 
 
 def shingle_hashes(texts: list[str | None]) -> Iterator[np.ndarray]:
@@ -127,15 +129,42 @@ def _simhash_pairs(classes: DataFrame, radius: int) -> DataFrame:
     return far.union(classes.join(codes, "fp").where("node <> head").select("head", "node"))
 
 
-def _key_pairs(classes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of classes in different components that share keys enough to be similar."""
+def _shared_keys(classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, node, c, n_at) of the keys that classes in different components c share."""
     named = on_ids(classes.select("node", "n", "first"), labels.select("node", "component"), "node", "left")
     # size and place in one number: these are the rows that there are most of
     keys = named.select("node", F.coalesce("component", "node").alias("c"), "n", F.posexplode("first").alias("at", "key"))
     keys = keys.select("key", "node", "c", (F.col("n").cast("long") * SHIFT + F.col("at")).alias("n_at"))
+    return materialize(_parted(keys), "shared")
+
+
+def _parted(keys: DataFrame) -> DataFrame:
+    """keys without those that one component alone has."""
     same = Window.partitionBy("key")
     rows = keys.select("*", F.min("c").over(same).alias("low"), F.max("c").over(same).alias("high")).where("low <> high")
-    rows = materialize(rows.select("key", "node", "c", "n_at"), "shared")
+    return rows.select("key", "node", "c", "n_at")
+
+
+def _relabelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of _shared_keys() after more links are known; rows itself is deleted."""
+    now = on_ids(rows.drop("c"), labels.select("node", "component"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"), "n_at")
+    out = materialize(_parted(now), "shared")
+    drop_table(rows)
+    return out
+
+
+def _neighbour_pairs(rows: DataFrame, seed: int) -> DataFrame:
+    """Of the classes of each key, in an order by hash, the neighbours that are in different components.
+
+    No more pairs than rows, which join most of a large group before its remaining components are paired in full.
+    """
+    order = Window.partitionBy("key").orderBy(F.xxhash64(F.lit(seed), "node"), "node")
+    met = rows.select("node", "c", F.lag("node").over(order).alias("other"), F.lag("c").over(order).alias("other_c"))
+    return met.where("c <> other_c").select(F.col("other").alias("a"), F.col("node").alias("b"))
+
+
+def _key_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs of classes in different components that share keys enough to be similar."""
     x = rows.select("key", *(F.col(k).alias(f"{k}_a") for k in ("node", "c", "n_at")))
     y = rows.select("key", *(F.col(k).alias(f"{k}_b") for k in ("node", "c", "n_at")))
     n, at = ({k: F.floor(F.col(f"n_at_{k}") / SHIFT) for k in "ab"}, {k: F.col(f"n_at_{k}") % SHIFT for k in "ab"})
@@ -198,7 +227,11 @@ def keep_first(docs: DataFrame, radius: int = 6) -> DataFrame:
     classes = materialize(full.groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bins").alias("bins"), F.first("first").alias("first")), "classes")
     drop_table(full)
     near = _verified(_simhash_pairs(classes, radius), named, classes)
-    more = _verified(_key_pairs(classes, connected_components(near)), named, classes)
+    rows = _shared_keys(classes, connected_components(near))
+    for k in range(ROUNDS):
+        near = materialize(near.union(_verified(_neighbour_pairs(rows, k), named, classes)), "near")
+        rows = _relabelled(rows, connected_components(near))
+    more = _verified(_key_pairs(rows), named, classes)
     labels = connected_components(near.union(more)).withColumnRenamed("node", "labelled")
     labelled = materialize(classes.select("node", "first_doc").join(labels, F.col("node") == F.col("labelled"), "left").select("node", "first_doc", F.coalesce("component", "node").alias("component")), "labelled")
     drop_table(classes)
