@@ -27,8 +27,8 @@ WORDS = 5
 #: Texts of the sample that finds common shingles, the times one is seen in it, and the most of them that are sent out.
 SAMPLE, SEEN, COMMON = 10_000, 3, 100_000
 SHIFT = 1 << 31
-#: Rounds of pairs of neighbours before the components that are left are paired in full; they change the cost only.
-ROUNDS = 2
+#: Rounds of pairs with centres, then of neighbours, before the components that are left are paired in full; they change the cost only.
+ROUNDS = 1
 
 
 def shingle_hashes(texts: list[str | None]) -> Iterator[np.ndarray]:
@@ -163,6 +163,19 @@ def _neighbour_pairs(rows: DataFrame, seed: int) -> DataFrame:
     return met.where("c <> other_c").select(F.col("other").alias("a"), F.col("node").alias("b"))
 
 
+def _centre_pairs(rows: DataFrame) -> DataFrame:
+    """Each class with the most central class of its key, where the two are in different components.
+
+    Most copies of a text are similar to the text itself, though not to each other. It has no edits of its own, so its
+    keys are those that most classes share: the class whose keys have the most rows stands in the centre.
+    """
+    weights = rows.select("node", F.count(F.lit(1)).over(Window.partitionBy("key")).alias("rows")).groupBy("node").agg(F.sum("rows").alias("weight"))
+    weighed = on_ids(rows.select("key", "node", "c"), materialize(weights, "weights"), "node", "inner")
+    centre = F.max(F.struct("weight", "node", "c")).over(Window.partitionBy("key"))
+    met = weighed.select("node", "c", centre.alias("centre")).where("c <> centre.c")
+    return met.select(F.col("centre.node").alias("a"), F.col("node").alias("b"))
+
+
 def _key_pairs(rows: DataFrame) -> DataFrame:
     """Pairs of classes in different components that share keys enough to be similar."""
     x = rows.select("key", *(F.col(k).alias(f"{k}_a") for k in ("node", "c", "n_at")))
@@ -229,7 +242,8 @@ def keep_first(docs: DataFrame, radius: int = 6) -> DataFrame:
     near = _verified(_simhash_pairs(classes, radius), named, classes)
     rows = _shared_keys(classes, connected_components(near))
     for k in range(ROUNDS):
-        near = materialize(near.union(_verified(_neighbour_pairs(rows, k), named, classes)), "near")
+        pairs = _neighbour_pairs(rows, k) if k else _centre_pairs(rows)
+        near = materialize(near.union(_verified(pairs, named, classes)), "near")
         rows = _relabelled(rows, connected_components(near))
     more = _verified(_key_pairs(rows), named, classes)
     labels = connected_components(near.union(more)).withColumnRenamed("node", "labelled")
