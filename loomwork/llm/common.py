@@ -17,7 +17,7 @@ SOURCES = 10_000
 #: Rows of a table of one or two numbers that is broadcast at most: 16 MB of data.
 IDS = 1_000_000
 #: Bytes of a batch of rows with texts that a Python worker gets at once.
-TEXT_BATCH = 8 << 20
+TEXT_BATCH = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -114,7 +114,7 @@ def text_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(TEXT_BATCH))
 
 
-def text_pieces(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def text_pieces(texts: list[str | None], most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Bounds of runs of texts of about `most` characters together, a longer text alone."""
     at = size = 0
     for to, text in enumerate(texts):

@@ -91,9 +91,14 @@ class BKTree:
 
     def search(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions (query, node) of every pair within the radius."""
-        found_q, found_n = [], []
+        found = list(self.walks(queries, radius))
+        return np.concatenate([q for q, _ in found]), np.concatenate([n for _, n in found])
+
+    def walks(self, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """search() for WALK queries after the other, so that the pairs of a crowded tree are never held together."""
         for at in range(0, len(queries), WALK):
             part = queries[at : at + WALK]
+            found_q, found_n = [], []
             q, node = np.arange(len(part)), np.zeros(len(part), np.int64)
             while len(q):
                 d = np.bitwise_count(part[q] ^ self.nodes[node]).astype(np.int64)
@@ -104,7 +109,7 @@ class BKTree:
                 n = np.searchsorted(self.edges, node * 65 + np.minimum(d + radius, 64), "right") - lo
                 q = np.repeat(q, n)
                 node = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum()) + 1
-        return np.concatenate(found_q), np.concatenate(found_n)
+            yield np.concatenate(found_q), np.concatenate(found_n)
 
 
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -133,9 +138,12 @@ def _links(radius: int):
                 tree = BKTree(np.asarray(nodes, np.int64).view(np.uint64), np.asarray(edges, np.int64))
                 own = chunk is None
                 queries = tree.nodes if own else np.asarray(chunk, np.int64).view(np.uint64)
-                q, node = tree.search(queries, radius)
                 codes = tree.nodes if own else np.concatenate([tree.nodes, queries])
-                label = _forest(len(codes), node, q if own else q + len(tree.nodes))
+                label = np.arange(len(codes))
+                for q, node in tree.walks(queries, radius):
+                    a, b = label[node], label[q if own else q + len(tree.nodes)]
+                    if (a != b).any():
+                        label = _forest(len(codes), a[a != b], b[a != b])[label]
                 linked = label != np.arange(len(codes))
                 yield pd.DataFrame({"a": codes[linked].view(np.int64), "b": codes[label[linked]].view(np.int64)})
 
