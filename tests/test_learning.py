@@ -6,6 +6,7 @@ from pyspark.ml.recommendation import ALSModel
 from pyspark.sql import functions as F
 
 from loomwork.operators import ml as M
+from loomwork.plans import jobs
 from loomwork.plans import learning as L
 from loomwork.plans.batch import ratings
 from loomwork.session import table, work_path
@@ -104,3 +105,24 @@ def test_word_neighbours_by_cosine(spark, sf):
     cosine = {w: v @ vectors[word] / np.linalg.norm(v) / np.linalg.norm(vectors[word]) for w, v in vectors.items() if w != word}
     got = [r["similarity"] for r in M.similar(model, [word], 10).orderBy(F.desc("similarity")).collect()]
     assert np.allclose(got, sorted(cosine.values(), reverse=True)[:10], atol=1e-4)
+
+
+def test_recommender_job_reports_all_users_and_the_error(spark, sf):
+    got = jobs.j9_recommender(spark, sf).collect()
+    users = [r for r in got if r["part"] == "user"]
+    best = {}
+    for r in users:
+        best[r["id"]] = max(r["score"], best.get(r["id"], r["score"]))
+    model = L.fitted(spark, sf)
+    assert len(best) == model.userFactors.count() and len(users) == 10 * len(best)
+    again = {r["id"]: r["score"] for r in M.recommend(model, 1).collect()}
+    assert all(abs(best[k] - again[k]) < 1e-3 for k in best)
+    error = {r["part"]: r["score"] for r in got if r["part"] in ("rmse", "mse")}
+    assert error["mse"] > 0 and abs(error["rmse"] ** 2 - error["mse"]) < 1e-9
+
+
+def test_classifier_job_counts_the_held_out_part(spark, sf):
+    got = jobs.j9_classifier(spark, sf).collect()
+    held = {r["lang"]: r["count"] for r in M.split(L.labelled(spark, sf), "doc_id")[1].groupBy("lang").count().collect()}
+    assert {k: sum(r["n"] for r in got if r["lang"] == k) for k in held} == held
+    assert sum(r["n"] for r in got if r["lang"] == r["predicted"]) > 0.8 * sum(held.values())
