@@ -40,6 +40,8 @@ UNIGRAM, BPE = 1, 2
 PIECE = 1 << 20
 #: Distinct chunks that a worker remembers before it begins anew.
 CACHE = 100_000
+#: New chunks that are encoded together; the libraries hold about 1 KB for each.
+LEARN = 4096
 #: Rows whose ids are held and sent together.
 ROWS = 512
 #: One in so many distinct chunks, by hash, is compared with the sentencepiece library (0: none; 1: all).
@@ -114,14 +116,16 @@ class Model:
                     found.append((-self.pieces[i][1], i, ids[a], ids[b], a, b))
         return [(x[4], x[5]) for x in sorted(found)]
 
-    def tokenizer(self) -> Tokenizer:
+    def core(self) -> models.Model:
         unknown = next((i for i, (_, _, k) in enumerate(self.pieces) if k == UNKNOWN), 0)
         if self.kind == UNIGRAM:
-            core = models.Unigram([(p, s) for p, s, _ in self.pieces], unknown, self.byte_fallback)
-        else:
-            vocabulary = {p: i for i, (p, _, _) in enumerate(self.pieces)}
-            core = models.BPE(vocab=vocabulary, merges=self.merges(), unk_token=self.pieces[unknown][0], fuse_unk=True, byte_fallback=self.byte_fallback)
-        out = Tokenizer(core)
+            return models.Unigram([(p, s) for p, s, _ in self.pieces], unknown, self.byte_fallback)
+        vocabulary = {p: i for i, (p, _, _) in enumerate(self.pieces)}
+        return models.BPE(vocab=vocabulary, merges=self.merges(), unk_token=self.pieces[unknown][0], fuse_unk=True, byte_fallback=self.byte_fallback)
+
+    def tokenizer(self, core: models.Model | None = None) -> Tokenizer:
+        """A tokenizer of the model; those that are given one core share its tables."""
+        out = Tokenizer(core or self.core())
         steps = [normalizers.Precompiled(self.charsmap)] if self.charsmap else []
         if self.squeeze:
             steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
@@ -149,11 +153,12 @@ class Codec:
     def __init__(self, raw: bytes, parity: int = 0) -> None:
         self.parity = parity
         self.model = Model(raw)
-        self.tokenizer = self.model.tokenizer()
+        core = self.model.core()
+        self.tokenizer = self.model.tokenizer(core)
         self.chunked = self.model.splits and not self.model.charsmap and not self.model.squeeze and self.model.dummy_prefix
-        self.bare = self.model.tokenizer()
+        self.bare = self.model.tokenizer(core)
         self.bare.normalizer = self.bare.pre_tokenizer = None
-        self.pieces = self.model.tokenizer()  # decodes what is not the beginning of a text
+        self.pieces = self.model.tokenizer(core)  # decodes what is not the beginning of a text
         self.pieces.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
         self.forget()
         self.other = None
@@ -182,7 +187,9 @@ class Codec:
                 self.forget()
             number, known = self.number, len(self.number)
             rows = [[number.setdefault(c, len(number)) for c in CHUNK.findall(" " + t)] if t else [] for t in part]
-            self.learn(list(islice(reversed(number), len(number) - known))[::-1])
+            new = list(islice(reversed(number), len(number) - known))[::-1]
+            for k in range(0, len(new), LEARN):
+                self.learn(new[k : k + LEARN])
             found = []
             for row in rows:
                 chunk = np.array(row, np.int64)
