@@ -277,7 +277,7 @@ def decode(rows: DataFrame, path: str = MODEL, ids: str = "token_ids") -> DataFr
 
 
 def summary(docs: DataFrame, path: str = MODEL) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (of the comma-joined ids), round_trip, same_as_sentencepiece of each row of docs (doc_id, text)."""
+    """doc_id, n_tokens, ids_sha256 (of the ids as little-endian 32-bit numbers), round_trip, same_as_sentencepiece of each row of docs (doc_id, text)."""
     raw = read_model(docs.sparkSession, path)
     text_batches(docs.sparkSession)
 
