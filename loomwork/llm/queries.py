@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import langid, mih, mixing, multiset, ngram_lm, quotes, rollup, secrets, simhash, spm
+from loomwork.llm import langid, mih, mixing, multiset, ngram_lm, quotes, rollup, secrets, shallot, simhash, spm
 from loomwork.llm.common import read_table, shared_path
 
 
@@ -66,8 +66,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"), quality_weights(spark, sf_dir)).drop("epochs")
 
 
+def op11_shallot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of every vector after three rounds."""
+    return shallot.cluster(read_table(spark, sf_dir, "embeddings")).drop("looked")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_mih, op2_langid, op3_simhash, op4_sentencepiece, op5_lm, op6_multiset, op7_quotes, op8_secrets, op9_rollup, op10_mixing)
+    found = (op1_mih, op2_langid, op3_simhash, op4_sentencepiece, op5_lm, op6_multiset, op7_quotes, op8_secrets, op9_rollup, op10_mixing, op11_shallot)
     return {f.__name__: f for f in found}
 
 
@@ -99,6 +104,28 @@ r AS (
 SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least(size, rest - before)) AS BIGINT) AS taken FROM r"""
 
 
+def clusters_sql(k: int = 16, rounds: int = 3, size: int = 64, salt: int = 1) -> str:
+    """The rounds one after the other, each centroid compared with each vector; floors of quotients by remainders that are not negative."""
+    ints = "list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT))"
+    steps = [
+        f"v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, {ints} AS e FROM embeddings WHERE len(embedding) = {size} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY mark NULLS LAST, e) - 1 AS INT) AS j, e AS c FROM (SELECT sha256('{salt}:' || CAST(vec_id AS VARCHAR)) AS mark, e FROM v) ORDER BY mark NULLS LAST, e LIMIT {k})",
+    ]
+    square = "CAST(list_sum(list_transform(list_zip(e, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT)"
+    for i in range(rounds + 1):
+        steps.append(f"a{i} AS MATERIALIZED (SELECT r, min(struct_pack(d := {square}, j := j)) AS m FROM v CROSS JOIN c{i} GROUP BY r)")
+        if i < rounds:
+            floor = "CAST((s - ((s % n) + n) % n) // n AS BIGINT)"
+            parts = f"SELECT j, i, sum(x) AS s, CAST(count(*) AS HUGEINT) AS n FROM (SELECT m.j AS j, unnest(e) AS x, unnest(range({size})) AS i FROM a{i} JOIN v USING (r)) GROUP BY ALL"
+            steps.append(f"n{i} AS MATERIALIZED (SELECT j, list({floor} ORDER BY i) AS c FROM ({parts}) GROUP BY j)")
+            steps.append(f"c{i + 1} AS MATERIALIZED (SELECT o.j, coalesce(n.c, o.c) AS c FROM c{i} o LEFT JOIN n{i} n USING (j))")
+    last = f"a{rounds}"
+    return (
+        f"WITH {', '.join(steps)} SELECT vec_id, m.j AS cluster, m.d AS distance, CAST(sum(m.d) OVER (PARTITION BY m.j) AS BIGINT) AS cluster_inertia, CAST(sum(m.d) OVER () AS BIGINT) AS inertia, "
+        f"sha256(array_to_string(c, ',')) AS centroid_sha256 FROM {last} JOIN v USING (r) JOIN c{rounds} ON c{rounds}.j = m.j"
+    )
+
+
 def oracle_sql() -> dict[str, str]:
-    """The mix alone is within SQL: the others hash, learn or tokenise, and are tested against brute force."""
-    return {"op10_mixing": MIX_SQL}
+    """Those within SQL; the others hash, learn or tokenise, and are tested against brute force."""
+    return {"op10_mixing": MIX_SQL, "op11_shallot": clusters_sql()}
