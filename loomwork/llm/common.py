@@ -106,6 +106,17 @@ def on_ids(rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
     return rows.join(F.broadcast(ids) if few else ids, key, how)
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A setting of the session inside, the one before or none after."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
 def text_batches(spark: SparkSession) -> None:
     """Bound what a Python worker gets at once by bytes, as texts may be of any length; a smaller setting stays."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import langid, mih, mixing, multiset, ngram_lm, quotes, rollup, secrets, shallot, simhash, spm
+from loomwork.llm import audit, langid, mih, mixing, multiset, ngram_lm, quotes, rollup, secrets, shallot, simhash, spm, subwords
 from loomwork.llm.common import read_table, shared_path
 
 
@@ -71,8 +71,18 @@ def op11_shallot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shallot.cluster(read_table(spark, sf_dir, "embeddings")).drop("looked")
 
 
+def op12_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document."""
+    return subwords.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")))
+
+
+def op13_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each filter removes in each order, by language."""
+    return audit.audit(spark, f"{sf_dir}/documents.parquet", read_table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_mih, op2_langid, op3_simhash, op4_sentencepiece, op5_lm, op6_multiset, op7_quotes, op8_secrets, op9_rollup, op10_mixing, op11_shallot)
+    found = (op1_mih, op2_langid, op3_simhash, op4_sentencepiece, op5_lm, op6_multiset, op7_quotes, op8_secrets, op9_rollup, op10_mixing, op11_shallot, op12_subwords, op13_audit)
     return {f.__name__: f for f in found}
 
 
@@ -126,6 +136,27 @@ def clusters_sql(k: int = 16, rounds: int = 3, size: int = 64, salt: int = 1) ->
     )
 
 
+#: Masks of the five filters, then all orders of the letters.
+AUDIT_SQL = """
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+m AS (
+  SELECT doc_id, part, CAST(len(w) < 100 AS INT) + 2 * CAST(100 * len(list_distinct(w)) < 80 * len(w) AS INT)
+    + 4 * CAST(100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) AS INT) + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT)
+    + 16 * CAST(coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS INT) AS mask FROM d),
+f AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY 1),
+c AS (SELECT part, mask, count(*) AS n, count_if(good) AS good, count_if(toxic) AS toxic FROM m LEFT JOIN f USING (doc_id) GROUP BY ALL),
+l(k, b) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (SELECT concat(v.k, w.k, x.k, y.k, z.k) AS filter_order, [v.b, w.b, x.b, y.b, z.b] AS bits FROM l v, l w, l x, l y, l z WHERE v.b + w.b + x.b + y.b + z.b = 31 AND len(list_distinct([v.b, w.b, x.b, y.b, z.b])) = 5),
+s AS (SELECT filter_order, CAST(i AS INT) AS step, bits[i] AS bit, CAST(coalesce(list_sum(bits[1:i - 1]), 0) AS INT) AS earlier FROM o, range(1, 6) r(i)),
+g AS (
+  SELECT part, filter_order, step, bit, coalesce(sum(n) FILTER (mask & (earlier | bit) = 0), 0) AS kept, coalesce(sum(n) FILTER (mask & earlier = 0 AND mask & bit > 0), 0) AS removed,
+    coalesce(sum(n) FILTER (mask & earlier > 0 AND mask & bit > 0), 0) AS redundant, coalesce(sum(n) FILTER (mask = bit), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (mask & earlier = 0 AND mask & bit > 0), 0) AS good_lost, coalesce(sum(toxic) FILTER (mask & earlier = 0 AND mask & bit > 0), 0) AS toxic_lost
+  FROM c, s GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM g"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Those within SQL; the others hash, learn or tokenise, and are tested against brute force."""
-    return {"op10_mixing": MIX_SQL, "op11_shallot": clusters_sql()}
+    return {"op10_mixing": MIX_SQL, "op11_shallot": clusters_sql(), "op13_audit": AUDIT_SQL}
