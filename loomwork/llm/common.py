@@ -5,12 +5,15 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Rows of a table of sources that is broadcast at most.
 SOURCES = 10_000
@@ -106,17 +109,6 @@ def on_ids(rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
     return rows.join(F.broadcast(ids) if few else ids, key, how)
 
 
-@contextmanager
-def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
-    """A setting of the session inside, the one before or none after."""
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, value)
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
-
-
 def text_batches(spark: SparkSession) -> None:
     """Bound what a Python worker gets at once by bytes, as texts may be of any length; a smaller setting stays."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -125,6 +117,50 @@ def text_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(TEXT_BATCH))
 
 
+#: Rows of a batch that are mapped at once.
+ROWS = 512
+
+
+def map_texts(df: DataFrame, text: str, make: Callable[[], Callable[[list[str | None]], dict]], new: str, carried: list[str] | None = None) -> DataFrame:
+    """Columns of df (all, or those of `carried`) as they are, and new columns (DDL) from a column of texts.
+
+    make() gives, once for each task, the function from some texts to the values of the new columns by name. What is carried
+    stays in Arrow: a column of whole numbers with a null among them would lose digits in pandas. What the function has as `done`
+    is called when the task ends.
+    """
+    text_batches(df.sparkSession)
+    kept = df.select(*(F.col(f"`{c}`") for c in (df.columns if carried is None else carried)))
+    fields = StructType.fromDDL(new)
+    types = {f.name: f.type for f in to_arrow_schema(fields)}
+    wide = len(kept.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values = make()
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                found = values(part.column(wide).to_pylist())
+                columns = [*part.columns[:wide], *(pa.array(found[name], kind) for name, kind in types.items())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names[:wide], *types])
+        getattr(values, "done", bool)()
+
+    rows = df.select(*(F.col(f"`{c}`") for c in kept.columns), F.col(f"`{text}`").alias(fresh(kept, "text")))
+    return rows.mapInArrow(run, StructType([*kept.schema.fields, *fields.fields]))
+
+
+_GAP = re.compile(rb"[ \t\n\v\f\r]")
+
+
+def byte_pieces(data: bytes, most: int = 1 << 20) -> Iterator[bytes]:
+    """data in pieces of about `most` bytes that end between words, or longer where a word is."""
+    at = 0
+    while at < len(data):
+        gap = _GAP.search(data, at + most)
+        end = gap.end() if gap else len(data)
+        yield data[at:end]
+        at = end
+
+
 def text_pieces(texts: list[str | None], most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Bounds of runs of texts of about `most` characters together, a longer text alone."""
     at = size = 0
