@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import connected_components, drop_table, materialize, mixed, on_ids, text_batches, text_pieces, word_hashes
+from loomwork.llm.common import connected_components, drop_table, map_texts, materialize, mixed, on_ids, text_batches, text_pieces, word_hashes
 from loomwork.llm.simhash import near_links
 
 WORDS = 5
@@ -107,17 +107,16 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
 
 
 def _prints(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for hashes in shingle_hashes(batch["text"].tolist()):
-                found = np.unique(hashes)
-                late = _inside(found, common)
-                first = np.concatenate([found[~late], found[late]])[: len(found) - (4 * len(found) + 4) // 5 + 1] if len(found) else found
-                out.append((simhash(hashes), _node(found), len(found), bins(found), first.view(np.int64)))
-            yield pd.DataFrame(out, columns=["fp", "node", "n", "bins", "first"]).assign(doc_id=batch["doc_id"].to_numpy())[["doc_id", "fp", "node", "n", "bins", "first"]]
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, fp long, node long, n int, bins binary, first array<long>")
+    def values(texts: list[str | None]) -> dict:
+        out = []
+        for hashes in shingle_hashes(texts):
+            found = np.unique(hashes)
+            late = _inside(found, common)
+            first = np.concatenate([found[~late], found[late]])[: len(found) - (4 * len(found) + 4) // 5 + 1] if len(found) else found
+            out.append((simhash(hashes), _node(found), len(found), bins(found), first.view(np.int64)))
+        return {name: [x[k] for x in out] for k, name in enumerate(("fp", "node", "n", "bins", "first"))}
+
+    return map_texts(docs, "text", lambda: values, "fp long, node long, n int, bins binary, first array<long>", ["doc_id"])
 
 
 def _simhash_pairs(classes: DataFrame, radius: int) -> DataFrame:

@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import partitions, shared_path, text_batches, word_hashes
+from loomwork.llm.common import map_texts, partitions, shared_path, text_batches, word_hashes
 
 DISCOUNT = 0.75
 #: Bytes of text that are worked on together; a longer text is worked on in pieces between words.
@@ -507,11 +507,11 @@ def score(docs: DataFrame, trie: Trie) -> DataFrame:
     columns are ignored. With a model without words every token has the probability of an unknown one.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    def make():
+        def values(texts: list[str | None]) -> dict:
             reader = Reader(trie)
-            sums = {k: np.zeros(len(batch)) for k in ("n_tokens", "n_known", "base_score", "score")}
-            for r in tokens(batch["text"].tolist(), trie.seed):
+            sums = {k: np.zeros(len(texts)) for k in ("n_tokens", "n_known", "base_score", "score")}
+            for r in tokens(texts, trie.seed):
                 before, ids, counts = reader.read(r)
                 single = trie.unigram(counts)
                 p = single.copy()
@@ -525,12 +525,12 @@ def score(docs: DataFrame, trie: Trie) -> DataFrame:
                 p[known] = given[at] + back[at] * single[known]
                 doc = r.first + np.repeat(np.arange(len(r.bounds) - 1), np.diff(r.bounds))
                 for name, x in (("n_tokens", np.ones(len(p))), ("n_known", counts > 0), ("base_score", np.log10(single)), ("score", np.log10(p))):
-                    sums[name] += np.bincount(doc, x, minlength=len(batch))
-            if len(batch):
-                yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "n_tokens": sums["n_tokens"].astype(np.int64), "n_known": sums["n_known"].astype(np.int64), "base_score": sums["base_score"], "score": sums["score"]})
+                    sums[name] += np.bincount(doc, x, minlength=len(texts))
+            return sums | {k: sums[k].astype(np.int64) for k in ("n_tokens", "n_known")}
+
+        return values
 
-    text_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return map_texts(docs, "text", make, "n_tokens long, n_known long, base_score double, score double", ["doc_id"])
 
 
 def held_out(doc_id):

@@ -15,7 +15,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import materialize, text_batches
+from loomwork.llm.common import map_texts, materialize
 from loomwork.llm.mixing import words
 from loomwork.llm.spm import read_model
 
@@ -80,16 +80,13 @@ def count_tokens(docs: DataFrame, vocabulary: str, name: str) -> DataFrame:
     vocabulary: a file of base64 tokens and ranks for byte-level pair encoding; the driver reads it, tasks get its bytes.
     """
     raw = read_model(docs.sparkSession, vocabulary)
-    text_batches(docs.sparkSession)
 
-    def run(batches):
+    def make():
         coder = _coder(raw)
-        for batch in batches:
-            n = [0 if t is None else len(coder.encode_ordinary(t)) for t in batch["text"]]
-            yield batch.drop(columns="text").assign(n_tokens=n)
+        return lambda texts: {"n_tokens": [0 if t is None else len(coder.encode_ordinary(t)) for t in texts]}
 
     rows = docs.select("doc_id", "source", "lang", F.md5(F.col("text").cast("binary")).alias("digest"), "text")
-    return rows.mapInPandas(run, "doc_id long, source string, lang string, digest string, n_tokens long").withColumn("tokenizer", F.lit(name))
+    return map_texts(rows, "text", make, "n_tokens long", ["doc_id", "source", "lang", "digest"]).withColumn("tokenizer", F.lit(name))
 
 
 def maintain(docs: DataFrame, vocabulary: str, name: str, path: str) -> DataFrame:

@@ -21,10 +21,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import connected_components, materialize, partitions, text_batches
+from loomwork.llm.common import byte_pieces, connected_components, map_texts, materialize, partitions
 
 #: Fingerprints of one BK-tree and of one chunk of queries, about.
 SHARD = 2048
+#: Bytes of a text whose words are taken apart at once.
+PIECE = 1 << 18
 #: Queries that walk a tree together.
 WALK = 256
 
@@ -34,34 +36,35 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
     Fewer words are one shingle; no words, or null, give 0.
     """
-    tokens = (text or "").encode("utf-8", "replace").lower().split()
-    if not tokens:
-        return 0
-    if len(tokens) < words:
-        tokens, words = [b" ".join(tokens)], 1
+    carried, counts, n = [], np.zeros(64, np.int64), 0
+    for piece in byte_pieces((text or "").encode("utf-8", "replace").lower(), PIECE):  # words are objects of one piece at a time
+        tokens = carried + piece.split()
+        if len(tokens) >= words:
+            counts += _bit_counts(tokens, words)
+            n += len(tokens) - words + 1
+        carried = tokens[len(tokens) - words + 1 :] if len(tokens) >= words else tokens
+    if not n:
+        if not carried:
+            return 0
+        counts, n = _bit_counts([b" ".join(carried)], 1), 1
+    return int(np.packbits(2 * counts > n, bitorder="little").view(np.int64)[0])
+
+
+def _bit_counts(tokens: list[bytes], words: int) -> np.ndarray:
+    """How many shingle hashes have each of the 64 bits."""
     joined = b" ".join(tokens)
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    digest = xxhash.xxh64_intdigest
-    n = len(tokens) - words + 1
-    counts = np.zeros(64, np.int64)
-    for at in range(0, n, 65536):  # bounded memory for very long texts
-        to = min(n, at + 65536)
-        spans = zip(starts[at:to].tolist(), ends[at + words - 1 : to + words - 1].tolist(), strict=True)
-        h = np.fromiter((digest(joined[a:b], 42) for a, b in spans), np.uint64, to - at)
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view(np.int64)[0])
+    n, digest = len(tokens) - words + 1, xxhash.xxh64_intdigest
+    spans = zip(starts[:n].tolist(), ends[words - 1 :].tolist(), strict=True)
+    h = np.fromiter((digest(joined[a:b], 42) for a, b in spans), np.uint64, n)
+    return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """(doc_id, fp long) of each row of docs; other columns are not read."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": np.fromiter((fingerprint(x, words) for x in batch["text"]), np.int64, len(batch))})
-
-    text_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return map_texts(rows, "text", lambda: lambda texts: {"fp": [fingerprint(x, words) for x in texts]}, "fp long", ["doc_id"])
 
 
 class BKTree:
@@ -187,18 +190,3 @@ def components(docs: DataFrame, words: int = 3, radius: int = 3, shard: int = SH
     classes = materialize(codes.join(joined, codes.fp == F.col("linked_fp"), "left").select(F.col("fp").alias("class_fp"), F.coalesce("component_id", "first_doc").alias("component_id")), "classes")
     out = prints.join(classes, prints.fp == classes.class_fp)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_first(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
-    """docs without all but the smallest doc_id of each near-duplicate component; the columns stay as they are.
-
-    Of rows with one doc_id only one stays; rows with a null doc_id all stay.
-    """
-    found = materialize(components(docs, words, radius), "near_duplicates")
-    copies = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
-    repeated = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    if not repeated:
-        return kept
-    named = kept.where("doc_id IS NOT NULL")
-    return named.dropDuplicates(["doc_id"]).union(kept.where("doc_id IS NULL"))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
-from loomwork.llm.common import text_batches, text_pieces
+from loomwork.llm.common import map_texts, text_pieces
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -42,8 +42,6 @@ PIECE = 1 << 20
 CACHE = 100_000
 #: New chunks that are encoded together; the libraries hold about 1 KB for each.
 LEARN = 4096
-#: Rows whose ids are held and sent together.
-ROWS = 512
 #: One in so many distinct chunks, by hash, is compared with the sentencepiece library (0: none; 1: all).
 PARITY = 1
 CHUNK = re.compile(" +[^ ]*")
@@ -233,12 +231,6 @@ def _codec(raw: bytes, parity: int) -> Codec:
     return Codec(raw, parity)
 
 
-def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for at in range(0, len(batch), ROWS):
-            yield batch.iloc[at : at + ROWS]
-
-
 def encode(docs: DataFrame, path: str = MODEL, parity: int = PARITY, text: str = "text") -> DataFrame:
     """docs with token_ids (array<int>), n_tokens, round_trip and same_as_sentencepiece.
 
@@ -246,19 +238,19 @@ def encode(docs: DataFrame, path: str = MODEL, parity: int = PARITY, text: str =
     table gives none. round_trip says that the ids decode to the text itself; same_as_sentencepiece that no compared chunk of it differs.
     """
     raw = read_model(docs.sparkSession, path)
-    text_batches(docs.sparkSession)
     new = {"token_ids": "array<int>", "n_tokens": "int", "round_trip": "boolean", "same_as_sentencepiece": "boolean"}
-    kept = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in new))
+    kept = [c for c in docs.columns if c.lower() not in new]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         codec = _codec(raw, parity)
-        for batch in _parts(batches):
-            found = list(codec.encode([None if x is None else str(x) for x in batch[text]]))
-            yield batch.assign(token_ids=[x[0] for x in found], n_tokens=[len(x[0]) for x in found], round_trip=[x[1] for x in found], same_as_sentencepiece=[x[2] for x in found])
-        codec.forget()  # the worker lives on, its table need not
+        def values(texts: list[str | None]) -> dict:
+            found = list(codec.encode(texts))
+            return {"token_ids": [x[0] for x in found], "n_tokens": [len(x[0]) for x in found], "round_trip": [x[1] for x in found], "same_as_sentencepiece": [x[2] for x in found]}
+
+        values.done = codec.forget  # the worker lives on, its table need not
+        return values
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), *(f"{k} {v}" for k, v in new.items())])
-    return kept.mapInPandas(run, schema)
+    return map_texts(docs, text, make, ", ".join(f"{k} {v}" for k, v in new.items()), kept)
 
 
 def decode(rows: DataFrame, path: str = MODEL, ids: str = "token_ids") -> DataFrame:
@@ -279,13 +271,15 @@ def decode(rows: DataFrame, path: str = MODEL, ids: str = "token_ids") -> DataFr
 def summary(docs: DataFrame, path: str = MODEL) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of the ids as little-endian 32-bit numbers), round_trip, same_as_sentencepiece of each row of docs (doc_id, text)."""
     raw = read_model(docs.sparkSession, path)
-    text_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         codec = _codec(raw, PARITY)
-        for batch in _parts(batches):
-            out = [(len(i), hashlib.sha256(i.astype("<i4").tobytes()).hexdigest(), e, s) for i, e, s in codec.encode(batch["text"].tolist())]
-            yield pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "round_trip", "same_as_sentencepiece"]).assign(doc_id=batch["doc_id"].to_numpy())[["doc_id", "n_tokens", "ids_sha256", "round_trip", "same_as_sentencepiece"]]
-        codec.forget()
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens int, ids_sha256 string, round_trip boolean, same_as_sentencepiece boolean")
+        def values(texts: list[str | None]) -> dict:
+            out = [(len(i), hashlib.sha256(i.astype("<i4").tobytes()).hexdigest(), e, s) for i, e, s in codec.encode(texts)]
+            return {name: [x[k] for x in out] for k, name in enumerate(("n_tokens", "ids_sha256", "round_trip", "same_as_sentencepiece"))}
+
+        values.done = codec.forget  # the worker lives on, its table need not
+        return values
+
+    return map_texts(docs, "text", make, "n_tokens int, ids_sha256 string, round_trip boolean, same_as_sentencepiece boolean", ["doc_id"])

@@ -143,8 +143,15 @@ def test_simhash_edges(edges, none):
     assert [got[i]["fingerprint"] for i in (3, 4, 6)] == ["0" * 16] * 3 and {got[i]["component_id"] for i in (3, 4, 6)} == {3}
     assert got[2]["component_id"] == 1 and got[None]["component_id"] is None
     assert simhash.components(none).count() == 0
-    kept = simhash.keep_first(edges)
-    assert kept.columns == edges.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "3", "5", "7", "None"]
+
+
+def test_fingerprints_in_pieces(monkeypatch):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"W{x}" for x in rng.integers(0, 40, n)) for n in (0, 1, 2, 3, 4, 60)] + ["x" * 50 + " a\t\n b", "  lead and  gap  "]
+    whole = [simhash.fingerprint(t) for t in texts]
+    for piece in (1, 7, 40):
+        monkeypatch.setattr(simhash, "PIECE", piece)
+        assert [simhash.fingerprint(t) for t in texts] == whole
 
 
 def test_bk_tree_search():
