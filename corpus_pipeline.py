@@ -45,39 +45,24 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return spm.encode(docs)
 
 
-#: Tables that stages have made and that the rows of the last of them are read from.
-_left: list[str] = []
-
-
-def _tidy(stage: Stage) -> Stage:
-    """The stage, which first deletes the tables of the one before: its rows are written, as stages are called one after the other."""
-
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        drop_paths(spark, _left)
-        _left.clear()
-        with watching() as made:
-            out = stage(spark, docs, sf_dir)
-        _left.extend(made)
-        return out
-
-    return run_stage
-
-
-NAMED = [("language ID", language), ("SimHash near-dedup", near_duplicates), ("secret scans", secret_scan), ("mixing to target weights", mix), ("SentencePiece encoding", tokens)]
-STAGES = [(name, _tidy(stage)) for name, stage in NAMED]
+STAGES: list[tuple[str, Stage]] = [("language ID", language), ("SimHash near-dedup", near_duplicates), ("secret scans", secret_scan), ("mixing to target weights", mix), ("SentencePiece encoding", tokens)]
 
 #: The stages hash, sample and tokenise as SQL cannot.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table. The tables between stages go as soon as the next stage is written."""
+    """All stages over the documents table. What a stage has made goes when its rows are written, and these when the next stage's are.
+
+    A stage on its own deletes nothing that its result reads.
+    """
     docs, before = read_table(spark, sf_dir, "documents"), []
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            with watching() as made:
-                docs = materialize(docs, f"stage-{k}")
-            drop_paths(spark, before)
-            before = made
+        last = k == len(STAGES) - 1
+        with watching() as made:
+            docs = stage(spark, docs, sf_dir)
+            docs = docs if last else materialize(docs, f"stage-{k}")
+        if not last:
+            drop_paths(spark, [*before, *made[:-1]])
+            before = made[-1:]
     return docs
