@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from loomwork.operators import aggregates as A
 from loomwork.operators import relational as R
 from loomwork.operators import sinks as S
-from loomwork.plans.batch import CLICKS, OC, W1, click_lines, database, order_lines, orders_customers
+from loomwork.plans.batch import BLACK, CLICKS, KIND, OC, W1, blacklist, click_lines, database, order_lines, orders_customers
 from loomwork.session import table, work_path
 from loomwork.sources import records as P
 from loomwork.sources.batch import read_jdbc
 from loomwork.sources.stream import stream_lines, stream_table
 from loomwork.streaming import operators as T
+from loomwork.streaming import stateful as W
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -122,6 +123,29 @@ def s5(spark, sf):
     return ordered(spark, clicks(spark, sf), "at", lambda sdf: T.running_count_ttl(sdf, "user_id", "6 hours", "1 hour"), ["key"])
 
 
+#: Counts by province and hour batches: a run ends when 12 or more hours are empty, as the counter has passed 10 on an empty hour.
+EMPTY = """SELECT province, CAST(count(*) AS BIGINT) AS n, max(hour) AS last_interval FROM (
+SELECT province, hour, run, max(run) OVER (PARTITION BY province) AS last FROM (
+SELECT *, sum(CASE WHEN hour - before > 12 THEN 1 ELSE 0 END) OVER (PARTITION BY province ORDER BY hour, event_id ROWS UNBOUNDED PRECEDING) AS run FROM (
+SELECT user_id % 34 AS province, event_id, epoch_ms(ts) // 3600000 AS hour, lag(epoch_ms(ts) // 3600000) OVER (PARTITION BY user_id % 34 ORDER BY epoch_ms(ts) // 3600000, event_id) AS before FROM events))) WHERE run = last GROUP BY province"""
+
+
+@query("s5_count_by_empty_batches", EMPTY)
+def s5_empty(spark, sf):
+    """The running count of a province is forgotten by the number of hours in a row without it."""
+    rows = clicks(spark, sf).withColumn("province", F.col("user_id") % 34)
+    path, check, schema = work_path(spark, "stream"), work_path(spark, "checkpoint"), []
+
+    def run(sdf: DataFrame) -> None:
+        out = W.count_until_idle(sdf, ["province"], "1 hour", 10, "1 hour")
+        schema.append(out.schema)
+        with W.state_on_disk(spark):
+            T.keep_batches(out, path, check)
+
+    T.in_order(rows, "at", SLICES, run)
+    return T.latest(spark, path, ["province"], schema[0])
+
+
 def windows_sql(key: str, size: int, slide: int, source: str) -> str:
     """Counts of (start, key) by a join of each row with the starts of the windows that hold it."""
     return f"SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start_time, strftime(s + INTERVAL {size} MINUTE, '%Y-%m-%d %H:%M:%S') AS end_time, {key}, CAST(count(*) AS BIGINT) AS n FROM (SELECT time_bucket(INTERVAL {slide} MINUTE, ts, TIMESTAMP '1970-01-01') - to_minutes({slide} * i) AS s, * FROM {source}, range(0, {size // slide}) r(i)) GROUP BY 1, 2, 3"
@@ -130,80 +154,98 @@ def windows_sql(key: str, size: int, slide: int, source: str) -> str:
 EVENTS = "(SELECT *, event_id % 20 AS ad_id FROM events)"
 
 
+def paned(spark, df: DataFrame, keys: list[str], size: str, slide: str) -> DataFrame:
+    """Windows of df as a stream in the order of `at`: its rows are counted by pane, and windows are sums of panes."""
+    panes = ordered(spark, df, "at", lambda sdf: W.pane_count(sdf, keys, size, slide, "1 hour"), ["pane", *keys])
+    return W.windows_of_panes(panes, keys, size, slide)
+
+
 @query("s13_window_count", windows_sql("ad_id", 10, 1, EVENTS))
 def s13(spark, sf):
-    return ordered(spark, clicks(spark, sf), "at", lambda sdf: T.window_count(sdf, ["ad_id"], "10 minutes", "1 minute", "1 hour"), ["start_time", "end_time", "ad_id"])
+    return paned(spark, clicks(spark, sf), ["ad_id"], "10 minutes", "1 minute")
 
 
 @query("s14_window_word_count", windows_sql("event_type", 30, 10, EVENTS))
 def s14(spark, sf):
-    return ordered(spark, clicks(spark, sf), "at", lambda sdf: T.window_count(sdf, ["event_type"], "30 minutes", "10 minutes", "1 hour"), ["start_time", "end_time", "event_type"])
+    return paned(spark, clicks(spark, sf), ["event_type"], "30 minutes", "10 minutes")
 
 
 @query("s15_window_reduce", windows_sql("user_id", 60, 30, EVENTS))
 def s15(spark, sf):
-    return ordered(spark, clicks(spark, sf), "at", lambda sdf: T.window_count(sdf, ["user_id"], "60 minutes", "30 minutes", "1 hour"), ["start_time", "end_time", "user_id"])
+    return paned(spark, clicks(spark, sf), ["user_id"], "60 minutes", "30 minutes")
 
 
 DAYS = f"(SELECT o_orderdate AS ts, c_nationkey AS province FROM {OC})"
 
 
-def province_windows(spark, sf):
-    rows = orders_customers(spark, sf).select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("at"), F.col("c_nationkey").alias("province"))
-    return ordered(spark, rows, "at", lambda sdf: T.window_count(sdf, ["province"], "20 days", "10 days", "1 day"), ["start_time", "end_time", "province"])
+def province_rows(spark, sf):
+    return orders_customers(spark, sf).select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("at"), F.col("c_nationkey").alias("province"))
 
 
 @query("s16_window_group_count", windows_sql("province", 28800, 14400, DAYS))
 def s16(spark, sf):
-    return province_windows(spark, sf)
+    return paned(spark, province_rows(spark, sf), ["province"], "20 days", "10 days")
+
+
+TOP_WINDOWS = f"SELECT start_time, end_time, province, n, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY start_time ORDER BY n DESC, province) AS r FROM ({windows_sql('province', 28800, 14400, DAYS)})) WHERE r <= 5"
+
 
+def best_provinces(spark, df: DataFrame, build) -> DataFrame:
+    """The five provinces with most rows of each window, ranked inside the stream: panes, windows and ranks follow each other as windows close."""
+    path, check = work_path(spark, "stream"), work_path(spark, "checkpoint")
 
-@query("s17_window_topn", f"SELECT start_time, end_time, province, n, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY start_time ORDER BY n DESC, province) AS r FROM ({windows_sql('province', 28800, 14400, DAYS)})) WHERE r <= 5")
+    def run(sdf: DataFrame) -> None:
+        best = W.window_best(W.closed_windows(build(sdf), ["province"], "20 days", "10 days", "1 day"), 5, "province")
+        with W.state_on_disk(spark):
+            T.keep_batches(best, path, check)
+
+    T.in_order(df, "at", SLICES, run, T.closing_row(df, "at", "60 days"))
+    rows = spark.read.schema("start_time STRING, end_time STRING, province STRING, n BIGINT, rank INT").parquet(path)
+    return rows.withColumn("province", F.col("province").cast("long")).drop("batch_id")
+
+
+@query("s17_window_topn", TOP_WINDOWS)
 def s17(spark, sf):
-    return T.window_topn(province_windows(spark, sf), 5, "province")
+    return best_provinces(spark, province_rows(spark, sf), lambda sdf: sdf)
 
 
-HEAVY = f"SELECT DISTINCT user_id FROM ({windows_sql('user_id', 1440, 360, EVENTS)}) WHERE n > 3 AND user_id % 10 <> 1"
+LIMIT, SIZE, SLIDE = 5, "1440 minutes", "360 minutes"
+HEAVY = f"SELECT DISTINCT user_id FROM ({windows_sql('user_id', 1440, 360, EVENTS)}) WHERE n > {LIMIT} AND user_id % 10 <> 1"
 
 
-def blacklist_stream(spark, sf, then, white=None):
-    """Windows of users update the blacklist in one foreachBatch, then `then` sees the same batch; all batches' clicks are kept for the windows."""
-    path, seen = work_path(spark, "blacklist"), work_path(spark, "seen")
+def marked_clicks(spark, sf, keep=(), white=None) -> DataFrame:
+    """Clicks (with their hour) in the order of their time, folded to user, pane and the columns of `keep`, with the mark of users that windows have listed so far."""
     if white is None:
         white = clicks(spark, sf).where("user_id % 10 = 1").select("user_id").distinct()
+    path, check, schema = work_path(spark, "marked"), work_path(spark, "checkpoint"), []
 
-    def step(batch, i):
-        batch.write.mode("overwrite").parquet(f"{seen}/batch_id={i}")
-        known = spark.read.parquet(seen)
-        # only windows that this batch's users can have filled
-        touched = known.join(batch.select("user_id").distinct(), "user_id", "left_semi")
-        T.update_blacklist(T.window_count(touched, ["user_id"], "1440 minutes", "360 minutes"), path, 3, white)
-        then(batch, i, path)
+    def run(sdf: DataFrame) -> None:
+        out = W.blacklisted(sdf, "user_id", keep, SIZE, SLIDE, LIMIT, white, "1 day")
+        schema.append(out.schema)
+        with W.state_on_disk(spark):
+            T.keep_batches(out, path, check)
 
-    check = work_path(spark, "checkpoint")
-    T.in_order(clicks(spark, sf), "at", SLICES, lambda sdf: T.run_batches(sdf, step, check))
-    return path
+    T.in_order(clicks(spark, sf).withColumn("hour", F.date_format("at", "yyyyMMddHH")), "at", SLICES, run)
+    return spark.read.schema(schema[0]).parquet(path)
 
 
 @query("s18_update_blacklist", HEAVY)
 def s18(spark, sf):
-    return spark.read.schema("user_id BIGINT").parquet(blacklist_stream(spark, sf, lambda batch, i, path: None))
+    return marked_clicks(spark, sf).where("listed").select("user_id").distinct()
 
 
 SLICED = sliced_sql("(epoch_us(ts) // 1000)")
 
 
-def unlisted_sql(white: str) -> str:
-    """events by slice without the users that windows over the slices so far have listed."""
-    heavy = lambda i: f"(SELECT user_id FROM ({windows_sql('user_id', 1440, 360, f'(SELECT * FROM {SLICED} WHERE slice <= {i})')}) WHERE n > 3 AND NOT ({white}))"
-    return "(" + " UNION ALL ".join(f"SELECT * FROM {SLICED} WHERE slice = {i} AND user_id NOT IN {heavy(i)}" for i in range(SLICES)) + ")"
+def unlisted_sql(white: str, good: str = "true") -> str:
+    """events by slice without the users that windows over the slices so far have listed; of those only that are good."""
+    heavy = lambda i: f"(SELECT user_id FROM ({windows_sql('user_id', 1440, 360, f'(SELECT * FROM {SLICED} WHERE slice <= {i} AND {good})')}) WHERE n > {LIMIT} AND NOT ({white}))"
+    return "(" + " UNION ALL ".join(f"SELECT * FROM {SLICED} WHERE slice = {i} AND {good} AND user_id NOT IN {heavy(i)}" for i in range(SLICES)) + ")"
 
 
 @query("s19_filter_blacklist", f"SELECT user_id, CAST(count(*) AS BIGINT) AS n FROM {unlisted_sql('user_id % 10 = 1')} GROUP BY 1")
 def s19(spark, sf):
-    kept = work_path(spark, "kept")
-    blacklist_stream(spark, sf, lambda b, i, path: T.filter_blacklist(b, path).write.mode("overwrite").parquet(f"{kept}/batch_id={i}"))
-    return A.group_count(spark.read.parquet(kept), ["user_id"])
+    return marked_clicks(spark, sf).where("NOT listed").groupBy("user_id").agg(F.sum("n").alias("n"))
 
 
 @query("s20_restart", "SELECT user_id, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1")
@@ -229,7 +271,21 @@ def s21(spark, sf):
             S.upsert(batch, path, ["event_type"])
 
     T.run_batches(sdf, step, work_path(spark, "checkpoint"), "update")
-    return spark.read.parquet(path)
+    return S.keyed_table(spark, path)
+
+
+@query("s21_once_into_database", "SELECT event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1")
+def s21_once(spark, sf):
+    """Each batch's own counts are added in a database, twice as when a batch is repeated: the second time is refused."""
+    url = database(spark, "once")
+    sdf = streamed(spark, clicks(spark, sf), "event_id")
+
+    def step(batch, i):
+        for _ in range(2):
+            S.commit_jdbc(A.group_count(batch, ["event_type"]), url, "COUNTS", ["event_type"], "s21", i, {}, ["n"], KIND)
+
+    T.run_batches(sdf, step, work_path(spark, "checkpoint"))
+    return read_jdbc(spark, url, "COUNTS", {})
 
 
 @query("b2_stream_text", f"SELECT word, CAST(count(*) AS BIGINT) AS n FROM (SELECT {W1} AS word FROM documents) GROUP BY 1")
@@ -258,8 +314,7 @@ def b17(spark, sf):
     return A.group_count(spark.read.parquet(path), ["topic"])
 
 
-@query("d4_stream_exclude", "SELECT user_id, CAST(count(*) AS BIGINT) AS n FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error') GROUP BY 1")
+@query("d4_stream_exclude", f"SELECT user_id, CAST(count(*) AS BIGINT) AS n FROM events WHERE user_id NOT IN ({BLACK}) GROUP BY 1")
 def d4s(spark, sf):
-    rows = clicks(spark, sf)
-    sdf = R.exclude(streamed(spark, rows, "event_id"), rows.where("event_type = 'error'"), "user_id")
+    sdf = R.exclude(streamed(spark, clicks(spark, sf), "event_id"), blacklist(spark, sf), "user_id")
     return final(spark, T.running_count(sdf, ["user_id"]), ["user_id"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules of loomwork.plans, each with QUERIES (name -> callable) and ORACLES (name -> SQL).
-PLAN_MODULES: list[str] = ["batch", "streams", "jobs", "learning"]
+PLAN_MODULES: list[str] = ["batch", "streams", "jobs", "ad_click", "learning"]
 
 
 def _merged(attribute: str) -> dict:

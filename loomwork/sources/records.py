@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,9 +19,15 @@ def parse_access_log(lines: DataFrame, col: str = "value") -> DataFrame:
     return lines.where(F.col(col).rlike(ACCESS_LOG)).select(*fields, code.try_cast("int").alias("response_code"), size.try_cast("long").alias("content_size"))
 
 
+def quoted(sep: str) -> str:
+    """The regular expression of a separator that is taken as it stands."""
+    return re.escape(sep)
+
+
 def reject_malformed(lines: DataFrame, sep: str, n: int, col: str = "value") -> tuple[DataFrame, DataFrame]:
-    """(good, rejected): lines of at least n fields that are not blank, and the others."""
-    good = (F.length(F.trim(col)) > 0) & (F.size(F.split(col, sep, -1)) >= n)
+    """(good, rejected): lines of at least n fields that are not blank, and the others. Empty fields at the end of a line do not count."""
+    ended = F.regexp_replace(col, rf"(?:{quoted(sep)})+$", "")
+    good = (F.length(F.trim(col)) > 0) & (F.length(ended) > 0) & (F.size(F.split(ended, quoted(sep), -1)) >= n)
     good = F.coalesce(good, F.lit(False))
     return lines.where(good), lines.where(~good)
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType, TimestampType
 
-from loomwork.operators import aggregates, relational, sinks
+from loomwork.operators import aggregates, sinks
 from loomwork.session import work_path
 from loomwork.sources.stream import stream_table
 
@@ -23,19 +23,6 @@ def running_count(sdf: DataFrame, keys: Sequence[str]) -> DataFrame:
     return aggregates.group_count(sdf, keys)
 
 
-def window_count(sdf: DataFrame, keys: Sequence[str], size: str, slide: str | None = None, late: str | None = None) -> DataFrame:
-    """Rows by window and key: start_time and end_time as text; rows later than `late` behind the newest are dropped."""
-    rows = sdf.withWatermark("at", late) if late else sdf
-    out = rows.groupBy(F.window("at", size, slide).alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"))
-    fmt = "yyyy-MM-dd HH:mm:ss"
-    return out.select(F.date_format("w.start", fmt).alias("start_time"), F.date_format("w.end", fmt).alias("end_time"), *keys, "n")
-
-
-def window_topn(counts: DataFrame, n: int, key: str) -> DataFrame:
-    """The n first keys of each window by count; for a batch of window_count() rows, as ranks need whole windows."""
-    return aggregates.rank_within(counts, ["start_time"], [F.desc("n"), F.col(key)], n)
-
-
 def running_count_ttl(sdf: DataFrame, key: str, idle: str, late: str) -> DataFrame:
     """Running count of a text key that starts again from zero when the key was silent for longer than `idle` (event time).
 
@@ -61,26 +48,16 @@ def running_count_ttl(sdf: DataFrame, key: str, idle: str, late: str) -> DataFra
     return rows.groupBy("key").applyInPandasWithState(step, "key string, n long, last_ms long", "n long, last_ms long", "update", "EventTimeTimeout")
 
 
-def update_blacklist(windows: DataFrame, path: str, limit: int, whitelist: DataFrame) -> None:
-    """Users with more than `limit` clicks in a window, less the whitelist, are added to the set at path for good."""
-    heavy = windows.where(F.col("n") > limit).select("user_id").distinct()
-    sinks.add_to_set(relational.exclude(heavy, whitelist, "user_id"), path, "user_id")
-
-
-def filter_blacklist(batch: DataFrame, path: str) -> DataFrame:
-    """batch without the users of the set at path, which is read anew each time."""
-    spark = batch.sparkSession
-    return relational.exclude(batch, spark.read.parquet(path), "user_id") if sinks.exists(spark, path) else batch
-
-
 def run_batches(sdf: DataFrame, fn: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
     """Work off what is there, one foreachBatch call a batch; a checkpoint goes on where it ended."""
     query = sdf.writeStream.outputMode(mode).foreachBatch(fn).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
-def to_console(sdf: DataFrame, mode: str = "update"):
-    return sdf.writeStream.outputMode(mode).format("console").start()
+def to_console(sdf: DataFrame, checkpoint: str, mode: str = "update", rows: int = 20) -> None:
+    """Work off what is there and print the first rows of each batch."""
+    query = sdf.writeStream.outputMode(mode).format("console").option("numRows", rows).option("truncate", False).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
 
 
 def keep_batches(sdf: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
@@ -111,13 +88,24 @@ def slice_of(df: DataFrame, by: str, n: int) -> Column:
     return F.expr(f"coalesce(cast(({value} - {ends['lo']}) * {n} div ({ends['hi']} - {ends['lo']} + 1) AS int), 0)")
 
 
-def in_order(df: DataFrame, by: str, n: int, run: Callable[[DataFrame], None]) -> None:
+def in_order(df: DataFrame, by: str, n: int, run: Callable[[DataFrame], None], last: DataFrame | None = None) -> None:
     """df as a stream of n batches by ranges of a column: a slice arrives when the one before is worked off.
 
     run(stream) works off what is there, from its checkpoint on. The batches are the same at every run, and no slice goes
-    through one task.
+    through one task; all slices are written in one pass. The rows of `last` are a slice of their own at the end.
     """
-    path, part = work_path(df.sparkSession, "ordered"), slice_of(df, by, n)
+    spark, schema = df.sparkSession, df.schema
+    stage, path = work_path(spark, "slices"), work_path(spark, "ordered")
+    df.withColumn("_slice", slice_of(df, by, n)).write.partitionBy("_slice").parquet(stage)
     for i in range(n):
-        df.where(part == i).write.mode("append").parquet(path)
-        run(stream_table(df.sparkSession, path, df.schema, None))
+        sinks.move_files(spark, f"{stage}/_slice={i}", path, f"slice-{i}-")
+        run(stream_table(spark, path, schema, None))
+    if last is not None:
+        last.write.mode("append").parquet(path)
+        run(stream_table(spark, path, schema, None))
+
+
+def closing_row(df: DataFrame, by: str, after: str) -> DataFrame:
+    """One row, null but for a time so much later than all of df that windows that end until then are closed; no row for no df."""
+    end = df.agg(F.max(by).alias(by)).where(F.col(by).isNotNull()).select(F.expr(f"`{by}` + INTERVAL '{pd.Timedelta(after).value // 1_000_000_000}' SECOND").alias(by))
+    return end.select(*(F.col(by) if f.name == by else F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema))

@@ -29,7 +29,7 @@ def test_windows_cross_batches(spark, tmp_path):
         for f in order:
             seen = seen + batches[f] if whole else batches[f]
             windows = Counter((r["user_id"], w) for r in seen for w in range(r["s"] // SLIDE - 3, r["s"] // SLIDE + 1))
-            black |= {u for (u, _), n in windows.items() if n > 3 and u != 1}
+            black |= {u for (u, _), n in windows.items() if n > streams.LIMIT and u != 1}
             counts.update((r["hour"], r["ad_id"]) for r in batches[f] if r["user_id"] not in black)
         top = defaultdict(list)
         for (hour, ad), n in sorted(counts.items(), key=lambda x: (x[0][0], -x[1], x[0][1])):
