@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -66,6 +68,42 @@ def group_topn(df: DataFrame, key: str, value: str, n: int, salts: int | None =
     return best(rows, key).groupBy(key).agg(F.array_join(F.transform(listed, lambda x: x.cast("string")), ",").alias("top"))
 
 
+#: Rows that a task holds before it keeps the best of each key only.
+HELD = 100_000
+
+
+def top_partials(df: DataFrame, key: str, value: str, n: int) -> DataFrame:
+    """key and value of rows that can be among the n largest of their key: each task keeps a buffer of n values for each key.
+
+    Buffers are merged as rows arrive, so a task holds n values for each of its keys and HELD rows more; null values are left out.
+    """
+    rows = df.select(key, value).where(F.col(value).isNotNull())
+
+    def best(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        frame = pa.Table.from_batches(held).to_pandas(types_mapper=pd.ArrowDtype)
+        kept = frame.sort_values(value, ascending=False, kind="stable").groupby(key, dropna=False, sort=False).head(n)
+        return pa.Table.from_pandas(kept, schema=held[0].schema, preserve_index=False).combine_chunks().to_batches()[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.num_rows
+            if size >= HELD:
+                held = [best(held)]
+                size = held[0].num_rows // 2  # room for as much again, so that merging stays in proportion
+        if held:
+            yield best(held)
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def merged_topn(df: DataFrame, key: str, value: str, n: int, salts: int = 64) -> DataFrame:
+    """As group_topn(), by buffers that tasks merge: what is shuffled is n values of each key and task, merged in two steps."""
+    return group_topn(top_partials(df, key, value, n), key, value, n, salts)
+
+
 def rank_within(df: DataFrame, part: Sequence[str], order: Sequence[Column], n: int, first: int = 1, out: str = "rank") -> DataFrame:
     """The first n rows of each part in a total order, numbered from `first`."""
     number = F.row_number().over(Window.partitionBy(*part).orderBy(*order))
@@ -75,4 +113,9 @@ def rank_within(df: DataFrame, part: Sequence[str], order: Sequence[Column], n:
 def observe_counts(df: DataFrame, col: str, name: str = "rows") -> tuple[DataFrame, Observation]:
     """df, and counters of its rows and of the blank values of a column, filled when df is run."""
     seen = Observation(name)
-    return df.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(F.trim(F.col(col)) == "").alias("blank")), seen
+    return df.observe(seen, *counters(col)), seen
+
+
+def counters(col: str) -> list[Column]:
+    """Number of rows, and of those with a blank value."""
+    return [F.count(F.lit(1)).alias("rows"), F.count_if(F.trim(F.col(col)) == "").alias("blank")]

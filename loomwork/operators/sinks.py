@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Buckets of a table that lies by key.
+BUCKETS = 16
+
+
 def _hadoop(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -73,6 +77,11 @@ def save_partitioned(df: DataFrame, name: str, by: str, database: str | None = N
     df.write.mode("overwrite").partitionBy(by).saveAsTable(f"`{database}`.`{name}`" if database else f"`{name}`")
 
 
+def save_bucketed(df: DataFrame, name: str, key: str, buckets: int = BUCKETS) -> None:
+    """A managed table whose rows lie by a hash of the key, sorted; tables of as many buckets join on their keys where they lie."""
+    df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(f"`{name}`")
+
+
 def write_jdbc(df: DataFrame, url: str, name: str, properties: dict[str, str], mode: str = "append", types: str | None = None) -> None:
     """df into a database table; overwriting keeps the table and empties it. types: columns of a new table, as in DDL, that the dialect maps otherwise."""
     writer = df.write.mode(mode).option("truncate", mode == "overwrite").option("batchsize", 500)
@@ -179,8 +188,6 @@ def hash_of(text: str) -> int:
     return zlib.crc32(text.encode())
 
 
-#: Buckets of a table that is updated by key.
-BUCKETS = 16
 #: Name of the file that says how many there are.
 MARK = "_buckets-"
 

@@ -386,6 +386,16 @@ def d2(spark, sf):
     return lines.join(part, lines.l_partkey == part.p_partkey).groupBy("p_name").agg(F.sum("l_quantity").alias("q"))
 
 
+@query("d2_join_bucketed", "SELECT p_name, CAST(sum(l_quantity) AS DOUBLE) AS q FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1")
+def d2_bucketed(spark, sf):
+    """Both tables lie by the key of the join, which therefore moves no row."""
+    tag = uuid.uuid4().hex
+    S.save_bucketed(table(spark, sf, "lineitem").select("l_partkey", "l_quantity"), f"lines_{tag}", "l_partkey")
+    S.save_bucketed(table(spark, sf, "part").select("p_partkey", "p_name"), f"parts_{tag}", "p_partkey")
+    lines, part = spark.table(f"lines_{tag}"), spark.table(f"parts_{tag}")
+    return lines.join(part.hint("merge"), lines.l_partkey == part.p_partkey).groupBy("p_name").agg(F.sum("l_quantity").alias("q"))
+
+
 @query("d3_left_join", "SELECT c_custkey, CAST(count(o_orderkey) AS BIGINT) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1")
 def d3(spark, sf):
     orders = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")
@@ -410,6 +420,11 @@ def d5(spark, sf):
     return R.exclude(table(spark, sf, "events"), blacklist(spark, sf), "user_id", limit=100_000).select("event_id")
 
 
+@query("d5_exclude_filtered", f"SELECT event_id FROM events WHERE user_id NOT IN ({BLACK})")
+def d5_filtered(spark, sf):
+    return R.exclude_filtered(table(spark, sf, "events"), blacklist(spark, sf), "user_id")[0].select("event_id")
+
+
 @query("d6_whitelist", f"SELECT DISTINCT user_id FROM ({BLACK}) WHERE user_id % 10 <> 1")
 def d6(spark, sf):
     white = table(spark, sf, "customer").where("c_custkey % 10 = 1").select(F.col("c_custkey").alias("user_id"))
@@ -558,6 +573,11 @@ def g6(spark, sf):
     return A.group_topn(table(spark, sf, "orders"), "o_custkey", "o_orderkey", 3, salts=8)
 
 
+@query("g5_merged_topn", TOPN)
+def g5_merged(spark, sf):
+    return A.merged_topn(table(spark, sf, "orders"), "o_custkey", "o_orderkey", 3)
+
+
 @query("g7_top_ads", f"SELECT province, ad_id, n, CAST(r - 1 AS INT) AS rank FROM {TOP_ADS} WHERE r <= 5")
 def g7(spark, sf):
     return top_ads(spark, sf, 0)

@@ -248,6 +248,15 @@ def s19(spark, sf):
     return marked_clicks(spark, sf).where("NOT listed").groupBy("user_id").agg(F.sum("n").alias("n"))
 
 
+@query("e16_stream_counters", f"SELECT slice AS batch_id, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(*) FILTER (WHERE trim(event_type) = '') AS BIGINT) AS n_blank FROM {sliced_sql('event_id')} GROUP BY 1")
+def e16_stream(spark, sf):
+    """Counters of each batch, gathered by a listener beside the stream."""
+    check, found = work_path(spark, "checkpoint"), []
+    work = lambda sdf: T.run_batches(sdf, lambda b, i: b.write.format("noop").mode("overwrite").save(), check)
+    T.in_order(clicks(spark, sf), "event_id", SLICES, lambda sdf: found.extend(T.count_batches(sdf, "event_type", work)))
+    return spark.createDataFrame([(i, x["rows"], x["blank"]) for i, x in found], "batch_id INT, n_rows BIGINT, n_blank BIGINT")
+
+
 @query("s20_restart", "SELECT user_id, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1")
 def s20(spark, sf):
     """The stream is stopped after the first files, more arrive, and it goes on from its checkpoint."""

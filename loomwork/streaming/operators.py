@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import threading
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.types import IntegerType, StructField, StructType, TimestampType
 
 from loomwork.operators import aggregates, sinks
@@ -54,6 +57,41 @@ def run_batches(sdf: DataFrame, fn: Callable[[DataFrame, int], None], checkpoint
     query.awaitTermination()
 
 
+class BatchCounters(StreamingQueryListener):
+    """Counters that a stream observes, by batch: rows (batch, values by name) of the batches that had rows."""
+
+    def __init__(self, name: str) -> None:
+        self.name, self.rows, self.ended = name, [], threading.Event()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        seen = event.progress.observedMetrics.get(self.name)
+        if seen is not None and event.progress.numInputRows:
+            self.rows.append((event.progress.batchId, seen.asDict()))
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.set()
+
+
+def count_batches(sdf: DataFrame, col: str, run: Callable[[DataFrame], None], wait: float = 60) -> list[tuple[int, dict]]:
+    """Rows, and blank values of a column, of each batch of a stream that run(stream) works off."""
+    name, spark = f"counters_{uuid.uuid4().hex}", sdf.sparkSession
+    counters = BatchCounters(name)
+    spark.streams.addListener(counters)
+    try:
+        run(sdf.observe(name, *aggregates.counters(col)))
+        if not counters.ended.wait(wait):  # events come after the stream has ended
+            raise TimeoutError("the stream's last event did not come")
+    finally:
+        spark.streams.removeListener(counters)
+    return counters.rows
+
+
 def to_console(sdf: DataFrame, checkpoint: str, mode: str = "update", rows: int = 20) -> None:
     """Work off what is there and print the first rows of each batch."""
     query = sdf.writeStream.outputMode(mode).format("console").option("numRows", rows).option("truncate", False).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
