@@ -173,31 +173,34 @@ def _judged(texts: DataFrame, out: DataFrame, names: list[str]) -> DataFrame:
         return F.transform(powers, lambda x: x / F.aggregate(powers, F.lit(0.0), lambda s, v: s + v))
 
     evidence = F.zip_with(F.col("ll"), claimed, lambda a, b: a + b)
-    local = posterior(F.zip_with(evidence, F.lit(start), lambda a, b: a + b))
-    sums = texts.select("host", local.alias("p")).groupBy("host").agg(*(F.sum(F.get("p", F.lit(k))).alias(f"n{k}") for k in range(size)))
+    own = posterior(F.zip_with(evidence, F.lit(start), lambda a, b: a + b))
+    sums = texts.select("host", own.alias("p")).groupBy("host").agg(*(F.sum(F.get("p", F.lit(k))).alias(f"n{k}") for k in range(size)))
     domain = F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)
     suffix = F.regexp_extract("host", r"([^.]+)$", 1)
     hosts = materialize(sums.select("*", F.when(domain == "", F.col("host")).otherwise(domain).alias("domain"), suffix.alias("suffix")), "language_hosts")
     ns = [f"n{k}" for k in range(size)]
 
-    def level(key: list[str], name: str, above: DataFrame | None, on: list[str]) -> DataFrame:
-        counts = hosts.groupBy(*key).agg(*(F.sum(c).alias(c) for c in ns))
-        total = sum((F.col(c) for c in ns), F.lit(0.0))
-        if above is None:
-            base = [F.exp(F.lit(x)) for x in start]
-            out = counts
-        else:
-            out = counts.join(above, on) if on else counts.join(F.broadcast(above))  # the level above all is one row
-            base = [F.get("prior", F.lit(k)) for k in range(size)]
-        extra = [F.when(F.col("suffix").isin([c for c, lang in COUNTRIES.items() if lang == names[k]]), COUNTRY_STRENGTH).otherwise(0.0) if name == "suffix" else F.lit(0.0) for k in range(size)]
-        weight = total + sum(extra, F.lit(0.0)) + STRENGTH
-        return out.select(*key, F.array(*((F.col(c) + e + STRENGTH * b) / weight for c, e, b in zip(ns, extra, base, strict=True))).alias("prior"))
-
-    top = level([], "all", None, [])
-    prior = level(["suffix"], "suffix", top, [])
-    prior = level(["suffix", "domain"], "domain", prior, ["suffix"])
-    prior = materialize(level(["suffix", "domain", "host"], "host", prior, ["suffix", "domain"]).select(F.col("host").alias("p_host"), "prior"), "language_priors")
-    joined = by_source(out, prior, "host", "p_host")
+    def counts(*key: str) -> DataFrame:
+        return hosts.groupBy(*key).agg(F.array(*(F.sum(c) for c in ns)).alias(f"n_{key[-1] if key else 'all'}"))
+
+    everywhere = counts().first()["n_all"]  # one number for each class
+    found = hosts.select("host", "suffix", "domain", F.array(*ns).alias("n_host")).join(counts("suffix"), "suffix").join(counts("suffix", "domain"), ["suffix", "domain"])
+    found = materialize(found.select(F.col("host").alias("p_host"), F.col("suffix").alias("p_suffix"), "n_suffix", "n_domain", "n_host"), "language_priors")
+    joined = by_source(out, found, "host", "p_host")
+
+    def smoothed(seen: Column, base: Column, extra: Column | None = None) -> Column:
+        """Shares of the classes at one level, drawn to those of the level above; a row's own evidence is taken out first."""
+        rest = F.zip_with(seen, own, lambda n, p: F.greatest(F.lit(0.0), n - p))
+        rest = rest if extra is None else F.zip_with(rest, extra, lambda n, e: n + e)
+        weight = F.aggregate(rest, F.lit(STRENGTH).cast("double"), lambda s, x: s + x)
+        return F.zip_with(rest, base, lambda n, b: (n + STRENGTH * b) / weight)
+
+    country = F.array(*(F.when(F.col("p_suffix").isin([c for c, lang in COUNTRIES.items() if lang == name]), float(COUNTRY_STRENGTH)).otherwise(0.0) for name in names))
+    joined = joined.withColumn("prior", smoothed(F.lit([float(x or 0) for x in everywhere]), F.lit([float(np.exp(x)) for x in start])))
+    joined = joined.withColumn("prior", smoothed(F.col("n_suffix"), F.col("prior"), country))
+    for level in ("n_domain", "n_host"):
+        joined = joined.withColumn("prior", smoothed(F.col(level), F.col("prior")))
+    joined = joined.drop("p_suffix", "n_suffix", "n_domain", "n_host")
     scores = F.zip_with(evidence, "prior", lambda e, p: e + F.log(p))
     out = joined.withColumn("scores", scores)
     out = out.withColumns({"lang": best(F.col("scores")), "confidence": F.array_max(posterior(F.col("scores"))), "text_lang": F.when(F.col("n") > 0, best(F.col("ll")))})

@@ -3,7 +3,7 @@
 A text is the multiset of its paragraphs (pieces between line feeds that hold a word). Each paragraph hashes to a wide
 vector, and a document's fingerprint is the sum of its paragraphs' vectors, lane by lane modulo a power of two:
 
-* identity lanes: two XXH64 hashes of the whole paragraph, as four lanes modulo 2^32;
+* identity lanes: four XXH64 hashes of the whole paragraph, each with a seed of its own, as eight lanes modulo 2^32: 256 bits;
 * sketch lanes: how often each bit is set in the hashes of the paragraph's word shingles, 64 lanes modulo 2^32, and
   their number.
 
@@ -21,7 +21,9 @@ from loomwork.llm.common import partitions
 
 MOD = 0xFFFFFFFF
 PAIR = 0x0000000100000001
-IDENTITY = 4
+#: Seeds of the identity hashes are themselves hashes of these numbers.
+SALTS = (1, 2, 3, 4)
+IDENTITY = 2 * len(SALTS)
 SKETCH = 64
 WORDS = 3
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -46,12 +48,12 @@ def _identity(text: Column) -> list[Column]:
 
     def lane(salt: int, half: int) -> Column:
         def part(p: Column) -> Column:
-            h = F.xxhash64(p, F.lit(salt))
+            h = F.xxhash64(F.lit(salt), p)  # the first argument's hash is the seed of the second's
             return (h if half == 0 else F.shiftrightunsigned(h, 32)).bitwiseAND(F.lit(MOD))
 
         return F.aggregate(paragraphs, F.lit(0).cast("long"), lambda a, p: (a + part(p)).bitwiseAND(F.lit(MOD)))
 
-    return [lane(salt, half) for salt in (1, 2) for half in (0, 1)]
+    return [lane(salt, half) for salt in SALTS for half in (0, 1)]
 
 
 def lanes(rows: DataFrame, keys: list[str], kept: list[str], text: str, words: int = WORDS) -> DataFrame:

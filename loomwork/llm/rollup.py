@@ -2,16 +2,18 @@
 
 A batch holds signed rows: inserted and deleted documents, and revised counts as a deletion of the old and an insertion of
 the new. It is summed by key and committed as one folder of the ledger, whose name is the batch's id; the folder appears
-only when it is whole, and a batch whose folder is there is not applied again, so replays change nothing. Totals are sums
-over the ledger.
+only when it is whole, and a batch whose folder is there is not applied again, so replays change nothing. Each writer of a batch
+has a staging folder of its own, and of several one alone puts its folder in place. Totals are sums over the ledger.
 """
 
 from __future__ import annotations
 
 import base64
+import uuid
 from functools import lru_cache
 
 import tiktoken
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,10 +56,18 @@ class Ledger:
         if batch in self.committed():
             return False
         sums = signed.groupBy(*KEYS).agg(*(F.sum(m).alias(m) for m in MEASURES))
-        part = f"{self.path}/.part-{batch}"
-        sums.write.mode("overwrite").parquet(part)
-        if not self._fs.rename(self._fs_path(part), self._fs_path(f"{self.path}/batch={batch}")):
-            raise OSError(f"batch {batch} could not be committed")
+        part, jvm = self._fs_path(f"{self.path}/.part-{batch}-{uuid.uuid4().hex}"), self.spark._jvm
+        sums.write.parquet(part.toString())
+        options = jvm.org.apache.hadoop.fs.Options
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(part.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        try:
+            # unlike FileSystem.rename, this moves nothing into a folder that is there
+            context.rename(part, self._fs_path(f"{self.path}/batch={batch}"), self.spark.sparkContext._gateway.new_array(options.Rename, 0))
+        except Py4JJavaError as error:
+            self._fs.delete(part, True)
+            if batch in self.committed():
+                return False
+            raise OSError(f"batch {batch} could not be committed") from error
         return True
 
     def totals(self) -> DataFrame:
@@ -90,9 +100,9 @@ def count_tokens(docs: DataFrame, vocabulary: str, name: str) -> DataFrame:
 
 
 def maintain(docs: DataFrame, vocabulary: str, name: str, path: str) -> DataFrame:
-    """Totals of docs after three batches: all documents by words, their counts revised to a tokenizer, exact copies deleted.
+    """Totals of docs after four batches: all documents by words; all again under a tokenizer, with their words as estimates; these revised to its tokens; exact copies deleted.
 
-    The batches are committed to the ledger at path; each is sent twice, as after a lost acknowledgement.
+    So the rows of the tokenizer "words" count every document, and those of `name` every text. The batches are committed to the ledger at path; each is sent twice, as after a lost acknowledgement.
     A copy is a document whose text equals that of a document with a smaller doc_id. Null texts are no copies. Repeated
     rows (equal doc_id and text) count each until the last batch, which keeps one. An empty table gives no totals.
     """
@@ -103,7 +113,8 @@ def maintain(docs: DataFrame, vocabulary: str, name: str, path: str) -> DataFram
     known = counted.where("digest IS NOT NULL")
     firsts = known.groupBy("digest").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), "source", "lang", "tokenizer", "n_tokens")).alias("first")).select("first.*")
     ledger = Ledger(spark, path)
-    batches = {"1-insert": inserts(by_words), "2-revise": revisions(by_words, counted), "3-copies": inserts(known, -1).union(inserts(firsts))}
+    estimates = by_words.withColumn("tokenizer", F.lit(name))
+    batches = {"1-words": inserts(by_words), "2-estimates": inserts(estimates), "3-revise": revisions(estimates, counted), "4-copies": inserts(known, -1).union(inserts(firsts))}
     for _ in range(2):
         for batch, signed in batches.items():
             ledger.commit(batch, signed)

@@ -7,7 +7,7 @@ from loomwork.llm import nearcopies, ngram_lm, rollup, simhash, spm
 from loomwork.llm.common import map_texts
 
 BIG = 2**53 + 1
-ROWS = [(BIG, "some words of one text", "en", "a", BIG + 2, 5), (None, "other words", "en", "a", None, None), (-BIG, None, None, None, BIG, 2**62 + 1), (2**63 - 1, "", "de", "b", None, None)]
+ROWS = [(BIG, "some words of one text", "en", "a", BIG + 2, 5), (None, "other words", "en", "a", None, None), (-BIG, None, None, None, BIG, 2**62 + 1), (2**63 - 1, "the last of the texts", "de", "b", None, None)]
 IDS = sorted(str(r[0]) for r in ROWS)
 
 

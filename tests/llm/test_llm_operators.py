@@ -3,11 +3,13 @@
 import hashlib
 import math
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from loomwork.llm import langid, mih, mixing, multiset, ngram_lm, queries, quotes, rollup, secrets, simhash, spm
@@ -115,6 +117,56 @@ def test_langid_accuracy_and_rejects(spark, docs, edges, none):
     assert kept.columns == docs.columns and kept.count() >= 0.99 * docs.count()
 
 
+def plain_languages(rows, model):
+    """Posteriors of (declared, host, log-likelihoods, trigrams) rows by hand, each row's own evidence left out of its priors."""
+    names = model.languages
+    size, claims = len(names), ["", *model.languages]
+    said = [d if d in names else "" for d, *_ in rows]
+    text = [int(np.argmax(ll)) for _, _, ll, _ in rows]
+    table = Counter((s, t) for s, t, r in zip(said, text, rows) if r[3] > 0)
+    claimed = np.array([[math.log((1 - langid.NOISE) * (table[c, k] + 0.5) / (sum(table[x, k] for x in claims) + 0.5 * len(claims)) + langid.NOISE / len(claims)) for k in range(size)] for c in claims])
+    start = np.array([(1 - langid.UNKNOWN_SHARE) / max(1, size - 1)] * (size - 1) + [langid.UNKNOWN_SHARE])
+    evidence = np.array([r[2] for r in rows]) + claimed[[claims.index(s) for s in said]]
+    own = np.exp(evidence + np.log(start) - (evidence + np.log(start)).max(axis=1, keepdims=True))
+    own /= own.sum(axis=1, keepdims=True)
+    keys = []
+    for _, host, *_ in rows:
+        domain, suffix = (re.search(p, host) for p in (r"([^.]+\.[^.]+)$", r"([^.]+)$"))
+        suffix = suffix.group(1) if suffix else ""
+        keys.append(((), (suffix,), (suffix, domain.group(1) if domain else host), (host,)))
+    out = []
+    for i in range(len(rows)):
+        base = start
+        for level in range(4):
+            rest = sum((own[j] for j in range(len(rows)) if j != i and keys[j][level] == keys[i][level]), np.zeros(size))
+            if level == 1:
+                rest = rest + np.array([langid.COUNTRY_STRENGTH if langid.COUNTRIES.get(keys[i][1][0]) == n else 0.0 for n in names])
+            base = (rest + langid.STRENGTH * base) / (rest.sum() + langid.STRENGTH)
+        p = np.exp(evidence[i] + np.log(base) - (evidence[i] + np.log(base)).max())
+        out.append((names[int(np.argmax(p))], p.max() / p.sum()))
+    return out
+
+
+def test_langid_query_by_hand(spark, sf, docs):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    model = langid.train(docs)
+    seen = pages.select("page_id", langid.text_of(F.col("html")).alias("t"), langid.declared_of(F.col("html")).alias("d"), langid.host_of(F.col("url")).alias("h")).collect()
+    mean, n = model[0].score([r["t"] for r in seen])
+    want = plain_languages([(r["d"], r["h"], m * min(k, langid.MOST), k) for r, m, k in zip(seen, mean, n)], model[0])
+    got = {r["page_id"]: r for r in queries.op2_langid(spark, sf).collect()}
+    assert len(got) == len(seen)
+    for r, (lang, sure) in zip(seen, want):
+        assert got[r["page_id"]]["lang"] == lang and math.isclose(got[r["page_id"]]["confidence"], sure, rel_tol=1e-6)
+
+
+def test_langid_own_evidence_is_no_prior(spark, docs):
+    """A host's only page is judged as on a host that is not known."""
+    model = langid.train(docs)
+    rows = spark.createDataFrame([(1, "und die der nicht", "", "one.example")], "id long, text string, declared string, host string")
+    other = rows.withColumn("host", F.lit("else.test"))
+    assert langid.identify(rows, model).first()["confidence"] == langid.identify(other, model).first()["confidence"]
+
+
 def test_langid_markup(spark):
     page = "<!DOCTYPE html><html class='x' lang=\"de-AT\"><script>var lang='fr'</script><p>Guten&nbsp;Tag</p><!-- en --></html>"
     df = spark.createDataFrame([("HTTPS://user@WWW.Example.DE:80/fr/1?x=http://a.fr", page), (None, None)], "url string, html string")
@@ -342,12 +394,54 @@ def test_multiset_edits(docs, texts):
 def test_multiset_is_homomorphic(spark):
     df = spark.createDataFrame([(1, "one two three four\nfive six seven\n\nten"), (2, "ten\nfive six seven\none two three four"), (3, "five six seven"), (4, "one two three four\nten"), (5, None)], "k int, text string")
     got = {r["k"]: r["lanes"] for r in multiset.lanes(df, ["k"], [], "text").collect()}
-    assert got[1] == got[2] and got[5] == [0] * 69
+    assert got[1] == got[2] and got[5] == [0] * 73
     both = spark.createDataFrame([(got[1], got[3], got[4])], "a array<long>, b array<long>, c array<long>")
     r = both.select(multiset.combine(F.col("b"), F.col("c")).alias("sum"), multiset.combine(F.col("a"), F.col("b"), -1).alias("rest")).first()
     assert r["sum"] == got[1] and r["rest"] == got[4]
 
 
+def plain_lanes(text):
+    """The fingerprint by hand: seeds by hashes of the salts, shingles by chained hashes of their words."""
+    half, out, n = 1 << 32, [0] * 72, 0
+    chain = lambda data, seed: xxhash.xxh64_intdigest(data, seed)
+    for p in (text or "").split("\n"):
+        words = re.findall(r"[^\x20\x09-\x0D]+", p)
+        if not words:
+            continue
+        for k, salt in enumerate(multiset.SALTS):
+            h = chain(p.encode(), chain(struct.pack("<i", salt), 42))
+            for j, part in enumerate((h % half, h // half)):
+                out[2 * k + j] = (out[2 * k + j] + part) % half
+        for i in range(max(1, len(words) - 2)):
+            h = 42
+            for w in words[i : i + 3]:
+                h = chain(w.encode(), h)
+            n += 1
+            for bit in range(64):
+                out[8 + bit] += h >> bit & 1
+    return [*out, n]
+
+
+def plain_likeness(a, b):
+    x, y = ([2 * v - z[-1] for v in z[8:72]] for z in (a, b))
+    size = math.sqrt(sum(v * v for v in x)) * math.sqrt(sum(v * v for v in y))
+    return 1.0 if a == b else max(0.0, min(1.0, sum(u * v for u, v in zip(x, y)) / size)) if size else 0.0
+
+
+def test_multiset_query_by_hand(spark, sf, texts):
+    out = {r["doc_id"]: r for r in queries.op6_multiset(spark, sf).collect()}
+    ids = sorted(texts)
+    assert sorted(out) == ids
+    lanes = {i: plain_lanes(texts[i]) for i in ids}
+    as_text = lambda x: "".join(f"{v:08x}" for v in x)
+    for i, nxt in zip(ids, ids[1:] + ids[:1], strict=True):
+        t, k = texts[i], len(texts[i]) // 4
+        edited = plain_lanes(t[: len(t) - k] + texts[nxt][:k])
+        assert (out[i]["fingerprint"], out[i]["edited_fingerprint"]) == (as_text(lanes[i]), as_text(edited))
+        assert math.isclose(out[i]["near_edited"], plain_likeness(lanes[i], edited), abs_tol=1e-9)
+        assert math.isclose(out[i]["near_next"], plain_likeness(lanes[i], lanes[nxt]), abs_tol=1e-9)
+
+
 def test_multiset_edges(edges, none):
     out = multiset.fingerprint_edits(edges)
     assert out.count() == len(EDGES) and out.where("near_edited NOT BETWEEN 0 AND 1 OR near_next NOT BETWEEN 0 AND 1").count() == 0
@@ -542,9 +636,14 @@ def test_rollup(spark, docs, edges, none):
     for r in first:
         want[r["source"], r["lang"]][0] += 1
         want[r["source"], r["lang"]][1] += len(coder.encode_ordinary(r["text"]))
-    assert {(r["source"], r["lang"]): [r["docs"], r["tokens"]] for r in out} == dict(want) and {r["tokenizer"] for r in out} == {"v"}
+    by_words = defaultdict(lambda: [0, 0])
+    for r in docs.collect():
+        by_words[r["source"], r["lang"]][0] += 1
+        by_words[r["source"], r["lang"]][1] += len(re.findall(r"[^\x20\x09-\x0D]+", r["text"]))
+    assert {(r["source"], r["lang"]): [r["docs"], r["tokens"]] for r in out if r["tokenizer"] == "v"} == dict(want)
+    assert {(r["source"], r["lang"]): [r["docs"], r["tokens"]] for r in out if r["tokenizer"] == "words"} == dict(by_words) and len(out) == len(want) + len(by_words)
     assert rollup.maintain(none, rollup.VOCABULARY, "v", shared_path(spark, "ledger")).count() == 0
-    assert rollup.maintain(edges, rollup.VOCABULARY, "v", shared_path(spark, "ledger")).agg(F.sum("docs")).first()[0] == 8
+    assert rollup.maintain(edges, rollup.VOCABULARY, "v", shared_path(spark, "ledger")).groupBy("tokenizer").agg(F.sum("docs").alias("n")).orderBy("n").collect() == [("v", 8), ("words", 9)]
 
 
 def test_ledger_is_idempotent(spark):
@@ -556,6 +655,17 @@ def test_ledger_is_idempotent(spark):
     assert ledger.commit("b2", rollup.inserts(rows, -1)) and ledger.totals().count() == 0
 
 
+def test_second_writer_of_a_batch_is_refused(spark, monkeypatch):
+    """Both writers have found the batch not committed; the one that comes second changes nothing and leaves no folder inside the first's."""
+    first, second = (rollup.Ledger(spark, path) for path in [shared_path(spark, "ledger")] * 2)
+    rows = spark.createDataFrame([("a", "en", "t", 5)], "source string, lang string, tokenizer string, n_tokens long")
+    real, asked = second.committed, []
+    monkeypatch.setattr(second, "committed", lambda: real() if asked else asked.append(1) or [])
+    assert first.commit("b", rollup.inserts(rows)) and not second.commit("b", rollup.inserts(rows))
+    assert [tuple(r) for r in first.totals().collect()] == [("a", "en", "t", 1, 5)]
+    assert [x.getPath().getName() for x in first._fs.listStatus(first._fs_path(first.path))] == ["batch=b"]
+
+
 # ------------------------------------------------ op10
 
 
