@@ -101,3 +101,17 @@ def test_excluding_by_a_key_that_can_be_null(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "user_id long, v string")
     got = {r["v"] for r in R.exclude(df, spark.createDataFrame([(2,), (None,)], "user_id long"), "user_id").collect()}
     assert "a" in got and "b" not in got
+
+
+def test_separators_are_taken_as_they_stand(spark):
+    for sep in ("^", "|", ".", "::", "\\", "$", "\t"):
+        lines = texts(spark, sep.join("abc"), sep.join("ab"), sep.join(["a", "", "c"]), sep.join(["a", "b", ""]), sep * 4, "abc", " ", None)
+        good, bad = P.reject_malformed(lines, sep, 3)
+        # empty fields at the end do not count, those between do
+        assert rows(good) == sorted([(sep.join("abc"),), (sep.join(["a", "", "c"]),)]), sep
+        assert bad.count() == 6
+
+
+def test_order_line_without_a_price_is_dropped(spark):
+    got = map(tuple, P.parse_order_csv(texts(spark, "1,2,", "1,2,3", "1,,3", "x,y,z", ",,")).collect())
+    assert [(r[0], r[1], None if r[2] is None else float(r[2])) for r in sorted(got, key=str)] == [("1", 2, 3.0), ("1", None, 3.0), ("x", None, None)]
