@@ -39,6 +39,8 @@ from loomwork.llm.common import map_texts, partitions, shared_path, text_batches
 DISCOUNT = 0.75
 #: Bytes of text that are worked on together; a longer text is worked on in pieces between words.
 PIECE = 1 << 22
+#: Bytes of training text for each shard of the words, at most about.
+SHARD = 1 << 26
 #: The end of a text, as a word's two hashes; no word has white space, so none is meant.
 END, END_CHECK = np.uint64(0x9D39247E33776D41), np.uint32(0x1B0CE5A9)
 #: Word ids from here on do not fit into one number with another.
@@ -408,14 +410,16 @@ class Reader:
 def train(docs: DataFrame, uri: str | None = None, shards: int | None = None, seed: int = 1) -> Trie:
     """Count docs (text) and write the model's levels and manifest to uri, in the shared folder unless given.
 
-    shards: of the words, a power of two; by default as many as there are shuffle partitions. An empty table gives a
+    shards: of the words, a power of two; by default as many as there are shuffle partitions, and so many that no shard counts
+    more than about SHARD bytes of text: a shard's runs are merged in one group. An empty table gives a
     model without words. Where two words share the hash of a seed the next seed is tried.
     """
     spark = docs.sparkSession
     uri = uri or shared_path(spark, "ngram")
     fs, path = pafs.FileSystem.from_uri(uri)
     fs.create_dir(path, recursive=True)
-    shards = shards or 1 << max(0, (partitions(spark) - 1).bit_length())
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = shards or 1 << max(0, (max(partitions(spark), -(-size // SHARD)) - 1).bit_length())
     shift = 64 - (shards.bit_length() - 1)
     docs = docs.select("text")
     text_batches(spark)

@@ -55,8 +55,11 @@ def link(messages: DataFrame) -> DataFrame:
     # only conversations in which somebody quotes need their paragraphs hashed
     asked = materialize(passages(quoting).where("level > 0"), "quoted")
     told = passages(rows.join(asked.select("conv_id").distinct(), "conv_id", "left_semi")).where("level = 0")
-    told = told.select("conv_id", "hash", F.col("turn").alias("origin")).distinct()
-    found = asked.join(told, ["conv_id", "hash"]).where("origin < turn").groupBy("conv_id", "turn", "n", "level").agg(F.max("origin").alias("origin"))
+    # the latest message before that says the passage, by one walk over all that say or quote it: a passage may be in every message
+    said = told.select("conv_id", "hash", "turn", F.lit(None).cast("int").alias("n"), F.lit(0).alias("level"), F.col("turn").alias("said")).distinct()
+    both = said.unionByName(asked.select("conv_id", "hash", "turn", F.col("n").cast("int").alias("n"), F.col("level").cast("int").alias("level"), F.lit(None).cast(asked.schema["turn"].dataType).alias("said")))
+    earlier = Window.partitionBy("conv_id", "hash").orderBy(F.col("turn").cast("long")).rangeBetween(Window.unboundedPreceding, -1)
+    found = both.withColumn("origin", F.max("said").over(earlier)).where("level > 0 AND origin IS NOT NULL")
     found = found.groupBy("conv_id", "turn").agg(F.min(F.struct("level", (-F.col("origin")).alias("late"))).alias("best"), F.count(F.lit(1)).alias("quotes"))
     found = materialize(found.select("conv_id", "turn", (-F.col("best.late")).alias("quoted_turn"), "quotes"), "quote_links")
     order = Window.partitionBy("conv_id").orderBy("turn")
