@@ -129,11 +129,12 @@ def _simhash_pairs(classes: DataFrame, radius: int) -> DataFrame:
 
 
 def _shared_keys(classes: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, node, c, n_at) of the keys that classes in different components c share."""
+    """(key, node, c, n_at, prev) of the keys that classes in different components c share; prev is the class's key before."""
     named = on_ids(classes.select("node", "n", "first"), labels.select("node", "component"), "node", "left")
     # size and place in one number: these are the rows that there are most of
-    keys = named.select("node", F.coalesce("component", "node").alias("c"), "n", F.posexplode("first").alias("at", "key"))
-    keys = keys.select("key", "node", "c", (F.col("n").cast("long") * SHIFT + F.col("at")).alias("n_at"))
+    pairs = F.transform("first", lambda x, i: F.struct(x.alias("key"), F.when(i > 0, F.get("first", i - 1)).alias("prev")))
+    keys = named.select("node", F.coalesce("component", "node").alias("c"), "n", F.posexplode(pairs).alias("at", "x"))
+    keys = keys.select("x.key", "node", "c", (F.col("n").cast("long") * SHIFT + F.col("at")).alias("n_at"), "x.prev")
     return materialize(_parted(keys), "shared")
 
 
@@ -141,12 +142,12 @@ def _parted(keys: DataFrame) -> DataFrame:
     """keys without those that one component alone has."""
     same = Window.partitionBy("key")
     rows = keys.select("*", F.min("c").over(same).alias("low"), F.max("c").over(same).alias("high")).where("low <> high")
-    return rows.select("key", "node", "c", "n_at")
+    return rows.select("key", "node", "c", "n_at", "prev")
 
 
 def _relabelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of _shared_keys() after more links are known; rows itself is deleted."""
-    now = on_ids(rows.drop("c"), labels.select("node", "component"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"), "n_at")
+    now = on_ids(rows.drop("c"), labels.select("node", "component"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"), "n_at", "prev")
     out = materialize(_parted(now), "shared")
     drop_table(rows)
     return out
@@ -176,15 +177,17 @@ def _centre_pairs(rows: DataFrame) -> DataFrame:
 
 
 def _key_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs of classes in different components that share keys enough to be similar."""
-    x = rows.select("key", *(F.col(k).alias(f"{k}_a") for k in ("node", "c", "n_at")))
-    y = rows.select("key", *(F.col(k).alias(f"{k}_b") for k in ("node", "c", "n_at")))
+    """Pairs of classes in different components that share a key where their sizes and its places leave the similarity possible.
+
+    Near copies share runs of keys. A pair whose keys before are the same too has met there already, as these two are in different
+    components, so a pair comes once for each run and not for each key. What the places rule out at one key cannot be similar.
+    """
+    x = rows.select("key", *(F.col(k).alias(f"{k}_a") for k in ("node", "c", "n_at", "prev")))
+    y = rows.select("key", *(F.col(k).alias(f"{k}_b") for k in ("node", "c", "n_at", "prev")))
     n, at = ({k: F.floor(F.col(f"n_at_{k}") / SHIFT) for k in "ab"}, {k: F.col(f"n_at_{k}") % SHIFT for k in "ab"})
-    met = x.join(y, (x["key"] == y["key"]) & (F.col("node_a") < F.col("node_b")) & (F.col("c_a") != F.col("c_b")) & (5 * F.least(n["a"], n["b"]) >= 4 * F.greatest(n["a"], n["b"])) & (9 * (F.least(at["a"], at["b"]) + F.least(n["a"] - at["a"], n["b"] - at["b"])) >= 4 * (n["a"] + n["b"])))
-    pairs = met.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.max("n_at_a").alias("last_a"), F.max("n_at_b").alias("last_b"))
-    i, j, na, nb = F.col("last_a") % SHIFT, F.col("last_b") % SHIFT, F.floor(F.col("last_a") / SHIFT), F.floor(F.col("last_b") / SHIFT)
-    # k shared shingles up to the last one, and no more after it than either set has left
-    pairs = materialize(pairs.where(9 * (F.col("k") + F.least(na - i, nb - j) - 1) >= 4 * (na + nb)).select("a", "b"), "key_pairs")
+    new = F.coalesce(F.col("prev_a") != F.col("prev_b"), F.lit(True))
+    met = x.join(y, (x["key"] == y["key"]) & (F.col("node_a") < F.col("node_b")) & (F.col("c_a") != F.col("c_b")) & new & (5 * F.least(n["a"], n["b"]) >= 4 * F.greatest(n["a"], n["b"])) & (9 * (F.least(at["a"], at["b"]) + F.least(n["a"] - at["a"], n["b"] - at["b"])) >= 4 * (n["a"] + n["b"])))
+    pairs = materialize(met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "key_pairs")
     drop_table(rows)
     return pairs
 
