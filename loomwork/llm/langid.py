@@ -156,24 +156,30 @@ def _judged(texts: DataFrame, out: DataFrame, names: list[str]) -> DataFrame:
         return F.get(F.array(*(F.lit(x) for x in names)), (F.array_position(scores, F.array_max(scores)) - 1).cast("int"))
 
     # how often texts of a language declare what: (size + 1) x size counts at most
-    table = texts.where("n > 0").groupBy(said.alias("said"), best(F.col("ll")).alias("text_lang")).count().collect()
-    declares = {(r["said"], r["text_lang"]): r["count"] for r in table}
+    seen = texts.where("n > 0").groupBy(said.alias("said"), best(F.col("ll")).alias("text_lang")).count().collect()
+    declares = {(r["said"], r["text_lang"]): r["count"] for r in seen}
     claims = ["", *names]
     loglik = []
     for claim in claims:
         for lang in names:
             total = sum(declares.get((c, lang), 0) for c in claims)
             loglik.append(float(np.log((1 - NOISE) * (declares.get((claim, lang), 0) + 0.5) / (total + 0.5 * len(claims)) + NOISE / len(claims))))
-    claim_at = F.coalesce(F.array_position(F.array(*(F.lit(x) for x in claims)), said), F.lit(1)) - 1
-    claimed = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.get(F.lit(loglik), (claim_at * size + i).cast("int")))
-    start = [float(np.log((1 - UNKNOWN_SHARE) / max(1, size - 1)))] * (size - 1) + [float(np.log(UNKNOWN_SHARE))]
+    table = np.array(loglik).reshape(len(claims), size)
+    claim_at = (F.coalesce(F.array_position(F.array(*(F.lit(x) for x in claims)), said), F.lit(1)) - 1).cast("int")
+    start = np.array([(1 - UNKNOWN_SHARE) / max(1, size - 1)] * (size - 1) + [UNKNOWN_SHARE])
 
-    def posterior(scores: Column) -> Column:
-        powers = F.transform(scores, lambda x: F.exp(x - F.array_max(scores)))
-        return F.transform(powers, lambda x: x / F.aggregate(powers, F.lit(0.0), lambda s, v: s + v))
+    def softmax(scores: np.ndarray) -> np.ndarray:
+        powers = np.exp(scores - scores.max(axis=1, keepdims=True))
+        return powers / powers.sum(axis=1, keepdims=True)
 
-    evidence = F.zip_with(F.col("ll"), claimed, lambda a, b: a + b)
-    own = posterior(F.zip_with(evidence, F.lit(start), lambda a, b: a + b))
+    def stacked(column: pd.Series) -> np.ndarray:
+        return np.stack(column.to_numpy()) if len(column) else np.zeros((0, size))
+
+    def alone(ll: pd.Series, claim: pd.Series) -> pd.Series:
+        """The posterior of a text on a host that is not known."""
+        return pd.Series(list(softmax(stacked(ll) + table[claim.to_numpy()] + np.log(start))))
+
+    own = F.pandas_udf(alone, "array<double>")(F.col("ll"), claim_at)
     sums = texts.select("host", own.alias("p")).groupBy("host").agg(*(F.sum(F.get("p", F.lit(k))).alias(f"n{k}") for k in range(size)))
     domain = F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)
     suffix = F.regexp_extract("host", r"([^.]+)$", 1)
@@ -188,22 +194,25 @@ def _judged(texts: DataFrame, out: DataFrame, names: list[str]) -> DataFrame:
     found = materialize(found.select(F.col("host").alias("p_host"), F.col("suffix").alias("p_suffix"), "n_suffix", "n_domain", "n_host"), "language_priors")
     joined = by_source(out, found, "host", "p_host")
 
-    def smoothed(seen: Column, base: Column, extra: Column | None = None) -> Column:
-        """Shares of the classes at one level, drawn to those of the level above; a row's own evidence is taken out first."""
-        rest = F.zip_with(seen, own, lambda n, p: F.greatest(F.lit(0.0), n - p))
-        rest = rest if extra is None else F.zip_with(rest, extra, lambda n, e: n + e)
-        weight = F.aggregate(rest, F.lit(STRENGTH).cast("double"), lambda s, x: s + x)
-        return F.zip_with(rest, base, lambda n, b: (n + STRENGTH * b) / weight)
-
-    country = F.array(*(F.when(F.col("p_suffix").isin([c for c, lang in COUNTRIES.items() if lang == name]), float(COUNTRY_STRENGTH)).otherwise(0.0) for name in names))
-    joined = joined.withColumn("prior", smoothed(F.lit([float(x or 0) for x in everywhere]), F.lit([float(np.exp(x)) for x in start])))
-    joined = joined.withColumn("prior", smoothed(F.col("n_suffix"), F.col("prior"), country))
-    for level in ("n_domain", "n_host"):
-        joined = joined.withColumn("prior", smoothed(F.col(level), F.col("prior")))
-    joined = joined.drop("p_suffix", "n_suffix", "n_domain", "n_host")
-    scores = F.zip_with(evidence, "prior", lambda e, p: e + F.log(p))
-    out = joined.withColumn("scores", scores)
-    out = out.withColumns({"lang": best(F.col("scores")), "confidence": F.array_max(posterior(F.col("scores"))), "text_lang": F.when(F.col("n") > 0, best(F.col("ll")))})
+    everywhere = np.array([float(x or 0) for x in everywhere])
+    bonus = {suffix: COUNTRY_STRENGTH * (np.array(names) == lang) for suffix, lang in COUNTRIES.items()}
+    none = np.zeros(size)
+
+    def judge(ll: pd.Series, claim: pd.Series, suffix: pd.Series, n_suffix: pd.Series, n_domain: pd.Series, n_host: pd.Series) -> pd.DataFrame:
+        """Each level's shares of the classes are drawn to those of the level above; a row's own evidence is taken out of all first."""
+        evidence = stacked(ll) + table[claim.to_numpy()]
+        mine, prior = softmax(evidence + np.log(start)), start
+        extra = np.array([bonus.get(x, none) for x in suffix]).reshape(-1, size)
+        for seen, more in ((everywhere, 0.0), (stacked(n_suffix), extra), (stacked(n_domain), 0.0), (stacked(n_host), 0.0)):
+            rest = np.maximum(0, seen - mine) + more
+            prior = (rest + STRENGTH * prior) / (rest.sum(axis=1, keepdims=True) + STRENGTH)
+        scores = evidence + np.log(prior)
+        return pd.DataFrame({"best": scores.argmax(axis=1), "sure": softmax(scores).max(axis=1), "text": stacked(ll).argmax(axis=1)})
+
+    found = F.pandas_udf(judge, "best int, sure double, text int")(F.col("ll"), claim_at, F.col("p_suffix"), F.col("n_suffix"), F.col("n_domain"), F.col("n_host"))
+    out = joined.withColumn("judged", found).drop("p_suffix", "n_suffix", "n_domain", "n_host")
+    name = lambda at: F.get(F.array(*(F.lit(x) for x in names)), at)
+    out = out.withColumns({"lang": name(F.col("judged.best")), "confidence": F.col("judged.sure"), "text_lang": F.when(F.col("n") > 0, name(F.col("judged.text")))}).drop("judged")
     return out.withColumn("accepted", (F.col("n") > 0) & (F.col("lang") != UNKNOWN))
 
 

@@ -100,6 +100,22 @@ def test_mih_edges(spark):
     assert mih.neighbours(df.limit(0)).count() == 0
 
 
+def test_mih_recall_beyond_the_fitting_sample(spark):
+    """More vectors than the codes are fitted on, without clusters, as the given ones are."""
+    rng = np.random.default_rng(12)
+    n = mih.SAMPLE + 2300
+    x = rng.normal(0, 0.125, (n, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    out = mih.neighbours(df).toPandas()
+    y = x.astype(float)
+    hits = []
+    for q, found in out.groupby("query_id"):
+        d = ((y - y[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hits.append(len(set(np.argsort(d, kind="stable")[:10]) & set(found["vec_id"])) / 10)
+    assert len(hits) == -(-n // 100) and np.mean(hits) >= 0.9
+
+
 # ------------------------------------------------ op2
 
 
