@@ -6,6 +6,7 @@ from loomwork.functions import columns as C
 from loomwork.operators import aggregates as A
 from loomwork.operators import relational as R
 from loomwork.operators import sinks as S
+from loomwork.plans import batch
 from loomwork.plans.jobs import area_top_products
 from loomwork.session import work_path
 from loomwork.sources import records as P
@@ -115,3 +116,11 @@ def test_separators_are_taken_as_they_stand(spark):
 def test_order_line_without_a_price_is_dropped(spark):
     got = map(tuple, P.parse_order_csv(texts(spark, "1,2,", "1,2,3", "1,,3", "x,y,z", ",,")).collect())
     assert [(r[0], r[1], None if r[2] is None else float(r[2])) for r in sorted(got, key=str)] == [("1", 2, 3.0), ("1", None, 3.0), ("x", None, None)]
+
+
+def test_whitelist_job_takes_all_users_of_more_than_three_errors(spark, tmp_path):
+    """d6 lists users of 4 to 13 errors too; those of the whitelist and of three errors stay out."""
+    errors = [(u, "error") for u, n in ((2, 4), (3, 3), (4, 14), (11, 9)) for _ in range(n)] + [(5, "click")] * 20
+    spark.createDataFrame(errors, "user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(21,)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    assert rows(batch.d6(spark, str(tmp_path))) == [(2,), (4,)]
