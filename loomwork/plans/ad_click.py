@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from loomwork.operators import aggregates as A
 from loomwork.operators import sinks as S
-from loomwork.plans.batch import database
 from loomwork.plans.streams import LIMIT, SIZE, SLICES, SLIDE, clicks, unlisted_sql, windows_sql
 from loomwork.session import work_path
 from loomwork.sources import records as P
@@ -39,8 +38,9 @@ class AdClickJob:
     """Streams that follow each other, each with a checkpoint of its own; advance() works off what has arrived.
 
     Lines are parsed and marked by the state of their user (blacklisted()), and go to a table that the stream writes exactly once.
-    From there users that are not listed go on, into running counts by day, province, city and ad, which a database table takes over
-    by key, batch by batch, with the ads of a province's day rolled up and ranked; and into windows of ads, once each is closed.
+    From there users that are not listed go on, into running counts by day, province, city and ad, which a table takes over by key,
+    batch by batch, with the ads of a province's day rolled up and ranked; and into windows of ads, once each is closed. The tables
+    of counts and top ads are a database's, by `url` or loomwork.jdbc.url, and where none is named lie by key in the shared folder.
     """
 
     spark: SparkSession
@@ -53,11 +53,12 @@ class AdClickJob:
     best: int = 5
     marked: str = field(init=False)
     closed: str = field(init=False)
+    kept: str = field(init=False)
     checks: dict[str, str] = field(init=False)
 
     def __post_init__(self) -> None:
-        self.url = self.url or database(self.spark, "ads")
-        self.marked, self.closed = work_path(self.spark, "marked"), work_path(self.spark, "windows")
+        self.url = self.url or self.spark.conf.get("loomwork.jdbc.url", "")
+        self.marked, self.closed, self.kept = work_path(self.spark, "marked"), work_path(self.spark, "windows"), work_path(self.spark, "ads")
         self.checks = {name: work_path(self.spark, f"check-{name}") for name in ("mark", "count", "window")}
 
     def mark(self, lines: DataFrame) -> None:
@@ -76,19 +77,33 @@ class AdClickJob:
         rows = stream_table(self.spark, self.marked, schema, None).where("NOT listed")
         return rows.select(F.col("minute").alias("at"), F.date_format("minute", "yyyyMMdd").alias("day"), "province", "city", "ad_id", "n")
 
+    def put(self, rows: DataFrame, name: str, keys: list[str], job: str, batch: int, types: str) -> None:
+        """Rows of a batch take the place of those with the same keys; a repeated batch changes nothing."""
+        if self.url:
+            S.commit_jdbc(rows, self.url, name, keys, job, batch, {}, types=types)
+        else:
+            S.upsert(rows, f"{self.kept}/{name}", keys)
+
+    def stored(self, name: str, predicates: list[str] | None = None) -> DataFrame:
+        return read_jdbc(self.spark, self.url, name, {}, predicates) if self.url else S.keyed_table(self.spark, f"{self.kept}/{name}")
+
     def count(self) -> None:
         """Running counts into AD_STATE, then the top ads of the days and provinces that changed into AD_TOP."""
         counts = W.count_until_idle(self.passed(), DIMS, self.interval, self.empty, "1 hour", "n").select(*DIMS, F.col("n").alias("click_count"))
 
         def step(batch: DataFrame, i: int) -> None:
-            S.commit_jdbc(batch, self.url, "AD_STATE", DIMS, "ad-state", i, {}, types=STATE_TYPES)
-            # of the state table only what this batch has changed: its days are few
-            days = [r["day"] for r in batch.select("day").distinct().collect()]
-            if not days:
-                return
-            state = read_jdbc(self.spark, self.url, "AD_STATE", {}, [f"\"day\" = '{d}'" for d in days])
-            changed = state.join(batch.select("day", "province").distinct(), ["day", "province"], "left_semi")
-            S.commit_jdbc(self.top(changed), self.url, "AD_TOP", ["field"], "ad-top", i, {}, types=TOP_TYPES)
+            batch = batch.persist()
+            try:
+                self.put(batch, "AD_STATE", DIMS, "ad-state", i, STATE_TYPES)
+                # of the state table only what this batch has changed: its days are few
+                days = [r["day"] for r in batch.select("day").distinct().collect()]
+                if not days:
+                    return
+                state = self.stored("AD_STATE", [f"\"day\" = '{d}'" for d in days]).where(F.col("day").isin(days))
+                changed = state.join(batch.select("day", "province").distinct(), ["day", "province"], "left_semi")
+                self.put(self.top(changed), "AD_TOP", ["field"], "ad-top", i, TOP_TYPES)
+            finally:
+                batch.unpersist()
 
         with W.state_on_disk(self.spark):
             T.run_batches(counts, step, self.checks["count"])
@@ -111,10 +126,10 @@ class AdClickJob:
             branch()
 
     def state(self) -> DataFrame:
-        return read_jdbc(self.spark, self.url, "AD_STATE", {})
+        return self.stored("AD_STATE")
 
     def tops(self) -> DataFrame:
-        return read_jdbc(self.spark, self.url, "AD_TOP", {})
+        return self.stored("AD_TOP")
 
     def closed_windows(self) -> DataFrame:
         return self.spark.read.schema("start_time STRING, end_time STRING, ad_id BIGINT, n BIGINT").parquet(self.closed).drop("batch_id")

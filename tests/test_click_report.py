@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
-from loomwork.plans import jobs, streams
+from loomwork.plans import ad_click, jobs, streams
 from loomwork.streaming import operators as T
 
 DAY, SLIDE = 1440 * 60, 360 * 60
@@ -39,3 +39,16 @@ def test_windows_cross_batches(spark, tmp_path):
     got = {r["hour"]: r["value"] for r in jobs.j3(spark, str(tmp_path)).collect()}
     assert total(True) != total(False)
     assert got == total(True)
+
+
+def test_job_without_a_database_keeps_its_tables_by_key(spark, monkeypatch, tmp_path):
+    """On a cluster no database is named, and none is needed; a database that is named holds the same rows."""
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://elsewhere:7077")
+    white, url = spark.createDataFrame([(1,)], "user_id long"), f"jdbc:derby:memory:{tmp_path.name}_ads;create=true"
+    for job in (ad_click.AdClickJob(spark, white), ad_click.AdClickJob(spark, white, url)):
+        for batch, part in enumerate(([("20240101", "p", "c", 1, 5), ("20240101", "p", "c", 2, 6)], [("20240101", "p", "c", 1, 7), ("20240102", "q", "c", 1, 1)])):
+            for _ in range(2):
+                job.put(spark.createDataFrame(part, "day string, province string, city string, ad_id long, click_count long"), "AD_STATE", ad_click.DIMS, "ad-state", batch, ad_click.STATE_TYPES)
+        job.put(job.top(job.state()), "AD_TOP", ["field"], "ad-top", 0, ad_click.TOP_TYPES)
+        assert sorted(map(tuple, job.state().select(*ad_click.DIMS, "click_count").collect())) == [("20240101", "p", "c", 1, 7), ("20240101", "p", "c", 2, 6), ("20240102", "q", "c", 1, 1)]
+        assert sorted(map(tuple, job.tops().select("field", "value").collect())) == [("20240101:p", "1:7,2:6"), ("20240102:q", "1:1")]
