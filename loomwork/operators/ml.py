@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import NaiveBayes
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, Word2Vec, Word2VecModel
 from pyspark.ml.recommendation import ALS, ALSModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.functions.columns import normalize_words
+from loomwork.session import work_path
 
 
 def fit_als(ratings: DataFrame, rank: int = 10, iterations: int = 10, seed: int = 1) -> ALSModel:
@@ -20,13 +23,117 @@ def fit_als(ratings: DataFrame, rank: int = 10, iterations: int = 10, seed: int
     return ALS(userCol="user_id", itemCol="item_id", ratingCol="rating", rank=rank, maxIter=iterations, seed=seed, coldStartStrategy="drop").fit(rows)
 
 
+#: Rows of a block of factors; blocks of the longest factors that give each row its first k.
+BLOCK, FIRST = 2048, 4
+#: Scores are products in 32 bits; what a bound may be off by.
+SLACK = 1e-4
+
+
 def recommend(model: ALSModel, k: int = 10, side: str = "user", subset: DataFrame | None = None) -> DataFrame:
     """The k best items of each user (side user) or users of each item, for all or for a subset, as rows: id, other, score."""
-    if side == "user":
-        found = model.recommendForAllUsers(k) if subset is None else model.recommendForUserSubset(subset, k)
-        return found.select(F.col("user_id").alias("id"), F.explode("recommendations").alias("r")).select("id", F.col("r.item_id").alias("other"), F.col("r.rating").alias("score"))
-    found = model.recommendForAllItems(k) if subset is None else model.recommendForItemSubset(subset, k)
-    return found.select(F.col("item_id").alias("id"), F.explode("recommendations").alias("r")).select("id", F.col("r.user_id").alias("other"), F.col("r.rating").alias("score"))
+    own, others = (model.userFactors, model.itemFactors) if side == "user" else (model.itemFactors, model.userFactors)
+    if subset is not None:
+        own = own.join(subset.select(F.col(f"{side}_id").cast("int").alias("id")).distinct(), "id", "left_semi")
+    return best_products(own, others, k)
+
+
+def _length(col: str) -> Column:
+    return F.sqrt(F.aggregate(col, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+
+
+def _packed(size: int):
+    """Rows (id, features, far, and what was found for each) as blocks: the columns end to end, the greatest and least `far` of the block."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for at in range(0, len(rows), size):
+                x = rows.iloc[at : at + size]
+                found = [np.concatenate(x[c].to_list()).astype(t).tobytes() if c in x else b"" for c, t in (("other", np.int32), ("score", np.float32))]
+                yield pd.DataFrame({"ids": [x["id"].to_numpy(np.int32).tobytes()], "vectors": [np.concatenate(x["features"].to_list()).astype(np.float32).tobytes()], "others": [found[0]], "scores": [found[1]], "most": [x["far"].max()], "least": [x["far"].min()]})
+
+    return pack
+
+
+def _blocks(rows: DataFrame, path: str) -> DataFrame:
+    """rows as blocks of those whose `far` is alike, greatest first in a block's rows; written, so that a block keeps its rows and number."""
+    near = rows.repartitionByRange(F.desc("far")).sortWithinPartitions(F.desc("far"))
+    packed = near.mapInPandas(_packed(BLOCK), "ids binary, vectors binary, others binary, scores binary, most double, least double")
+    packed.withColumn("block", F.monotonically_increasing_id()).write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
+def _search(k: int, first: Sequence[int], begun: bool):
+    """Pairs of blocks (q_*, o_*): the k best of each row of q, over all that a task sees of o. Once begun, the first blocks are in q's rows."""
+
+    def steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block = None
+
+        def result() -> pd.DataFrame:
+            if begun:
+                where, rank = np.nonzero((others >= 0) & (fresh | whole))
+                return pd.DataFrame({"id": ids[where], "other": others[where, rank], "score": scores[where, rank]})
+            least = scores[:, -1].astype(float)
+            far = np.where(lengths > 0, least * (1 - np.sign(least) * SLACK) / np.maximum(lengths, 1e-30), -np.inf)
+            return pd.DataFrame({"id": ids, "features": list(vectors), "other": list(others), "score": list(scores), "far": far})
+
+        for pairs in batches:
+            for p in pairs.itertuples(index=False):
+                if p.q_block != block:
+                    if block is not None:
+                        yield result()
+                    block, whole, ids = p.q_block, False, np.frombuffer(p.q_ids, np.int32)
+                    vectors = np.frombuffer(p.q_vectors, np.float32).reshape(len(ids), -1)
+                    lengths = np.sqrt((vectors.astype(float) ** 2).sum(axis=1))
+                    others, scores = np.full((len(ids), k), -1, np.int32), np.full((len(ids), k), -np.inf, np.float32)
+                    if begun:
+                        others, scores = (np.frombuffer(x, t).reshape(len(ids), k).copy() for x, t in ((p.q_others, np.int32), (p.q_scores, np.float32)))
+                    fresh = np.zeros(others.shape, bool)
+                if begun and p.o_block in first:
+                    whole = True  # of all tasks only this one gives what the first blocks gave
+                    continue
+                # what no row of the other block can pass is not multiplied
+                rows = np.flatnonzero(lengths * p.o_most * (1 + SLACK) > scores[:, -1])
+                known = np.frombuffer(p.o_ids, np.int32)
+                theirs = np.frombuffer(p.o_vectors, np.float32).reshape(len(known), -1)
+                product = vectors[rows] @ theirs.T
+                better = product.max(axis=1) + SLACK * 0.01 * lengths[rows] * p.o_most > scores[rows, -1]
+                rows, product = rows[better], product[better]
+                if not len(rows):
+                    continue
+                n = min(k, len(known))
+                top = np.argpartition(-product, n - 1, axis=1)[:, :n]
+                # a score is the same in whatever blocks its rows lie
+                at = (vectors[rows].astype(float)[:, None, :] * theirs[top].astype(float)).sum(axis=2).astype(np.float32)
+                new, at = np.hstack([others[rows], known[top]]), np.hstack([scores[rows], at])
+                order = np.lexsort((new, -at), axis=-1)[:, :k]
+                others[rows], scores[rows] = np.take_along_axis(new, order, axis=1), np.take_along_axis(at, order, axis=1)
+                fresh[rows] = np.take_along_axis(np.hstack([fresh[rows], np.ones(top.shape, bool)]), order, axis=1)
+        if block is not None:
+            yield result()
+
+    return steps
+
+
+def best_products(own: DataFrame, others: DataFrame, k: int) -> DataFrame:
+    """For each row of own (id, features) the k rows of others with the greatest product: id, other, score. No pair is left out unseen.
+
+    Both lie in blocks; the blocks of the longest others give each row its first k. A product is at most that of the lengths, so a
+    row then only meets blocks whose longest can pass its k-th, and rows that reach alike share blocks. A task holds two blocks and
+    their products. Of rows whose products are equal in 32 bits to the k-th any may be given.
+    """
+    spark = own.sparkSession
+    path, tasks = work_path(spark, "products"), spark.sparkContext.defaultParallelism
+    right = _blocks(others.select("id", "features", _length("features").alias("far")), f"{path}/others")
+    left = _blocks(own.select("id", "features", _length("features").alias("far")), f"{path}/own")
+    first = [r["block"] for r in right.orderBy(F.desc("most"), "block").limit(FIRST).select("block").collect()]
+    q = lambda df: df.select(*(F.col(c).alias(f"q_{c}") for c in ("block", "ids", "vectors", "others", "scores", "least"))).repartition(2 * tasks, "q_block")
+    o = right.select(*(F.col(c).alias(f"o_{c}") for c in ("block", "ids", "vectors", "most")))
+    started = q(left).crossJoin(F.broadcast(o.where(F.col("o_block").isin(first)))).mapInPandas(_search(k, first, False), "id int, features array<float>, other array<int>, score array<float>, far double")
+    reach = (F.col("o_most") >= F.col("q_least")) & ~F.col("o_block").isin(first) | F.col("o_block").isin(first[:1])
+    pairs = q(_blocks(started, f"{path}/begun")).join(o.repartition(4, "o_block").sortWithinPartitions(F.desc("o_most")).hint("shuffle_replicate_nl"), reach)
+    found = pairs.mapInPandas(_search(k, first, True), "id int, other int, score float")
+    ranked = found.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "other")))
+    return ranked.where(F.col("r") <= k).drop("r")
 
 
 def rmse_mse(scored: DataFrame, prediction: str = "prediction", rating: str = "rating") -> DataFrame:

@@ -48,6 +48,26 @@ def test_recommendations_are_the_best_of_all(als, factors, side):
         assert np.allclose(sorted(scores, reverse=True), np.sort(matrix @ own[k])[::-1][:5], atol=1e-3)
 
 
+def test_best_products_are_those_of_all_pairs_and_most_pairs_of_blocks_are_not_multiplied(spark, monkeypatch):
+    """Zero, negative, equal and few rows; all pairs by numpy. The library's own way made k rows of each pair of blocks."""
+    draw = np.random.default_rng(5)
+    sides = [(draw.normal(size=(n, 4)) * draw.lognormal(0, 0.8, size=(n, 1))).astype(np.float32) for n in (700, 900)]
+    sides[0][3], sides[1][7], sides[1][8] = 0, 0, sides[1][9]
+    frames = [spark.createDataFrame([(i, [float(v) for v in x]) for i, x in enumerate(side)], "id int, features array<float>") for side in sides]
+    monkeypatch.setattr(M, "BLOCK", 16)
+    for k, others in ((5, 900), (5, 3)):
+        got = {}
+        for r in M.best_products(frames[0], frames[1].where(F.col("id") < others), k).collect():
+            got.setdefault(r["id"], []).append((r["other"], r["score"]))
+        true = sides[0].astype(float) @ sides[1][:others].astype(float).T
+        assert got.keys() == set(range(700))
+        for i, best in got.items():
+            assert len({x for x, _ in best}) == len(best) == min(k, others)
+            assert np.allclose(sorted(s for _, s in best), np.sort(true[i])[-k:], rtol=1e-5, atol=1e-6)
+            assert all(abs(true[i][x] - s) < 1e-4 for x, s in best)
+    assert not M.best_products(frames[0], frames[1].limit(0), 3).collect() and not M.best_products(frames[0].limit(0), frames[1], 3).collect()
+
+
 def test_saved_factors_recommend_the_same(spark, als):
     path = work_path(spark, "als")
     als.save(path)
