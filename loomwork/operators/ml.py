@@ -169,11 +169,26 @@ def confusion(df: DataFrame) -> DataFrame:
     return df.groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Words of a table of counts that is sent to all tasks, at most.
+FREQUENT = 200_000
+
+
 def tf_idf(docs: DataFrame, key: str, col: str) -> DataFrame:
-    """key, word, tf, df: how often a word stands in a row, and in how many rows."""
-    words = docs.select(key, F.explode(F.split(F.trim(normalize_words(F.col(col))), r"\s+")).alias("word")).where("word <> ''")
+    """key, word, tf, df: how often a word stands in a row, and in how many rows.
+
+    Texts are dealt out by key, not their words. Words in so many rows that there can be only FREQUENT of them are looked up in a
+    table that each task has; only the rows of the others are dealt out by word.
+    """
+    spark = docs.sparkSession
+    words = docs.select(key, col).repartition(key).select(key, F.explode(F.split(F.trim(normalize_words(F.col(col))), r"\s+")).alias("word")).where("word <> ''")
     tf = words.groupBy(key, "word").agg(F.count(F.lit(1)).alias("tf"))
-    return tf.join(tf.groupBy("word").agg(F.count(F.lit(1)).alias("df")), "word")
+    path = work_path(spark, "words")
+    tf.groupBy("word").agg(F.count(F.lit(1)).alias("df")).write.parquet(path)
+    df = spark.read.parquet(path)
+    least = -(-(df.agg(F.sum("df")).first()[0] or 0) // FREQUENT)
+    looked = tf.join(F.broadcast(df.where(F.col("df") >= least)), "word", "left").select("word", key, "tf", "df")
+    rare = looked.where("df IS NULL").drop("df").join(df.where(F.col("df") < least), "word")
+    return looked.where("df IS NOT NULL").union(rare)
 
 
 def fit_word2vec(docs: DataFrame, size: int = 32, least: int = 5, seed: int = 1) -> Word2VecModel:

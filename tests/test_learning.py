@@ -127,6 +127,24 @@ def test_word_neighbours_by_cosine(spark, sf):
     assert np.allclose(got, sorted(cosine.values(), reverse=True)[:10], atol=1e-4)
 
 
+def test_words_of_many_and_of_few_rows_are_counted_alike(spark, monkeypatch):
+    """With room for few words by lookup, counts are those by hand; a repeated key is one row; words are not dealt out but by the rare ones."""
+    texts = [(i % 40, f"the w{i % 7} w{i} the") for i in range(60)] + [(99, None), (98, "")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    by = {}
+    for i, t in texts:
+        for w in (t or "").split():
+            by[i, w] = by.get((i, w), 0) + 1
+    df = {}
+    for _, w in by:
+        df[w] = df.get(w, 0) + 1
+    for most in (1, 10, 200_000):
+        monkeypatch.setattr(M, "FREQUENT", most)
+        got = M.tf_idf(docs, "doc_id", "text")
+        assert sorted(map(tuple, got.select("doc_id", "word", "tf", "df").collect())) == sorted((i, w, n, df[w]) for (i, w), n in by.items())
+    assert not M.tf_idf(docs.limit(0), "doc_id", "text").collect()
+
+
 def test_recommender_job_reports_all_users_and_the_error(spark, sf):
     got = jobs.j9_recommender(spark, sf).collect()
     users = [r for r in got if r["part"] == "user"]
