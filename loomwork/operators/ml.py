@@ -192,8 +192,9 @@ def tf_idf(docs: DataFrame, key: str, col: str) -> DataFrame:
 
 
 def fit_word2vec(docs: DataFrame, size: int = 32, least: int = 5, seed: int = 1) -> Word2VecModel:
+    """Vectors of words; each part of the texts as they are read is learned from in a task of its own, and the parts' vectors are put together."""
     rows = docs.select(F.split(F.trim(normalize_words(F.col("text"))), r"\s+").alias("tokens"))
-    return Word2Vec(inputCol="tokens", outputCol="vector", vectorSize=size, minCount=least, maxIter=1, seed=seed).fit(rows)
+    return Word2Vec(inputCol="tokens", outputCol="vector", vectorSize=size, minCount=least, maxIter=1, seed=seed, numPartitions=max(1, docs.rdd.getNumPartitions())).fit(rows)
 
 
 def similar(model: Word2VecModel, words: Sequence[str], k: int = 10) -> DataFrame:

@@ -127,6 +127,16 @@ def test_word_neighbours_by_cosine(spark, sf):
     assert np.allclose(got, sorted(cosine.values(), reverse=True)[:10], atol=1e-4)
 
 
+def test_words_are_learned_by_as_many_tasks_as_texts_are_read_by(spark, tmp_path, monkeypatch):
+    """One task for all texts took longer than the limit on 1 GB."""
+    spark.createDataFrame([(f"the cat and the dog {i % 3}",) for i in range(120)], "text string").repartition(6).write.parquet(f"{tmp_path}/texts")
+    taken, own = [], M.Word2Vec
+    monkeypatch.setattr(M, "Word2Vec", lambda **x: taken.append(x["numPartitions"]) or own(**x))
+    docs = spark.read.parquet(f"{tmp_path}/texts").repartition(5)
+    model = M.fit_word2vec(docs)
+    assert taken == [5] and {"the", "cat", "dog"} <= {r["word"] for r in model.getVectors().collect()}
+
+
 def test_words_of_many_and_of_few_rows_are_counted_alike(spark, monkeypatch):
     """With room for few words by lookup, counts are those by hand; a repeated key is one row; words are not dealt out but by the rare ones."""
     texts = [(i % 40, f"the w{i % 7} w{i} the") for i in range(60)] + [(99, None), (98, "")]
