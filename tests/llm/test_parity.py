@@ -48,3 +48,15 @@ def test_ids_are_decoded():
     c.forget()
     c.pieces.decoder = decoders.Sequence([decoders.Fuse()])
     assert not all(exact for _, exact, _ in c.encode(texts))
+
+
+def test_chunks_that_come_again_are_known():
+    """Of 200,000 words that come twice each is encoded once."""
+    with open(spm.MODEL, "rb") as f:
+        c = spm.Codec(f.read(), 0)
+    learned, one = [], c._learned
+    c._learned = lambda chunks: learned.append(len(chunks)) or one(chunks)
+    texts = [" ".join(f"w{i}" for i in range(at, at + 1000)) for at in range(0, 200_000, 1000)]
+    first = [ids for ids, _, _ in c.encode(texts)]
+    assert all((a == b).all() for a, b in zip(first, (ids for ids, _, _ in c.encode(texts)), strict=True))
+    assert sum(learned) == 200_000 and max(learned) <= spm.LEARN
