@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -117,6 +118,14 @@ def text_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(TEXT_BATCH))
 
 
+def give_back() -> None:
+    """Give the memory that a worker has freed back to the machine; it lives on, idle, while others of its executor work."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
 #: Rows of a batch that are mapped at once.
 ROWS = 512
 
@@ -143,6 +152,7 @@ def map_texts(df: DataFrame, text: str, make: Callable[[], Callable[[list[str |
                 columns = [*part.columns[:wide], *(pa.array(found[name], kind) for name, kind in types.items())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names[:wide], *types])
         getattr(values, "done", bool)()
+        give_back()
 
     rows = df.select(*(F.col(f"`{c}`") for c in kept.columns), F.col(f"`{text}`").alias(fresh(kept, "text")))
     return rows.mapInArrow(run, StructType([*kept.schema.fields, *fields.fields]))

@@ -17,10 +17,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import connected_components, drop_table, map_texts, materialize, mixed, on_ids, text_batches, text_pieces, word_hashes
+from loomwork.llm.common import connected_components, drop_table, give_back, map_texts, materialize, mixed, on_ids, text_batches, text_pieces, word_hashes
 from loomwork.llm.simhash import near_links
 
 WORDS = 5
@@ -129,24 +129,32 @@ def _simhash_pairs(classes: DataFrame, radius: int) -> DataFrame:
 
 
 def _shared_keys(classes: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, node, c, n_at) of the keys that classes in different components c share."""
+    """(key, node, c, k, low, high) of the keys that classes in different components c share, keys that the same classes have as one.
+
+    A passage that some texts share gives them tens of keys, all of the same classes: such a set of classes is a key once, by a hash
+    of its nodes, with the number k of keys in it and the places of its first and last, so that a pair meets once for each set and
+    not for each key.
+    """
     named = on_ids(classes.select("node", "n", "first"), labels.select("node", "component"), "node", "left")
     # size and place in one number: these are the rows that there are most of
     keys = named.select("node", F.coalesce("component", "node").alias("c"), "n", F.posexplode("first").alias("at", "key"))
     keys = keys.select("key", "node", "c", (F.col("n").cast("long") * SHIFT + F.col("at")).alias("n_at"))
-    return materialize(_parted(keys), "shared")
+    same = Window.partitionBy("key")
+    rows = _parted(keys, *(F.bit_xor(F.xxhash64(F.lit(seed), "node")).over(same).alias(f"set_{seed}") for seed in (1, 2)))
+    sets = rows.groupBy(F.xxhash64("set_1", "set_2").alias("key"), "node").agg(F.first("c").alias("c"), F.count(F.lit(1)).alias("k"), F.min("n_at").alias("low"), F.max("n_at").alias("high"))
+    return materialize(sets, "shared")
 
 
-def _parted(keys: DataFrame) -> DataFrame:
-    """keys without those that one component alone has."""
+def _parted(keys: DataFrame, *more: Column) -> DataFrame:
+    """keys, with more columns, without those that one component alone has."""
     same = Window.partitionBy("key")
-    rows = keys.select("*", F.min("c").over(same).alias("low"), F.max("c").over(same).alias("high")).where("low <> high")
-    return rows.select("key", "node", "c", "n_at")
+    rows = keys.select("*", *more, F.min("c").over(same).alias("least_c"), F.max("c").over(same).alias("most_c")).where("least_c <> most_c")
+    return rows.drop("least_c", "most_c")
 
 
 def _relabelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of _shared_keys() after more links are known; rows itself is deleted."""
-    now = on_ids(rows.drop("c"), labels.select("node", "component"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"), "n_at")
+    now = on_ids(rows.drop("c"), labels.select("node", "component"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"), "k", "low", "high")
     out = materialize(_parted(now), "shared")
     drop_table(rows)
     return out
@@ -168,7 +176,7 @@ def _centre_pairs(rows: DataFrame) -> DataFrame:
     Most copies of a text are similar to the text itself, though not to each other. It has no edits of its own, so its
     keys are those that most classes share: the class whose keys have the most rows stands in the centre.
     """
-    weights = rows.select("node", F.count(F.lit(1)).over(Window.partitionBy("key")).alias("rows")).groupBy("node").agg(F.sum("rows").alias("weight"))
+    weights = rows.select("node", (F.col("k") * F.count(F.lit(1)).over(Window.partitionBy("key"))).alias("rows")).groupBy("node").agg(F.sum("rows").alias("weight"))
     weighed = on_ids(rows.select("key", "node", "c"), materialize(weights, "weights"), "node", "inner")
     centre = F.max(F.struct("weight", "node", "c")).over(Window.partitionBy("key"))
     met = weighed.select("node", "c", centre.alias("centre")).where("c <> centre.c")
@@ -176,15 +184,27 @@ def _centre_pairs(rows: DataFrame) -> DataFrame:
 
 
 def _key_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs of classes in different components that share keys enough to be similar."""
-    x = rows.select("key", *(F.col(k).alias(f"{k}_a") for k in ("node", "c", "n_at")))
-    y = rows.select("key", *(F.col(k).alias(f"{k}_b") for k in ("node", "c", "n_at")))
-    n, at = ({k: F.floor(F.col(f"n_at_{k}") / SHIFT) for k in "ab"}, {k: F.col(f"n_at_{k}") % SHIFT for k in "ab"})
-    met = x.join(y, (x["key"] == y["key"]) & (F.col("node_a") < F.col("node_b")) & (F.col("c_a") != F.col("c_b")) & (5 * F.least(n["a"], n["b"]) >= 4 * F.greatest(n["a"], n["b"])) & (9 * (F.least(at["a"], at["b"]) + F.least(n["a"] - at["a"], n["b"] - at["b"])) >= 4 * (n["a"] + n["b"])))
-    pairs = met.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.max("n_at_a").alias("last_a"), F.max("n_at_b").alias("last_b"))
-    i, j, na, nb = F.col("last_a") % SHIFT, F.col("last_b") % SHIFT, F.floor(F.col("last_a") / SHIFT), F.floor(F.col("last_b") / SHIFT)
-    # k shared shingles up to the last one, and no more after it than either set has left
-    pairs = materialize(pairs.where(9 * (F.col("k") + F.least(na - i, nb - j) - 1) >= 4 * (na + nb)).select("a", "b"), "key_pairs")
+    """Pairs of classes in different components that share keys enough to be similar.
+
+    The sets of a class stand in one order, those of most classes first. A pair is made where what stands before differs: else it was
+    made there. All that the two share comes from the first such place on, so that each has keys enough left there.
+    """
+    order = Window.partitionBy("node").orderBy(F.desc("classes"), "key")
+    rest = F.sum("k").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    placed = rows.select("*", F.count(F.lit(1)).over(Window.partitionBy("key")).alias("classes"))
+    placed = placed.select("key", "node", "c", "low", "high", rest.alias("rest"), F.lag("key").over(order).alias("before"))
+    x, y = (placed.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "c", "low", "high", "rest", "before"))) for side in "ab")
+    n = {side: F.floor(F.col(f"low_{side}") / SHIFT) for side in "ab"}
+    at = {(end, side): F.col(f"{end}_{side}") % SHIFT for end in ("low", "high") for side in "ab"}
+    # what is before a shared key, and it with what is after: no more is shared than either set has there
+    room = [9 * (F.least(at[end, "a"], at[end, "b"]) + F.least(n["a"] - at[end, "a"], n["b"] - at[end, "b"])) >= 4 * (n["a"] + n["b"]) for end in ("low", "high")]
+    # shared are keys of both, and what follows the keys of that class whose keys end first
+    after = F.greatest(*(F.ceil(4 * n[side] / 5) - 1 for side in "ab"))
+    enough = 9 * (F.least("rest_a", "rest_b") + after) >= 4 * (n["a"] + n["b"])
+    alike = (5 * F.least(n["a"], n["b"]) >= 4 * F.greatest(n["a"], n["b"])) & room[0] & room[1] & enough
+    new = F.col("before_a").isNull() | F.col("before_b").isNull() | (F.col("before_a") != F.col("before_b"))
+    met = x.join(y, (x["key"] == y["key"]) & (F.col("node_a") < F.col("node_b")) & (F.col("c_a") != F.col("c_b")) & new & alike)
+    pairs = materialize(met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "key_pairs")
     drop_table(rows)
     return pairs
 
@@ -197,6 +217,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFram
         for batch in batches:
             most = most_shared(batch["x"].tolist(), batch["y"].tolist())
             yield batch.loc[(9 * most >= 4 * batch["n"]).to_numpy(), ["a", "b"]]
+        give_back()
 
     # counts by the first byte rule most pairs out that share a passage only, before any text moves
     x, y = (classes.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("bins").alias(v)) for k, v in (("a", "x"), ("b", "y")))
@@ -211,6 +232,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFram
         for batch in batches:
             same = [similar(x, y) for x, y in zip(shingles(batch["x"].tolist()), shingles(batch["y"].tolist()), strict=True)]
             yield batch.loc[np.array(same, bool), ["a", "b"]]
+        give_back()
 
     # texts are shorter than their sets, so they travel and the sets are made where the ends meet
     found = materialize(on_ids(docs.select("doc_id", "text"), materialize(ends, "ends"), "doc_id", "inner").select("node", "text"), "texts")

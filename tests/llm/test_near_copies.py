@@ -88,3 +88,14 @@ def test_bins_never_rule_out_what_is_shared():
         most = nearcopies.most_shared([nearcopies.bins(a)], [nearcopies.bins(b)])[0]
         assert most >= len(np.intersect1d(a, b))
     assert nearcopies.most_shared([nearcopies.bins(a[:400])], [nearcopies.bins(b[-400:])])[0] < 400
+
+
+def test_shared_passage_is_one_key(spark):
+    """Classes that share 20 keys have them as one, and each pair of them is proposed."""
+    rows = [(node, 100, [*range(20), 1000 + node]) for node in range(30)] + [(99, 100, [*range(5, 20), 7])]
+    classes = spark.createDataFrame([(a, n, sorted(set(first))) for a, n, first in rows], "node long, n int, first array<long>")
+    shared = nearcopies._shared_keys(classes, spark.createDataFrame([], "node long, component long"))
+    found = sorted((r["node"], r["k"]) for r in shared.collect())
+    assert found == sorted([(node, k) for node in range(30) for k in (5, 15)] + [(99, 15)])
+    pairs = {(r["a"], r["b"]) for r in nearcopies._key_pairs(shared).collect()}
+    assert pairs == {(a, b) for a in range(30) for b in [*range(a + 1, 30), 99]}
