@@ -151,6 +151,7 @@ def map_texts(df: DataFrame, text: str, make: Callable[[], Callable[[list[str |
                 found = values(part.column(wide).to_pylist())
                 columns = [*part.columns[:wide], *(pa.array(found[name], kind) for name, kind in types.items())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names[:wide], *types])
+        batch = part = found = columns = None
         getattr(values, "done", bool)()
         give_back()
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import PandasUDFType
 
-from loomwork.llm.common import by_source, materialize, text_batches, text_pieces
+from loomwork.llm.common import by_source, give_back, materialize, text_batches, text_pieces
 
 BUCKETS = 1 << 16
 UNKNOWN = "und"
@@ -81,6 +81,7 @@ def train(docs: DataFrame, fold: Column | None = None, folds: int = 1) -> list[T
                     sums += np.bincount(_trigrams(texts[at:to])[0], minlength=BUCKETS)
                 seen = np.flatnonzero(sums)
                 yield pd.DataFrame({"lang": lang, "fold": k, "bucket": seen, "n": sums[seen]})
+        give_back()
 
     text_batches(docs.sparkSession)
     rows = docs.where("lang IS NOT NULL AND lang <> '' AND text IS NOT NULL").select("text", "lang", (F.lit(0) if fold is None else fold).cast("int").alias("fold"))
@@ -142,6 +143,7 @@ def _evidence(rows: DataFrame, models: list[TextModel], text: Column, fold: Colu
                 mine = np.flatnonzero(folds.to_numpy() == k)
                 mean[mine], n[mine] = model.score(texts.iloc[mine].tolist())
             yield pd.DataFrame({"ll": list(mean * np.minimum(n, MOST)[:, None]), "n": n})
+        give_back()
 
     text_batches(rows.sparkSession)
     return F.pandas_udf(likelihoods, "ll array<double>, n long", PandasUDFType.SCALAR_ITER)(text, fold)

@@ -5,7 +5,7 @@ precompiled character map, extra white space, the dummy prefix), the white-space
 (a unigram model, or for a pair-encoding model the merges in the order of the scores) and byte fallback.
 
 No piece holds a marker after another character (this is checked), so a text's encoding is that of its chunks, each a run
-of markers and what follows up to the next one. A batch encodes each distinct chunk once, by all threads of the library,
+of markers and what follows up to the next one. A batch encodes each distinct chunk once, in the task's own thread,
 and maps every chunk to its ids. Each distinct chunk's ids are decoded by the rebuilt decoder and compared with the chunk
 and, where the sentencepiece library is asked to confirm parity, with that library's ids. A chunk begins with a marker,
 which ends any run of byte pieces, so a text's decoding is that of its chunks too.
@@ -232,6 +232,8 @@ class Codec:
 
 @lru_cache(maxsize=2)
 def _codec(raw: bytes, parity: int) -> Codec:
+    # every core has a task; the library's threads would only wait for them, and each keeps memory for as long as the worker lives
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return Codec(raw, parity)
 
 

@@ -1,6 +1,10 @@
 """op4 compares every chunk with sentencepiece and decodes its ids."""
 
+import os
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 from tokenizers import decoders
 
@@ -60,3 +64,17 @@ def test_chunks_that_come_again_are_known():
     first = [ids for ids, _, _ in c.encode(texts)]
     assert all((a == b).all() for a, b in zip(first, (ids for ids, _, _ in c.encode(texts)), strict=True))
     assert sum(learned) == 200_000 and max(learned) <= spm.LEARN
+
+
+def test_a_worker_encodes_in_its_own_thread():
+    """The library's threads would each keep memory in every worker that lives on."""
+    text = """
+import os
+from loomwork.llm import spm
+codec = spm._codec(open(spm.MODEL, "rb").read(), 0)
+before = len(os.listdir("/proc/self/task"))
+list(codec.encode([" ".join(f"w{i}" for i in range(20_000))]))
+assert len(os.listdir("/proc/self/task")) == before
+"""
+    env = {k: v for k, v in os.environ.items() if k != "TOKENIZERS_PARALLELISM"}
+    assert subprocess.run([sys.executable, "-c", text], cwd=Path(spm.__file__).parents[2], env=env).returncode == 0
