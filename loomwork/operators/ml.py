@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -23,6 +25,17 @@ def fit_als(ratings: DataFrame, rank: int = 10, iterations: int = 10, seed: int
     return ALS(userCol="user_id", itemCol="item_id", ratingCol="rating", rank=rank, maxIter=iterations, seed=seed, coldStartStrategy="drop").fit(rows)
 
 
+def score(model: ALSModel, rows: DataFrame) -> DataFrame:
+    """rows (user_id, item_id) with the model's `prediction`, as model.transform() gives it where unknown users and items are dropped; null ones are dropped too.
+
+    Factors are looked up in tables of each task's share of them, so that rows are not sorted, and rows that lie by user already
+    move once only, by item.
+    """
+    own, others = (f.select(F.col("id").alias(f"{side}_id"), F.col("features").alias(side)).hint("shuffle_hash") for f, side in ((model.userFactors, "user"), (model.itemFactors, "item")))
+    product = reduce(add, (F.get("user", F.lit(i)) * F.get("item", F.lit(i)) for i in range(model.rank)))
+    return rows.join(own, "user_id").join(others, "item_id").select(*rows.columns, product.alias("prediction")).where(~F.isnan("prediction"))
+
+
 #: Rows of a block of factors; blocks of the longest factors that give each row its first k.
 BLOCK, FIRST = 2048, 4
 #: Scores are products in 32 bits; what a bound may be off by.

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml.recommendation import ALSModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.operators import ml as M
 from loomwork.operators import relational as R
+from loomwork.operators import sinks as S
 from loomwork.plans.batch import RATINGS, ratings
 from loomwork.session import table, work_path
 
@@ -27,8 +30,17 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def fitted(spark, sf, iterations: int = 3) -> ALSModel:
-    return M.fit_als(ratings(spark, sf).groupBy("user_id", "item_id").agg(F.avg("rating").alias("rating")), 8, iterations)
+def rated(spark, sf) -> DataFrame:
+    """The ratings in a table by user: they are joined and moved once, for the means, the fit, which reads them twice, and the scores."""
+    name = f"ratings_{uuid.uuid4().hex}"
+    rows = ratings(spark, sf).select(F.col("user_id").cast("int"), F.col("item_id").cast("int"), "rating")
+    S.save_bucketed(rows, name, "user_id", max(S.BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return spark.table(name)
+
+
+def fitted(spark, sf, iterations: int = 3, rows: DataFrame | None = None) -> ALSModel:
+    known = rated(spark, sf) if rows is None else rows
+    return M.fit_als(known.groupBy("user_id", "item_id").agg(F.avg("rating").alias("rating")), 8, iterations)
 
 
 def labelled(spark, sf) -> DataFrame:
@@ -37,7 +49,8 @@ def labelled(spark, sf) -> DataFrame:
 
 @query("k1_als_score")
 def k1(spark, sf):
-    return fitted(spark, sf).transform(ratings(spark, sf).select(F.col("user_id").cast("int"), F.col("item_id").cast("int"), "rating"))
+    rows = rated(spark, sf)
+    return M.score(fitted(spark, sf, rows=rows), rows)
 
 
 @query("k2_factors")

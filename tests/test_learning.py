@@ -30,6 +30,22 @@ def test_scores_are_products_of_factors(spark, sf, als, factors):
     assert all(abs(r["prediction"] - users[r["user_id"]] @ items[r["item_id"]]) < 1e-3 for r in rows)
 
 
+def test_scores_are_those_of_the_model(spark, als):
+    """Pairs that come twice give two rows, those of an unknown user or item none."""
+    users, items = ([r["id"] for r in side.select("id").limit(3).collect()] for side in (als.userFactors, als.itemFactors))
+    pairs = [(u, i, 1.0) for u in (*users, users[0], -5) for i in (*items, -7)]
+    rows = spark.createDataFrame(pairs, "user_id INT, item_id INT, rating DOUBLE")
+    found = M.score(als, rows)
+    assert found.columns == als.transform(rows).columns
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, als.transform(rows).collect())) and found.count() == 12
+
+
+def test_ratings_are_joined_once(spark, sf):
+    """The fit and the scores read one table of ratings that lies by user: scoring joins no lines and does not move rows by user."""
+    plan = L.QUERIES["k1_als_score"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "l_orderkey" not in plan and "rating" in plan
+
+
 def test_fit_is_closer_than_the_mean(spark, sf, als):
     known = ratings(spark, sf).groupBy("user_id", "item_id").agg(F.avg("rating").alias("rating"))
     scored = als.transform(known.select(F.col("user_id").cast("int"), F.col("item_id").cast("int"), "rating"))
