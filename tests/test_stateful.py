@@ -6,6 +6,7 @@ import subprocess
 import sys
 from collections import Counter, defaultdict
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from loomwork.session import work_path
@@ -128,6 +129,53 @@ def test_blacklist_reads_no_history(spark):
     assert max(x[0][1] for x in read) <= 2 * min(x[0][1] for x in read)  # the ring is bounded
 
 
+class Store:
+    """A state store of one key that counts its calls."""
+
+    def __init__(self):
+        self.calls, self.value, self.timers = 0, None, set()
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+    def clear(self):
+        self.calls, self.value = self.calls + 1, None
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
+    def getCurrentWatermarkInMs(self):
+        return 0
+
+
+def test_blacklist_calls_the_store_a_few_times_a_user():
+    """However many panes a user has, and with one timer at a time, which is over when no pane is in reach."""
+    store, row = Store(), Row("user_id", "ms", "n", "white")
+    user = W._Listed(3_600_000, 4, 1, 5, ["user_id", "ms", "n"])
+    user.init(store)
+    for batch in range(3):
+        rows = [row(1, (batch * 40 + p) * 3_600_000, 1, False) for p in range(40)]
+        assert [r["listed"] for r in user.handleInputRows((1,), iter(rows), store)] == [False] * 40
+    assert store.calls <= 12 and store.timers == {(119 + 1 + 4) * 3_600_000}
+    assert all(r["listed"] for r in user.handleInputRows((1,), iter([row(1, 3_600_000 * 119, 9, False)]), store))
+    assert store.value[:3] == (True, [], []) and not store.timers
+    assert all(r["listed"] for r in user.handleInputRows((1,), iter([row(1, 3_600_000 * 500, 1, False)]), store))
+    user.handleExpiredTimer((1,), store, None)
+    assert store.value is None
+
+
 CONSOLE = """
 from pyspark.sql import SparkSession
 from loomwork.session import work_path
