@@ -211,7 +211,8 @@ def _judged(texts: DataFrame, out: DataFrame, names: list[str]) -> DataFrame:
         scores = evidence + np.log(prior)
         return pd.DataFrame({"best": scores.argmax(axis=1), "sure": softmax(scores).max(axis=1), "text": stacked(ll).argmax(axis=1)})
 
-    found = F.pandas_udf(judge, "best int, sure double, text int")(F.col("ll"), claim_at, F.col("p_suffix"), F.col("n_suffix"), F.col("n_domain"), F.col("n_host"))
+    # said not to repeat itself, or a filter on what it finds would run it once more, in a second worker of each task
+    found = F.pandas_udf(judge, "best int, sure double, text int").asNondeterministic()(F.col("ll"), claim_at, F.col("p_suffix"), F.col("n_suffix"), F.col("n_domain"), F.col("n_host"))
     out = joined.withColumn("judged", found).drop("p_suffix", "n_suffix", "n_domain", "n_host")
     name = lambda at: F.get(F.array(*(F.lit(x) for x in names)), at)
     out = out.withColumns({"lang": name(F.col("judged.best")), "confidence": F.col("judged.sure"), "text_lang": F.when(F.col("n") > 0, name(F.col("judged.text")))}).drop("judged")

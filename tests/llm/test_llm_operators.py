@@ -781,3 +781,12 @@ def test_mix_of_equal_rows(spark):
     out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
     total = sum(r["taken"] for r in out)
     assert len(out) == 10 and abs(total - 1.5 * 41) <= 10 and len({(r["doc_id"], r["taken"]) for r in out}) == 2
+
+
+def test_kept_languages_are_judged_once(spark):
+    """The filter on the judgement does not judge again: a task has one Python worker, not two that live on."""
+    rows = [(i, f"the cat and the dog number {i}", "en", "web") for i in range(20)] + [(99, "le chat et le chien", "fr", None)]
+    kept = langid.keep_identified(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert kept.count() == 21
