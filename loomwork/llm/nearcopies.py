@@ -4,7 +4,8 @@ Two documents are linked if their sets of five-word shingles have a Jaccard simi
 set are one class. Candidates between classes come from SimHash links (simhash.near_links), which join most of a group at
 little cost, and from an exact key: with the shingles of every set in one order, two sets that similar share a shingle
 among the first n - ceil(4n/5) + 1 of each. Pairs of that key in different components of the links found so far are
-candidates if what they share there leaves the similarity possible. Each candidate's two sets are compared in full.
+candidates if what they share there, and what their sketches differ in, leave the similarity possible. Each candidate's
+two sets are compared in full.
 
 The order puts shingles that a sample finds common last, so that common passages are keys of few texts. It changes the
 cost only: the key holds for any order. Sets are of 64-bit hashes, and a class is known by a 64-bit hash of its set.
@@ -29,6 +30,9 @@ SAMPLE, SEEN, COMMON = 10_000, 3, 100_000
 SHIFT = 1 << 31
 #: Rounds of pairs with centres, then of neighbours, before the components that are left are paired in full; they change the cost only.
 ROUNDS = 1
+#: Bits of a set's sketch, and the numbers that hold them; more rule out pairs of longer texts.
+SKETCH = 1024
+LONGS = SKETCH // 64
 
 
 def shingle_hashes(texts: list[str | None]) -> Iterator[np.ndarray]:
@@ -82,6 +86,15 @@ def bins(found: np.ndarray) -> bytes:
     return np.minimum(np.bincount((found >> np.uint64(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes()
 
 
+def sketch(found: np.ndarray) -> np.ndarray:
+    """Whether each of SKETCH parts of the hash space holds an odd number of a set's hashes, as bits in signed numbers.
+
+    A part in which two sketches differ holds a hash that only one of the two sets has.
+    """
+    part = (found >> np.uint64(65 - SKETCH.bit_length())).astype(np.int64)
+    return np.packbits(np.bincount(part, minlength=SKETCH).astype(np.uint8) & 1, bitorder="little").view(np.int64)
+
+
 def most_shared(a: list[bytes], b: list[bytes]) -> np.ndarray:
     """The most hashes that sets of these bins can share: no bin shares more than either set has there."""
     low = np.minimum(*(np.frombuffer(b"".join(x), np.uint8).reshape(-1, 256) for x in (a, b))).astype(np.int64)
@@ -113,10 +126,10 @@ def _prints(docs: DataFrame, common: np.ndarray) -> DataFrame:
             found = np.unique(hashes)
             late = _inside(found, common)
             first = np.concatenate([found[~late], found[late]])[: len(found) - (4 * len(found) + 4) // 5 + 1] if len(found) else found
-            out.append((simhash(hashes), _node(found), len(found), bins(found), first.view(np.int64)))
-        return {name: [x[k] for x in out] for k, name in enumerate(("fp", "node", "n", "bins", "first"))}
+            out.append((simhash(hashes), _node(found), len(found), bins(found), sketch(found), first.view(np.int64)))
+        return {name: [x[k] for x in out] for k, name in enumerate(("fp", "node", "n", "bins", "sketch", "first"))}
 
-    return map_texts(docs, "text", lambda: values, "fp long, node long, n int, bins binary, first array<long>", ["doc_id"])
+    return map_texts(docs, "text", lambda: values, "fp long, node long, n int, bins binary, sketch array<long>, first array<long>", ["doc_id"])
 
 
 def _simhash_pairs(classes: DataFrame, radius: int) -> DataFrame:
@@ -183,17 +196,22 @@ def _centre_pairs(rows: DataFrame) -> DataFrame:
     return met.select(F.col("centre.node").alias("a"), F.col("node").alias("b"))
 
 
-def _key_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs of classes in different components that share keys enough to be similar.
+def _key_pairs(rows: DataFrame, sketches: DataFrame | None = None) -> DataFrame:
+    """Pairs of classes in different components that share keys enough to be similar, and whose sketches (node, sketch) leave it possible.
 
     The sets of a class stand in one order, those of most classes first. A pair is made where what stands before differs: else it was
-    made there. All that the two share comes from the first such place on, so that each has keys enough left there.
+    made there. All that the two share comes from the first such place on, so that each has keys enough left there. Of a passage that
+    a whole group shares, or copies that are just too far from each other, most pairs end at the sketches: sets of that likeness differ
+    in a ninth of what they hold together at most, and in no fewer hashes than their sketches in bits.
     """
     order = Window.partitionBy("node").orderBy(F.desc("classes"), "key")
     rest = F.sum("k").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
     placed = rows.select("*", F.count(F.lit(1)).over(Window.partitionBy("key")).alias("classes"))
     placed = placed.select("key", "node", "c", "low", "high", rest.alias("rest"), F.lag("key").over(order).alias("before"))
-    x, y = (placed.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "c", "low", "high", "rest", "before"))) for side in "ab")
+    bits = [f"bits_{k}" for k in range(LONGS)] if sketches is not None else []
+    if bits:
+        placed = placed.join(sketches.select("node", *(F.col("sketch")[k].alias(b) for k, b in enumerate(bits))), "node")
+    x, y = (placed.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "c", "low", "high", "rest", "before", *bits))) for side in "ab")
     n = {side: F.floor(F.col(f"low_{side}") / SHIFT) for side in "ab"}
     at = {(end, side): F.col(f"{end}_{side}") % SHIFT for end in ("low", "high") for side in "ab"}
     # what is before a shared key, and it with what is after: no more is shared than either set has there
@@ -202,6 +220,8 @@ def _key_pairs(rows: DataFrame) -> DataFrame:
     after = F.greatest(*(F.ceil(4 * n[side] / 5) - 1 for side in "ab"))
     enough = 9 * (F.least("rest_a", "rest_b") + after) >= 4 * (n["a"] + n["b"])
     alike = (5 * F.least(n["a"], n["b"]) >= 4 * F.greatest(n["a"], n["b"])) & room[0] & room[1] & enough
+    apart = sum((F.bit_count(F.col(f"{b}_a").bitwiseXOR(F.col(f"{b}_b"))) for b in bits), F.lit(0))
+    alike &= 9 * apart <= n["a"] + n["b"]
     new = F.col("before_a").isNull() | F.col("before_b").isNull() | (F.col("before_a") != F.col("before_b"))
     met = x.join(y, (x["key"] == y["key"]) & (F.col("node_a") < F.col("node_b")) & (F.col("c_a") != F.col("c_b")) & new & alike)
     pairs = materialize(met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "key_pairs")
@@ -258,7 +278,7 @@ def keep_first(docs: DataFrame, radius: int = 6) -> DataFrame:
     named = docs.where("doc_id IS NOT NULL")
     full = materialize(_prints(named, common_shingles(named)), "prints")
     prints = materialize(full.select("doc_id", "node"), "nodes")
-    classes = materialize(full.groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bins").alias("bins"), F.first("first").alias("first")), "classes")
+    classes = materialize(full.groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bins").alias("bins"), F.first("sketch").alias("sketch"), F.first("first").alias("first")), "classes")
     drop_table(full)
     near = _verified(_simhash_pairs(classes, radius), named, classes)
     rows = _shared_keys(classes, connected_components(near))
@@ -266,7 +286,7 @@ def keep_first(docs: DataFrame, radius: int = 6) -> DataFrame:
         pairs = _neighbour_pairs(rows, k) if k else _centre_pairs(rows)
         near = materialize(near.union(_verified(pairs, named, classes)), "near")
         rows = _relabelled(rows, connected_components(near))
-    more = _verified(_key_pairs(rows), named, classes)
+    more = _verified(_key_pairs(rows, classes), named, classes)
     labels = connected_components(near.union(more)).withColumnRenamed("node", "labelled")
     labelled = materialize(classes.select("node", "first_doc").join(labels, F.col("node") == F.col("labelled"), "left").select("node", "first_doc", F.coalesce("component", "node").alias("component")), "labelled")
     drop_table(classes)

@@ -99,3 +99,34 @@ def test_shared_passage_is_one_key(spark):
     assert found == sorted([(node, k) for node in range(30) for k in (5, 15)] + [(99, 15)])
     pairs = {(r["a"], r["b"]) for r in nearcopies._key_pairs(shared).collect()}
     assert pairs == {(a, b) for a in range(30) for b in [*range(a + 1, 30), 99]}
+
+
+def test_sketches_never_differ_in_more_than_the_sets():
+    rng = np.random.default_rng(5)
+    for n, other in ((0, 0), (0, 3), (50, 10), (900, 200), (20_000, 4_000)):
+        a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[other:], rng.integers(0, 2**64, other, dtype=np.uint64)]))
+        bits = int(np.bitwise_count(nearcopies.sketch(a) ^ nearcopies.sketch(b)).sum())
+        assert bits <= len(np.setxor1d(a, b)) and (bits > 0) == (other > 0)
+
+
+def test_copies_just_too_far_are_not_all_paired(spark, monkeypatch):
+    """Copies of one text that differ a little too much from each other: pairs to compare grow with them, not with their square."""
+    rng = random.Random(11)
+    base, places = [f"word{k}" for k in range(300)], range(8, 292, 6)
+    texts = {}
+    for i in range(80):  # the first 40 are linked, the others to none
+        copy = list(base)
+        for at in rng.sample(places[:15], 3) if i < 40 else rng.sample(places[15:], 5):
+            copy[at] = f"edit{i}at{at}"
+        texts[i] = " ".join(copy)
+    made, pair = [], nearcopies._key_pairs
+
+    def counted(*args):
+        made.append(pair(*args))
+        return made[-1]
+
+    monkeypatch.setattr(nearcopies, "_key_pairs", counted)
+    monkeypatch.setattr(nearcopies, "drop_table", lambda df: None)
+    assert stage_kept(spark, texts) == brute_kept(texts)
+    assert made[0].count() <= 5 * len(texts)
