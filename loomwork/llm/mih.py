@@ -139,6 +139,17 @@ def _search(codes: Codes, radius: int, k: int):
     return run
 
 
+def _first(entries: DataFrame, most: int) -> tuple[DataFrame, int]:
+    """The rows with the smallest codes, `most` of them, and the number of all rows.
+
+    Codes are hex digits of hashes. Only rows that begin no higher than the last one wanted are sorted, a few more than `most`.
+    """
+    starts = entries.groupBy(F.substring("code", 1, 3).alias("start")).count().orderBy("start").collect()  # 4,096 at most
+    counts = np.cumsum([r["count"] for r in starts])
+    at = min(int(np.searchsorted(counts, most)), len(starts) - 1)
+    return entries.where(F.substring("code", 1, 3) <= starts[at]["start"]).orderBy("code").limit(most), int(counts[-1])
+
+
 def neighbours(vectors: DataFrame, k: int = 10, every: int = 100, sample: int = SAMPLE, bits: int = BITS, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """The k nearest other rows of each row whose vec_id is divisible by `every`: query_id, rank (from 1), vec_id, score.
 
@@ -150,7 +161,7 @@ def neighbours(vectors: DataFrame, k: int = 10, every: int = 100, sample: int =
 
     Equal vectors are one entry of the index that keeps its k + 1 smallest vec_ids, which is all that an answer can
     name, so a vector that a third of all rows share is searched once. A shard of the index is one row of packed codes
-    and vectors and moves once; blocks of queries, a hundredth of the rows, are sent to every shard. What is kept of each
+    and vectors and moves once; blocks of queries, a hundredth of the rows, are read beside every shard. What is kept of each
     meeting is k + 1 entries a query. Vectors are read only where the codes are near, but stay with their codes: the
     pairs within the radius outnumber the vectors.
     """
@@ -165,9 +176,9 @@ def neighbours(vectors: DataFrame, k: int = 10, every: int = 100, sample: int =
     rows = rows.where(F.size("v") == lengths[0]["n"]).select(F.col("vec_id").cast("long").alias("vec_id"), "v", F.concat(*(F.hex(F.xxhash64(F.lit(salt), F.transform("v", lambda x: x + 0.0))) for salt in (0, 1))).alias("code"))
     ids = materialize(rows.select("code", "vec_id").distinct(), "mih_ids")
     entries = materialize(rows.groupBy("code").agg(F.min("vec_id").alias("first"), F.min("v").alias("v")), "mih_vectors")
-    few = entries.orderBy("code").limit(sample).select("v").toPandas()["v"]  # bounded by `sample`; codes are hashes, so this is a random draw
+    few, n = _first(entries, sample)  # codes are hashes, so this is a random draw
+    few = materialize(few, "mih_sample").toPandas().sort_values("code")["v"]  # one task has chosen them: the driver gets `sample` rows, not some of each task
     codes = Codes.learn(np.stack(few.to_numpy()), bits, k)
-    n = entries.count()
     shards = ceil(n / shard)
     text_batches(vectors.sparkSession)
     index = entries.withColumn("part", F.pmod(F.xxhash64("code"), F.lit(shards)).cast("int")).groupBy("part").applyInPandas(_pack(codes), PACKED)
@@ -180,8 +191,10 @@ def neighbours(vectors: DataFrame, k: int = 10, every: int = 100, sample: int =
 
     def search(some: DataFrame, radius: int) -> DataFrame:
         packed = some.groupBy("part").applyInPandas(_pack(codes), PACKED)
-        packed = packed.select(*(F.col(c).alias(f"q_{c}") for c in packed.columns), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-        return packed.join(index, F.col("shard") == F.col("x_part")).mapInPandas(_search(codes, radius, k), "q string, c string, d double")
+        packed = materialize(packed.select(*(F.col(c).alias(f"q_{c}") for c in packed.columns)), "mih_blocks")
+        # tasks read shards and blocks from their tables: a join by shard would copy each block for each shard, and broadcast them all
+        pairs = index.hint("shuffle_replicate_nl").crossJoin(packed)
+        return pairs.mapInPandas(_search(codes, radius, k), "q string, c string, d double")
 
     # each entry found stands for its smallest vec_ids
     small = Window.partitionBy("code").orderBy("vec_id")

@@ -116,6 +116,33 @@ def test_mih_recall_beyond_the_fitting_sample(spark):
     assert len(hits) == -(-n // 100) and np.mean(hits) >= 0.9
 
 
+def test_mih_passes_neither_blocks_for_each_shard_nor_rows_of_each_task_through_the_driver(spark, monkeypatch):
+    """At 600,000 vectors the driver failed with a full heap, as it broadcast each block of queries for each shard."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 0.125, (900, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(6)
+    plans, own, pandas = [], type(df).mapInPandas, type(df).toPandas
+    plan = lambda some: some._jdf.queryExecution().optimizedPlan().toString() + some._jdf.queryExecution().sparkPlan().toString()
+    monkeypatch.setattr(type(df), "mapInPandas", lambda self, *x: plans.append(plan(self)) or own(self, *x))
+    monkeypatch.setattr(type(df), "toPandas", lambda self: plans.append(plan(self)) or pandas(self))
+    out = mih.neighbours(df, every=30, sample=100, shard=128, block=8)
+    monkeypatch.undo()
+    assert len(plans) >= 2 and not any(w in p for p in plans for w in ("Generate", "Broadcast", "TakeOrdered"))
+    y = x.astype(float)
+    for q, found in out.toPandas().groupby("query_id"):
+        found = found.sort_values("rank")
+        d = np.sqrt(((y - y[q]) ** 2).sum(axis=1))
+        assert len(found) == 10 and np.allclose(found["score"], d[found["vec_id"]], rtol=1e-12) and found["score"].is_monotonic_increasing
+
+
+def test_mih_sample_is_that_of_the_smallest_codes(spark):
+    rows = [(f"{a:X}{b:X}",) for a, b in np.random.default_rng(3).integers(0, 1 << 63, (700, 2)).tolist()] + [("00",), ("0A1",)]
+    df = spark.createDataFrame(rows, "code string").repartition(5)
+    for most in (1, 50, 702, 5000):
+        some, n = mih._first(df, most)
+        assert [r["code"] for r in some.collect()] == sorted(c for (c,) in rows)[:most] and n == 702
+
+
 # ------------------------------------------------ op2
 
 
