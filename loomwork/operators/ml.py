@@ -19,10 +19,18 @@ from loomwork.functions.columns import normalize_words
 from loomwork.session import work_path
 
 
-def fit_als(ratings: DataFrame, rank: int = 10, iterations: int = 10, seed: int = 1) -> ALSModel:
-    """ratings: user_id, item_id, rating. Users and items must fit 32-bit integers."""
+#: Ratings of a block of the fit, about: a task holds one, at some 50 bytes a rating while it is made.
+RATINGS = 8_000_000
+
+
+def fit_als(ratings: DataFrame, rank: int = 10, iterations: int = 10, seed: int = 1, known: int | None = None) -> ALSModel:
+    """ratings: user_id, item_id, rating. Users and items must fit 32-bit integers. known: how many ratings there are at most, counted if not given.
+
+    The fit's blocks, ten at least, grow in number with the ratings and not in size. Factors depend on their number.
+    """
     rows = ratings.select(F.col("user_id").cast("int"), F.col("item_id").cast("int"), F.col("rating").cast("float"))
-    return ALS(userCol="user_id", itemCol="item_id", ratingCol="rating", rank=rank, maxIter=iterations, seed=seed, coldStartStrategy="drop").fit(rows)
+    blocks = max(10, -(-(rows.count() if known is None else known) // RATINGS))
+    return ALS(userCol="user_id", itemCol="item_id", ratingCol="rating", rank=rank, maxIter=iterations, seed=seed, coldStartStrategy="drop", numUserBlocks=blocks, numItemBlocks=blocks).fit(rows)
 
 
 def score(model: ALSModel, rows: DataFrame) -> DataFrame:

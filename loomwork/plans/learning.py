@@ -40,7 +40,7 @@ def rated(spark, sf) -> DataFrame:
 
 def fitted(spark, sf, iterations: int = 3, rows: DataFrame | None = None) -> ALSModel:
     known = rated(spark, sf) if rows is None else rows
-    return M.fit_als(known.groupBy("user_id", "item_id").agg(F.avg("rating").alias("rating")), 8, iterations)
+    return M.fit_als(known.groupBy("user_id", "item_id").agg(F.avg("rating").alias("rating")), 8, iterations, known=known.count())
 
 
 def labelled(spark, sf) -> DataFrame:

@@ -185,6 +185,23 @@ def test_recommender_job_reports_all_users_and_the_error(spark, sf):
     assert error["mse"] > 0 and abs(error["rmse"] ** 2 - error["mse"]) < 1e-9
 
 
+def test_the_fit_has_blocks_for_its_ratings_and_the_job_joins_them_once(spark, sf, monkeypatch):
+    """Ten blocks whatever the ratings ended an executor by memory; the recommender job joined the ratings anew for its error."""
+    taken, own, joined = [], M.ALS, []
+    monkeypatch.setattr(M, "ALS", lambda **x: taken.append((x.get("numUserBlocks"), x.get("numItemBlocks"))) or own(**x))
+    rows = spark.createDataFrame([(u, i, float(u % 3 + i % 2)) for u in range(30) for i in range(10)], "user_id long, item_id long, rating double")
+    factors = {r["id"]: r["features"] for r in M.fit_als(rows, 2, 1).userFactors.collect()}
+    assert taken == [(10, 10)] and len(factors) == 30
+    monkeypatch.setattr(M, "RATINGS", 13)
+    assert M.fit_als(rows, 2, 1).userFactors.count() == 30 and taken[1] == (24, 24)
+    monkeypatch.setattr(L, "ratings", lambda *x: joined.append(1) or ratings(*x))
+    monkeypatch.setattr(jobs, "ratings", lambda *x: joined.append(1) or ratings(*x))
+    monkeypatch.setattr(M, "RATINGS", 500)
+    got = jobs.j9_recommender(spark, sf)
+    n = ratings(spark, sf).count()
+    assert joined == [1] and taken[2] == (max(10, -(-n // 500)),) * 2 and got.where("part IN ('rmse', 'mse')").count() == 2
+
+
 def test_classifier_job_counts_the_held_out_part(spark, sf):
     got = jobs.j9_classifier(spark, sf).collect()
     held = {r["lang"]: r["count"] for r in M.split(L.labelled(spark, sf), "doc_id")[1].groupBy("lang").count().collect()}
