@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
 from functools import reduce
 from operator import add
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.functions.columns import normalize_words
+from loomwork.operators import sinks as S
 from loomwork.session import work_path
 
 
@@ -213,7 +215,10 @@ def tf_idf(docs: DataFrame, key: str, col: str) -> DataFrame:
 
 
 def fit_word2vec(docs: DataFrame, size: int = 32, least: int = 5, seed: int = 1) -> Word2VecModel:
-    """Vectors of words; each part of the texts as they are read is learned from in a task of its own, and the parts' vectors are put together."""
+    """Vectors of words; each part of the texts as they are read is learned from in a task of its own, and the parts' vectors are put together.
+
+    The driver holds all words, their codes and vectors; word_vectors() learns from any number of words.
+    """
     rows = docs.select(F.split(F.trim(normalize_words(F.col("text"))), r"\s+").alias("tokens"))
     return Word2Vec(inputCol="tokens", outputCol="vector", vectorSize=size, minCount=least, maxIter=1, seed=seed, numPartitions=max(1, docs.rdd.getNumPartitions())).fit(rows)
 
@@ -224,3 +229,114 @@ def similar(model: Word2VecModel, words: Sequence[str], k: int = 10) -> DataFram
     for f in found[1:]:
         out = out.union(f)
     return out
+
+
+#: Characters of the texts that one task learns from at once, about.
+PART = 16 << 20
+#: Words on each side that a centre meets at most; words of a text that one window passes over; draws against each pair.
+WINDOW, SENTENCE, AGAINST = 5, 1000, 5
+#: Centres of a step, and words drawn for all of its pairs; the rate of learning; the greatest starting component of a word and of a context.
+CENTRES, DRAWN, RATE, START = 2048, 64, 0.1, (1 / 64, 0.25)
+
+
+def _starts(words: np.ndarray, size: int, salt: int) -> np.ndarray:
+    """Components between -1 and 1 from the words' hashes alone, so that all parts begin alike."""
+    found = np.empty((len(words), size), np.float32)
+    for i in range(size):
+        x = (words.view(np.uint64) + np.array((i + 1) * 0x9E3779B97F4A7C15 % (1 << 64), np.uint64)) ^ np.array(salt * 0xD6E8FEB86659FD93 % (1 << 64), np.uint64)
+        for shift, odd in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(odd)
+        found[:, i] = ((x ^ (x >> np.uint64(31))) >> np.uint64(40)).astype(np.float32) / np.float32(1 << 23) - 1
+    return found
+
+
+def _towards(vectors: np.ndarray, squares: np.ndarray, rows: np.ndarray, change: np.ndarray) -> None:
+    """One step of some rows, repeats added up, the shorter the more a row has moved (Adagrad, a rate for each row)."""
+    order = np.argsort(rows, kind="stable")
+    rows = rows[order]
+    at = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+    g, rows = np.add.reduceat(change[order], at, axis=0), rows[at]
+    squares[rows] += (g * g).mean(axis=1)
+    vectors[rows] += RATE * g / np.sqrt(squares[rows])[:, None]
+
+
+def _skip_grams(words: np.ndarray, sentence: np.ndarray, hashes: np.ndarray, counts: np.ndarray, size: int, seed: int) -> np.ndarray:
+    """Vectors of the words of a part: skip-grams against drawn words. words: indices into hashes, in order of the texts."""
+    rng, n = np.random.default_rng(seed), len(words)
+    own, context = (most * _starts(hashes, size, 2 * seed + i) for i, most in enumerate(START))
+    squares = np.full((2, len(hashes)), 1e-8, np.float32)
+    shares = np.cumsum(counts.astype(float) ** 0.75)
+    for a in range(0, n, CENTRES):
+        at = np.arange(a, min(a + CENTRES, n))
+        reach = rng.integers(1, WINDOW + 1, len(at))
+        pairs = [(c, o) for d in range(1, WINDOW + 1) for c in [at[reach >= d]] for o in (c - d, c + d)]
+        centre, other = (np.concatenate(x) for x in zip(*pairs))
+        inside = (other >= 0) & (other < n)
+        inside &= sentence[np.where(inside, other, 0)] == sentence[centre]
+        if not inside.any():
+            continue
+        centre, other = words[centre[inside]], words[other[inside]]
+        drawn = np.minimum(np.searchsorted(shares, rng.random(DRAWN) * shares[-1], side="right"), len(counts) - 1)
+        v, u, w = own[other], context[centre], context[drawn]
+        near = 1 / (1 + np.exp(np.clip((v * u).sum(axis=1), -30, 30)))[:, None]
+        far = np.float32(-AGAINST / DRAWN) / (1 + np.exp(np.clip(-(v @ w.T), -30, 30)))
+        _towards(own, squares[0], other, near * u + far @ w)
+        _towards(context, squares[1], np.concatenate([centre, drawn]), np.concatenate([near * v, far.T @ v]))
+    return own
+
+
+def _learn(size: int, seed: int):
+    """The texts of a part (tokens: hashes of words) and its words (h, n) to vectors of these."""
+
+    def run(texts: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+        if not len(texts) or not len(words):
+            return pd.DataFrame({"h": [], "vector": []})
+        words = words.drop_duplicates("h").sort_values("h")
+        texts = texts.sort_values("key")
+        hashes, known, sentences, begun = words["h"].to_numpy(np.int64), [], [], 0
+        for tokens in texts["tokens"]:
+            at = np.minimum(np.searchsorted(hashes, tokens), len(hashes) - 1)
+            known.append(at[hashes[at] == tokens].astype(np.int32))
+            sentences.append((begun + np.arange(len(known[-1])) // SENTENCE).astype(np.int32))
+            begun += len(known[-1]) // SENTENCE + 1
+        vectors = _skip_grams(np.concatenate(known), np.concatenate(sentences), hashes, words["n"].to_numpy(), size, seed)
+        return pd.DataFrame({"h": hashes, "vector": list(vectors)})
+
+    return run
+
+
+def word_vectors(docs: DataFrame, key: str, size: int = 32, least: int = 5, seed: int = 1) -> DataFrame:
+    """word, vector: of each word that stands in the texts `least` times; skip-grams learned in parts, whose vectors are averaged.
+
+    docs: key, text. Texts are dealt out by key into parts of about PART characters, one task holds one part and its words, and the
+    averages are taken by word, so that no task and not the driver holds all words. Each part begins from vectors made of the words'
+    hashes. Words are told apart in a part by hashes of 64 bits. The result depends on the number of parts, not on how files lie.
+    """
+    spark = docs.sparkSession
+    path, lying = work_path(spark, "words"), f"texts_{uuid.uuid4().hex}"
+    parts = -(-(docs.agg(F.sum(F.length("text").cast("long"))).first()[0] or 1) // PART)
+    dealt = docs.where("text IS NOT NULL").select(F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("part"), F.struct(F.col(key), F.xxhash64("text")).alias("key"), "text")
+    S.save_bucketed(dealt, lying, "part", max(parts, S.BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    tokens = F.filter(F.split(normalize_words(F.col("text")), r"\s+"), lambda w: w != "")
+    texts = spark.table(lying).select("part", F.xxhash64("key").alias("key"), tokens.alias("tokens"))
+    texts.select("part", F.explode("tokens").alias("word")).groupBy("part", "word").agg(F.count(F.lit(1)).alias("n")).write.parquet(f"{path}/counts")
+    counts = spark.read.parquet(f"{path}/counts")
+    counts.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("word", F.xxhash64("word").alias("h"), "n").write.parquet(f"{path}/known")
+    known = spark.read.parquet(f"{path}/known")
+    own = counts.select("part", "word").join(known, "word").select("part", "h", "n")
+    hashed = texts.select("part", "key", F.transform("tokens", lambda w: F.xxhash64(w)).alias("tokens"))
+    learned = hashed.groupBy("part").cogroup(own.groupBy("part")).applyInPandas(_learn(size, seed), "h long, vector array<float>")
+    mean = learned.groupBy("h").agg(*(F.avg(F.col("vector")[i]).alias(f"v{i}") for i in range(size)))
+    mean.join(known, "h").select("word", F.array(*(F.col(f"v{i}").cast("float") for i in range(size))).alias("vector")).write.parquet(f"{path}/vectors")
+    spark.sql(f"DROP TABLE `{lying}`")
+    return spark.read.parquet(f"{path}/vectors")
+
+
+def nearest_words(vectors: DataFrame, words: Sequence[str], k: int = 10) -> DataFrame:
+    """The k other words with the greatest cosine to each of some words: of, word, similarity. A word without a vector has no row."""
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    given = vectors.where(F.col("word").isin(list(words))).select(F.col("word").alias("of"), F.col("vector").alias("to"))
+    cosine = F.try_divide(dot("to", "vector"), F.sqrt(dot("to", "to") * dot("vector", "vector")))
+    pairs = vectors.join(F.broadcast(given), F.col("of") != F.col("word")).select("of", "word", cosine.alias("similarity"))
+    rank = F.row_number().over(Window.partitionBy("of").orderBy(F.desc("similarity"), "word"))
+    return pairs.withColumn("r", rank).where(F.col("r") <= k).drop("r")

@@ -153,6 +153,48 @@ def test_words_are_learned_by_as_many_tasks_as_texts_are_read_by(spark, tmp_path
     assert taken == [5] and {"the", "cat", "dog"} <= {r["word"] for r in model.getVectors().collect()}
 
 
+def test_words_are_learned_without_all_of_them_on_the_driver(spark, sf, monkeypatch):
+    """The driver held every word with its code and vector, so that it ran out of memory as the words grew."""
+
+    def refused(**x):
+        raise AssertionError("learned on the driver")
+
+    rows, own = [], type(spark.range(1)).collect
+    monkeypatch.setattr(M, "Word2Vec", refused)
+    monkeypatch.setattr(type(spark.range(1)), "collect", lambda self: rows.append(own(self)) or rows[-1])
+    found = L.k13(spark, sf)
+    assert all(len(r) <= 1 for r in rows)
+    monkeypatch.undo()
+    got = found.collect()
+    assert len(got) == 10 and {r["of"] for r in got} == {"the"} and all(-1 <= r["similarity"] <= 1 + 1e-6 and r["word"] != "the" for r in got)
+
+
+def test_word_vectors_tell_words_by_what_stands_beside_them(spark, monkeypatch):
+    """Words in like places are alike, in one part and in several; counts are those of all parts; rarer words and empty ones are left out."""
+    rng = np.random.default_rng(4)
+    animals, metals = ["cat", "dog", "cow"], ["iron", "zinc", "lead"]
+    line = lambda own, rest: " ".join(w for _ in range(30) for w in ("the", str(rng.choice(own)), *rng.choice(rest, 2)))
+    texts = [(i, line(animals, ["eats", "Sleeps,", "runs"]) if i % 2 else line(metals, ["melts", "rusts.", "shines"])) for i in range(200)]
+    texts += [(500 + i, f"  scarce\tx{i}\n") for i in range(5)] + [(600, None), (601, ""), (None, "rare rare rare rare")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    words = {"the", *animals, *metals, "eats", "sleeps", "runs", "melts", "rusts", "shines", "scarce"}
+    for most in (1 << 24, 8000):
+        monkeypatch.setattr(M, "PART", most)
+        vectors = M.word_vectors(docs, "doc_id")
+        v = {r["word"]: np.array(r["vector"]) for r in vectors.collect()}
+        assert set(v) == words and all(x.shape == (32,) and np.isfinite(x).all() and x.any() for x in v.values())
+        got = M.nearest_words(vectors, ["cat", "zinc", "none"], 3).collect()
+        assert {r["of"] for r in got} == {"cat", "zinc"} and len(got) == 6
+        for w, others in (("cat", animals), ("zinc", metals)):
+            cosine = {o: v[o] @ v[w] / np.linalg.norm(v[o]) / np.linalg.norm(v[w]) for o in v if o != w}
+            best = sorted(cosine, key=lambda o: (-cosine[o], o))[:3]
+            assert set(others) - {w} == set(best[:2])
+            assert np.allclose(sorted(r["similarity"] for r in got if r["of"] == w), sorted(cosine[o] for o in best), atol=1e-5)
+        again = {r["word"]: np.array(r["vector"]) for r in M.word_vectors(docs.repartition(5), "doc_id").collect()}
+        assert all(np.allclose(v[w], again[w], atol=1e-5) for w in v)
+    assert not M.word_vectors(docs.limit(0), "doc_id").collect()
+
+
 def test_words_of_many_and_of_few_rows_are_counted_alike(spark, monkeypatch):
     """With room for few words by lookup, counts are those by hand; a repeated key is one row; words are not dealt out but by the rare ones."""
     texts = [(i % 40, f"the w{i % 7} w{i} the") for i in range(60)] + [(99, None), (98, "")]
