@@ -232,7 +232,7 @@ def similar(model: Word2VecModel, words: Sequence[str], k: int = 10) -> DataFram
 
 
 #: Characters of the texts that one task learns from at once, about.
-PART = 16 << 20
+PART = 8 << 20
 #: Words on each side that a centre meets at most; words of a text that one window passes over; draws against each pair.
 WINDOW, SENTENCE, AGAINST = 5, 1000, 5
 #: Centres of a step, and words drawn for all of its pairs; the rate of learning; the greatest starting component of a word and of a context.
@@ -323,11 +323,11 @@ def word_vectors(docs: DataFrame, key: str, size: int = 32, least: int = 5, seed
     counts = spark.read.parquet(f"{path}/counts")
     counts.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("word", F.xxhash64("word").alias("h"), "n").write.parquet(f"{path}/known")
     known = spark.read.parquet(f"{path}/known")
-    own = counts.select("part", "word").join(known, "word").select("part", "h", "n")
+    own = counts.select("part", "word").join(known.hint("merge"), "word").select("part", "h", "n")
     hashed = texts.select("part", "key", F.transform("tokens", lambda w: F.xxhash64(w)).alias("tokens"))
     learned = hashed.groupBy("part").cogroup(own.groupBy("part")).applyInPandas(_learn(size, seed), "h long, vector array<float>")
     mean = learned.groupBy("h").agg(*(F.avg(F.col("vector")[i]).alias(f"v{i}") for i in range(size)))
-    mean.join(known, "h").select("word", F.array(*(F.col(f"v{i}").cast("float") for i in range(size))).alias("vector")).write.parquet(f"{path}/vectors")
+    mean.join(known.hint("merge"), "h").select("word", F.array(*(F.col(f"v{i}").cast("float") for i in range(size))).alias("vector")).write.parquet(f"{path}/vectors")
     spark.sql(f"DROP TABLE `{lying}`")
     return spark.read.parquet(f"{path}/vectors")
 
